@@ -219,7 +219,7 @@ _PARTS = {
     "comments": "comments comment reply replies discussion responses disqus thread",
     "share": "share social sharing follow buttons tags meta byline",
 }
-_TAGS = {"nav": ["nav", "div", "ul"], "header": ["header", "div"], "footer": ["footer", "div"], "aside": ["aside", "div", "section"], "ad": ["div", "aside", "ins", "section"], "notice": ["div", "section", "p", "aside"], "form": ["form", "div"], "comments": ["div", "section", "ol"], "share": ["div", "ul"]}
+_TAGS = {"nav": ["nav", "div", "ul"], "header": ["header", "div"], "footer": ["footer", "div"], "aside": ["aside", "div", "section"], "ad": ["div", "aside", "section"], "notice": ["div", "section", "p", "aside"], "form": ["form", "div"], "comments": ["div", "section", "ol"], "share": ["div", "ul"]}
 _CONTENT = "article content post entry story main body text page"
 _FILLER = "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so up said what its about than into them can only other time new some could these two may first then do any like my now over such our man me even most made after also did many off before must well back through years much where your way down should because long each just state people those too mr how little good world make very year still see own work men day get here old life both between being under three never know same last another while us might great go come since against right came take used himself few house use place during high without again home around small however found mrs part school thought went say general once upon every left war don does got united number hand course water until always away public something fact less though far put head think called set almost enough end took government night yet system better four nothing told eyes city going president why days present point didn look find asked second group later next room social business knew program give half side face toward white five let young form given per order large several second".split()
 
