@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .plans import q_chat, q_dedup, q_report, q_score  # noqa: F401  (each registers its queries)
+from .plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
