@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers, prosody
@@ -16,17 +16,18 @@ _MATH = [
     (4, "no number here", "5", "no number here"),
     (5, "", "0", ""),
     (6, "คำตอบคือ 12", "12", "12"),
+    (7, "Answer: 3/4", "0.75", "3/4"),
 ]
 
 
-@query("SELECT * FROM (VALUES (1, '42', 'strict'), (2, '3/4', 'rational'), (3, '17', 'strict'), (4, 'no number here', NULL), (5, '', NULL), (6, '12', 'strict')) t(id, answer, method)")
+@query("SELECT * FROM (VALUES (1, '42', 'strict'), (2, 'is 3/4', NULL), (3, '17', 'strict'), (4, 'no number here', NULL), (5, '', NULL), (6, '12', 'strict'), (7, '3/4', 'rational')) t(id, answer, method)")
 def math_answer_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.createDataFrame([x[:3] for x in _MATH], "id int, raw string, gold string")
     a = answers.extract_math(F.col("raw"))
     return df.withColumn("answer", a).select("id", "answer", answers.same_math(F.col("answer"), F.col("gold")).alias("method"))
 
 
-@query("SELECT * FROM (VALUES (1, 'c', 'a', '(3)'), (2, 'b', 'b', '(b) is right'), (3, 'd', '', 'คำตอบคือ ๔'), (4, NULL, 'e', 'entailment')) t(id, choice, first, exam)")
+@query("SELECT * FROM (VALUES (1, 'c', 'a', '(3)'), (2, 'b', 'b', '(b) is right'), (3, 'd', '', '(ค)'), (4, NULL, 'e', 'entailment')) t(id, choice, first, exam)")
 def mcq_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, "Answer is (c) not (3)"), (2, "(b) is right"), (3, "คำตอบคือ ๔"), (4, "entailment")]
     x = F.col("raw")
@@ -43,12 +44,17 @@ def set_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.round(score.set_f1(words(1), words(41)), 6).alias("f1"))
 
 
-_SAMPLES = "SELECT l_orderkey AS item, CASE WHEN l_quantity::INT % 5 = 0 THEN NULL ELSE (l_quantity::INT % 4)::VARCHAR END AS answer, l_linenumber AS no, -l_discount::DOUBLE AS lp FROM lineitem"
+_SAMPLES = "SELECT l_orderkey AS item, CASE WHEN l_quantity::INT % 5 = 0 THEN NULL ELSE (l_quantity::INT % 4)::VARCHAR END AS answer, l_linenumber::BIGINT * 1000000000000 + l_partkey * 1000000 + l_suppkey AS no, -l_discount::DOUBLE AS lp FROM lineitem"
+
+
+def _no() -> Column:
+    """An order of an item's rows without ties."""
+    return F.col("l_linenumber").cast("long") * 1_000_000_000_000 + F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity").cast("int")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.when(q % 5 != 0, (q % 4).cast("string")).alias("answer"), F.col("l_linenumber").alias("no"), (-F.col("l_discount").cast("double")).alias("lp"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.when(q % 5 != 0, (q % 4).cast("string")).alias("answer"), _no().alias("no"), (-F.col("l_discount").cast("double")).alias("lp"))
 
 
 @query(f"""
@@ -69,9 +75,9 @@ def confidence_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.confidence_vote(_samples(spark, sf_dir), "item", "answer", "lp", "no")
 
 
-@query("SELECT l_orderkey AS item, arg_max(l_linenumber, (l_extendedprice::DOUBLE, -l_linenumber)) AS best, max(l_extendedprice)::DOUBLE AS best_score, arg_min(l_extendedprice, l_linenumber)::DOUBLE AS first_score FROM lineitem GROUP BY 1")
+@query("WITH s AS (SELECT l_orderkey AS item, l_linenumber::BIGINT * 1000000000000 + l_partkey * 1000000 + l_suppkey AS no, l_extendedprice::DOUBLE AS score FROM lineitem) SELECT item, arg_max(no, (score, -no)) AS best, max(score) AS best_score, arg_min(score, no) AS first_score FROM s GROUP BY 1")
 def best_of_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("no"), F.col("l_extendedprice").cast("double").alias("score"))
+    s = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), _no().alias("no"), F.col("l_extendedprice").cast("double").alias("score"))
     return score.best_of_n(s, "item", "no", "score")
 
 
