@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .answers import strip
+
 MESSAGES = "array<struct<role:string,content:string>>"
 # Template tags and role names.
 SYSTEM_PROMPT = "You are a helpful assistant."
@@ -62,7 +64,7 @@ def normalize_roles(messages: Column, must_match: str | None = None) -> Column:
 def user_text(text: Column, messages: Column | None = None, prompt: Column | None = None, most: int = 2000) -> Column:
     """The last user turn of a tagged text, or the beginning of an untagged one; else of messages; else the prompt."""
     last = F.element_at(F.split(text, r"<\|im_start\|>user\n"), -1)
-    tagged = F.trim(F.split(last, r"<\|im_end\|>")[0])
+    tagged = strip(F.split(last, r"<\|im_end\|>")[0])
     out = F.when(F.contains(text, F.lit("<|im_start|>user")), tagged).when(F.length(text) > 0, F.substring(text, 1, most))
     more = [F.nullif(x, F.lit("")) for x in (F.try_element_at(_of(messages, "user"), F.lit(-1)) if messages is not None else None, prompt) if x is not None]
     return F.coalesce(out, *more)
@@ -83,17 +85,17 @@ def with_examples(messages: Column, blocks: Column) -> Column:
 def seed_of(text: Column) -> Column:
     """struct<problem, answer> of a rendered text with a task mark; null without."""
     tail = F.element_at(F.split(text, TASK_MARK), -1)
-    problem = F.trim(F.split(F.split(tail, r"<\|im_end\|>")[0], r"<\|im_start\|>")[0])
+    problem = strip(F.split(F.split(tail, r"<\|im_end\|>")[0], r"<\|im_start\|>")[0])
     said = F.split(F.element_at(F.split(text, r"<\|im_start\|>assistant"), -1), r"<\|im_end\|>")[0]
     said = F.when(F.contains(text, F.lit("<|im_start|>assistant")), said)
     boxed = F.nullif(F.regexp_extract(said, r"\\boxed\{([^{}]+)\}", 1), F.lit(""))
     phrase = F.nullif(F.regexp_extract(said, r"คำตอบคือ\s*([0-9\-+]+)", 1), F.lit(""))
-    return F.when(F.contains(text, F.lit(TASK_MARK)), F.struct(problem.alias("problem"), F.coalesce(F.trim(boxed), phrase).alias("answer")))
+    return F.when(F.contains(text, F.lit(TASK_MARK)), F.struct(problem.alias("problem"), F.coalesce(strip(boxed), phrase).alias("answer")))
 
 
 def choice_letter(answer: Column) -> Column:
     """1 to 5 as a to e; a letter stays; else null."""
-    a = F.lower(F.trim(answer))
+    a = F.lower(strip(answer))
     return F.when(a.rlike("^[1-5]$"), F.translate(a, "12345", LETTERS)).when(a.rlike("^[a-e]$"), a)
 
 
@@ -110,7 +112,7 @@ def choice_answer(explanation: Column, letter: Column, mark: str = "คำตอ
 
 def valid_choice(question: Column, choices: Column, answer: Column, meta_words: tuple[str, ...] = ()) -> Column:
     """Five non-empty choices, an answer 1 to 5, a question, and no word that talks about the task."""
-    ok = (F.length(F.trim(question)) > 0) & (F.size(choices) == 5) & F.forall(choices, lambda c: F.length(F.trim(c)) > 0) & answer.cast("string").rlike("^[1-5]$")
+    ok = (F.length(strip(question)) > 0) & (F.size(choices) == 5) & F.forall(choices, lambda c: F.length(strip(c)) > 0) & answer.cast("string").rlike("^[1-5]$")
     for w in meta_words:
         ok = ok & ~F.contains(F.lower(question), F.lit(w.lower()))
     return F.coalesce(ok, F.lit(False))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A record as curated: semi-structured parts are JSON text (`details`).
-RECORD = T.StructType.fromDDL(
+RECORD = (
     "id string, benchmark_family string, task_type string, language string, difficulty string, "
     "messages array<struct<role:string,content:string>>, final_answer string, concise_solution string, "
     "verifier struct<type:string,details:string>, sources array<struct<url:string,license:string,used_for:string>>, "
@@ -20,14 +20,14 @@ FILE_NAME = r"(train|val)_(.+)_(\d{3})\.jsonl"
 ALIASES = {"aime": ["aime24", "aime25"], "thai_exam": ["onet", "ic", "tgat", "tpat1", "a_level"]}
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType, malformed: str = "keep") -> DataFrame:
-    """Records of JSONL files with _path, _split, _family and _shard from the file name.
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, malformed: str = "keep") -> DataFrame:
+    """Records of JSONL files (schema as DDL) with _path, _split, _family and _shard from the file name.
 
     Blank lines are skipped. malformed: `keep` has them in _corrupt_record, `drop`
     leaves them out, `fail` raises.
     """
     mode = {"keep": "PERMISSIVE", "drop": "DROPMALFORMED", "fail": "FAILFAST"}[malformed]
-    full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())]) if malformed == "keep" else schema
+    full = f"{schema}, _corrupt_record string" if malformed == "keep" else schema
     df = spark.read.schema(full).option("mode", mode).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     return with_provenance(df)
 
@@ -40,7 +40,7 @@ def with_provenance(df: DataFrame) -> DataFrame:
 
 def read_numbered(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, line) of text files read whole each (line numbers need the file's order); for error reports."""
-    df = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_name").alias("path"), "value")
+    df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("path"), "value")
     return df.select("path", F.posexplode_outer(F.split("value", r"\r?\n")).alias("_n", "line")).where("trim(line) <> ''").select("path", (F.col("_n") + 1).alias("line_no"), "line")
 
 

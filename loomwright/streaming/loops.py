@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -16,7 +15,7 @@ def cycles(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
-def watch_files(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json", files_per_batch: int = 100) -> DataFrame:
+def watch_files(spark: SparkSession, path: str, schema: str, fmt: str = "json", files_per_batch: int = 100) -> DataFrame:
     """New files of a folder, each once (the source's own log remembers them)."""
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_batch).load(path)
 
