@@ -29,9 +29,9 @@ SPREAD = 6
 #: metric: (margin below, margin above) besides the spread; None: no such bound.
 MARGIN = {
     "symbols": (None, 100),  # symbols in 1,000 words
-    "word_length": (100, 100),  # hundredths of a code point
-    "dup_lines": (None, 300),  # of 1,000 lines with a word
-    "repeats": (None, 150),  # of 1,000 words
+    "word_length": (150, 150),  # hundredths of a code point
+    "dup_lines": (None, 400),  # of 1,000 lines with a word
+    "repeats": (None, 250),  # of 1,000 words
 }
 #: Threshold rows up to which they are broadcast (some 100 bytes each).
 BROADCAST_ROWS = 200_000
