@@ -154,7 +154,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "te
         grams, known = _Grams(), Profiles(sent.value)
 
         def one(text: str | None) -> dict:
-            codes, counts = grams.count(text or "")
+            codes, counts = grams.count(text) if text and any(map(str.isalpha, text)) else ((), ())
             if not len(codes) or not known.langs:
                 return {"lang": UNKNOWN, "score": 0.0}
             mine = ranked(codes, counts, document)

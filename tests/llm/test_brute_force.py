@@ -302,7 +302,7 @@ def test_language_id(spark, sf):
 
 
 def test_language_id_cases(spark):
-    rows = [(1, "hello there world", "en"), (2, "bonjour le monde", "fr"), (3, None, "en"), (4, "12 !!", None), (None, "", "fr")]
+    rows = [(1, "hello there world", "en"), (2, "bonjour le monde", "fr"), (3, None, "en"), (4, "12 ½ !!", None), (None, "", "fr")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     p = langid.train(docs)
     got = {r["doc_id"]: r["language"] for r in langid.predict(docs, p).collect()}
