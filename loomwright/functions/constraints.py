@@ -16,7 +16,7 @@ SOFT = ("register", "tone", "style", "semantic", "soft")
 
 
 def is_json(x: Column) -> Column:
-    return F.expr("true") & F.try_parse_json(x).isNotNull()
+    return F.try_parse_json(x).isNotNull()
 
 
 def check_exact(response: Column, c: Column, soft_score: Column | None = None) -> Column:

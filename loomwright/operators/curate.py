@@ -68,7 +68,7 @@ def cap_checks(scores: Column, caps: dict[str, float] = QUALITY_CAPS) -> dict[st
     """Scores (map of strings) over their caps, or not numbers."""
     out = {}
     for k, cap in caps.items():
-        v = scores[k].try_cast("double") if hasattr(scores[k], "try_cast") else scores[k].cast("double")
+        v = scores[k].try_cast("double")
         out[f"not_numeric:{k}"] = scores[k].isNotNull() & v.isNull()
         out[f"over_cap:{k}"] = v > cap + 1e-9
     return out
