@@ -5,16 +5,16 @@ set between blanks), in order. A document's own most frequent n-grams are
 compared with each profile: the out-of-place distance adds up how far each
 n-gram's rank is from its rank in the profile, or the most for a missing one.
 
-N-grams of whole texts are counted word by word (a word's n-grams are looked
-up once for each Python worker). Training sums counts of (language, n-gram) in
-partial aggregates over all training rows.
+N-grams of whole texts are counted by sorting arrays of many texts at once.
+Training sums counts of (language, n-gram) in partial aggregates over all
+training rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,57 +24,75 @@ from pyspark.sql import types as T
 
 from .common import add_columns, crc32_of_id
 
-N = (1, 2, 3)
 #: N-grams in a language's profile, and in a document's.
 PROFILE, DOCUMENT = 400, 300
 #: More languages than this are an error in the labels.
 MAX_LANGUAGES = 2000
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
-#: Words held in a worker's table; it starts anew when full.
-_MOST_WORDS = 200_000
-
-
-class _Grams:
-    """N-grams as integers of 21 bits a character, by word; numbered in a table that is emptied when it is full."""
-
-    def __init__(self) -> None:
-        self.clear()
-
-    def clear(self) -> None:
-        self.words: dict[str, np.ndarray] = {}
-        self.number: dict[int, int] = {}
-        self.codes: list[int] = []
-
-    def of(self, word: str) -> np.ndarray:
-        chars = [32, *map(ord, word), 32]
-        found = []
-        for n in N:
-            for i in range(len(chars) - n + 1):
-                code = 0
-                for c in chars[i : i + n]:
-                    code = code << 21 | c
-                if code != 32:
-                    k = self.number.setdefault(code, len(self.codes))
-                    if k == len(self.codes):
-                        self.codes.append(code)
-                    found.append(k)
-        out = self.words[word] = np.array(found, np.int64)
-        return out
-
-    def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(codes, counts) of the whole text."""
-        if len(self.words) > _MOST_WORDS:
-            self.clear()
-        words = Counter(_WORD.findall(text.lower()))
-        if not words:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        get, of = self.words.get, self.of
-        parts = [x if (x := get(w)) is not None else of(w) for w in words]
-        weights = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, parts), np.int64, len(parts)))
-        summed = np.bincount(np.concatenate(parts), weights, len(self.codes))
-        there = np.flatnonzero(summed)
-        return np.array([self.codes[k] for k in there], np.int64), summed[there].astype(np.int64)
+#: Characters of texts whose n-grams are sorted together.
+_CHARS = 1_000_000
+_BITS = 21
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def count_grams(texts: list[str], groups: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, code, count), by group, of the n-grams of all texts of each group. Groups don't decrease.
+
+    All texts are one array of characters in which whatever is no letter is a
+    blank, and runs of blanks are one. An n-gram lies within a word and the
+    blanks at its sides; it belongs to the group of its letters. A code has
+    21 bits for each character.
+    """
+    low = [t.lower() for t in texts]
+    raw = np.frombuffer((" " + " ".join(low) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    group = np.repeat(np.array([*groups, 0], np.int64), [len(t) + 1 for t in low] + [1])
+    group = np.concatenate([group[:1], group])[: len(raw)]
+    letter = _letters()[raw]
+    keep = letter.copy()
+    keep[0] = True
+    keep[1:] |= letter[:-1]
+    raw, letter, group = np.where(letter, raw, 32)[keep], letter[keep], group[keep]
+    there = np.zeros(0x110000, bool)
+    there[raw] = True
+    chars = np.concatenate([[0], np.flatnonzero(there)])  # 0: no character
+    number = np.zeros(0x110000, np.int64)
+    number[chars[1:]] = np.arange(1, len(chars))
+    c = number[raw]
+    w = len(chars).bit_length()
+    pair = (c[:-1] << w) | c[1:]
+    own = np.where(letter[:-1], group[:-1], group[1:])
+    inner = letter[1:-1]
+    keys = np.concatenate([(group[letter] << 3 * w) | c[letter], (own << 3 * w) | pair, ((group[1:-1] << 3 * w) | (pair[:-1] << w) | c[2:])[inner]]) if len(c) > 2 else np.empty(0, np.int64)
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    k, n, mask = keys[first], np.diff(np.append(first, len(keys))), (1 << w) - 1
+    code = (chars[k >> 2 * w & mask] << 2 * _BITS) | (chars[k >> w & mask] << _BITS) | chars[k & mask]
+    return k >> 3 * w, code, n
+
+
+def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs [from, to) of texts of about _CHARS characters."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= _CHARS or i - start >= 4000:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def grams_of_each(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(codes, counts) of every text in turn."""
+    for a, b in _parts(texts):
+        group, code, n = count_grams(texts[a:b], list(range(b - a)))
+        cut = np.searchsorted(group, np.arange(b - a + 1))
+        for i in range(b - a):
+            yield code[cut[i] : cut[i + 1]], n[cut[i] : cut[i + 1]]
 
 
 def ranked(codes: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
@@ -90,7 +108,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", profi
     """A profile for each non-null language of `docs`, from all its rows."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, sums = _Grams(), defaultdict(Counter)
+        sums: defaultdict[str, Counter] = defaultdict(Counter)
 
         def out() -> pa.RecordBatch:
             rows = [(lang, code, n) for lang, c in sums.items() for code, n in c.items()]
@@ -99,11 +117,13 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", profi
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["lang", "code", "n"])
 
         for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                codes, counts = grams.count(text)
-                c = sums[lang]
-                for k, n in zip(codes.tolist(), counts.tolist(), strict=True):
-                    c[k] += n
+            by_lang = sorted(zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True), key=lambda x: x[0])
+            names = sorted({x[0] for x in by_lang})
+            number = {x: i for i, x in enumerate(names)}
+            for i, j in _parts([t for _, t in by_lang]):
+                group, codes, counts = count_grams([t for _, t in by_lang[i:j]], [number[x] for x, _ in by_lang[i:j]])
+                for g, k, n in zip(group.tolist(), codes.tolist(), counts.tolist(), strict=True):
+                    sums[names[g]][k] += n
             if sum(map(len, sums.values())) > 500_000:
                 yield out()
         yield out()
@@ -151,10 +171,9 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "te
     field = T.StructField(out, T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
 
     def make():
-        grams, known = _Grams(), Profiles(sent.value)
+        known = Profiles(sent.value)
 
-        def one(text: str | None) -> dict:
-            codes, counts = grams.count(text) if text and any(map(str.isalpha, text)) else ((), ())
+        def one(codes: np.ndarray, counts: np.ndarray) -> dict:
             if not len(codes) or not known.langs:
                 return {"lang": UNKNOWN, "score": 0.0}
             mine = ranked(codes, counts, document)
@@ -162,7 +181,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "te
             k = int(d.argmin())
             return {"lang": known.langs[k], "score": 1 - float(d[k]) / (known.most * len(mine))}
 
-        return lambda b: [pa.array([one(t) for t in b.column(text_col).to_pylist()], kind)]
+        return lambda b: [pa.array([one(*x) for x in grams_of_each([t or "" for t in b.column(text_col).to_pylist()])], kind)]
 
     return add_columns(docs, [field], make, () if keep_text else (text_col,))
 
