@@ -1,17 +1,24 @@
-"""Quality by an interpolated modified Kneser-Ney character model of trusted text.
-
-Text is read as 64 symbols (letters, accented letters, digits as one, groups of
-other characters), n-grams of 1 to 4 symbols. Counts of trusted text are summed
-over all its rows, sharded by n-gram; context sums and continuation counts are
-joined to them shard by shard, and give each seen n-gram's discounted share and
-each context's back-off weight. That table has at most 64 ** 4 rows whatever
-the corpus, so it is sent to the scoring tasks, which read each whole text
-once. A document is kept if its perplexity is within the quantile-based
-threshold of its language.
+"""Quality by an interpolated modified Kneser-Ney word model of trusted text.
+
+Words are runs of letters or digits, and single other characters, lower-cased:
+every code point counts as itself. N-grams of 1 to 3 words of all trusted text
+are counted; the tables (n-gram, count, share, back-off) grow with the text,
+stay in the cluster and are built by joins sharded by n-gram. A document is
+read once into its distinct n-grams and their counts, which are joined to the
+tables: where the longest n-gram is unseen, its context's back-off and the next
+shorter one are looked up. A trusted document is scored as if its own text
+were not in the model. A document is kept if its perplexity a word is within
+the quantile-based threshold of its language.
+
+`train` and `Scorer` are a small model of characters in 64 classes for callers
+with a bounded table; `classify` doesn't use it.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +30,11 @@ from pyspark.sql import types as T
 from .common import add_columns, checkpoint
 
 ORDER, BITS = 4, 6
+#: Words of the longest n-gram of the word model.
+WORDS = 3
+#: N-grams of a record batch, and words whose hash a task remembers.
+BATCH_GRAMS, KNOWN_WORDS = 100_000, 500_000
+_WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 #: Trusted ids up to which they are broadcast (8 bytes each, some 100 MB in a hash table).
 BROADCAST_IDS = 2_000_000
 #: Steps of log-perplexity in the quantile sketch, in a nat.
@@ -157,6 +169,126 @@ def with_perplexity(docs: DataFrame, model: tuple[np.ndarray, ...], text_col: st
     return add_columns(docs, [T.StructField(out, T.DoubleType())], make, () if keep_text else (text_col,))
 
 
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+def document_grams(docs: DataFrame) -> DataFrame:
+    """(doc, own, w1 ... w3, n) of (doc, own, text): each document's distinct word n-grams of the highest order.
+
+    Words are 64-bit hashes; 0 stands before the text.
+    """
+    names = [f"w{k}" for k in range(1, WORDS + 1)]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+
+        def hashed(w: str) -> int:
+            h = known.get(w)
+            if h is None:
+                if len(known) >= KNOWN_WORDS:
+                    known.clear()
+                h = known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+            return h
+
+        def out(ids: list, own: list, sizes: list, grams: list, n: list) -> pa.RecordBatch:
+            g = np.array(grams, np.int64).reshape(-1, WORDS)
+            cols = [pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.repeat(np.array(own, bool), sizes)), *(pa.array(np.ascontiguousarray(g[:, k])) for k in range(WORDS)), pa.array(np.array(n, np.int64))]
+            return pa.RecordBatch.from_arrays(cols, names=["doc", "own", *names, "n"])
+
+        held = ids, own, sizes, grams, n = [], [], [], [], []
+        for b in batches:
+            for doc, mine, text in zip(*(b.column(c).to_pylist() for c in ("doc", "own", "text")), strict=True):
+                w = [0] * (WORDS - 1) + [hashed(x) for x in words_of(text or "")]
+                found = Counter(zip(*(w[k:] for k in range(WORDS)), strict=False))
+                ids.append(doc)
+                own.append(mine)
+                sizes.append(len(found))
+                grams.extend(found)
+                n.extend(found.values())
+                if len(n) >= BATCH_GRAMS:
+                    yield out(*held)
+                    for x in held:
+                        x.clear()
+        yield out(*held)
+
+    return docs.select("doc", "own", "text").mapInArrow(counted, f"doc long, own boolean, {', '.join(f'{x} long' for x in names)}, n long")
+
+
+def _discounts(level: DataFrame) -> list[float]:
+    r = {int(k): int(c) for k, c in level.where("n <= 4").groupBy("n").count().collect()}
+    n1, n2, n3, n4 = (r.get(k, 0) for k in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2) if n1 else 0.5
+    return [min(max(x, 0.05), k - 0.05) if ok else 0.5 * k for k, x, ok in ((1, 1 - 2 * y * n2 / max(n1, 1), n1), (2, 2 - 3 * y * n3 / max(n2, 1), n2), (3, 3 - 4 * y * n4 / max(n3, 1), n3))]
+
+
+def word_model(grams: DataFrame) -> tuple[list[DataFrame], float]:
+    """Tables of 1 to WORDS words from (w1 ... w3, n) of trusted text, and the log-probability of an unseen word.
+
+    A table has (w1 ..., log_p, seen, log_backoff, followed): the n-gram's full
+    interpolated log-probability and its count in the text, its weight as a
+    context and how often it is one. Either pair may be null.
+    """
+    names = [f"w{k}" for k in range(1, WORDS + 1)]
+    levels = [checkpoint(grams.groupBy(*names).agg(F.sum("n").alias("n")).withColumn("seen", F.col("n")))]
+    for k in range(WORDS - 1, 0, -1):  # continuation counts: unlike words before the rest
+        shorter = levels[0].groupBy(*(F.col(names[j + 1]).alias(names[j]) for j in range(k))).agg(F.count("*").alias("n"), F.sum("seen").alias("seen"))
+        levels.insert(0, checkpoint(shorter))
+    row = levels[0].agg(F.sum("n"), F.count("*")).first()
+    total, vocabulary = int(row[0] or 0), int(row[1])
+    tables: list[DataFrame] = []
+    lower, unseen = None, 0.0
+    for k, level in enumerate(levels, 1):
+        d = _discounts(level)
+        own = level.withColumn("_off", F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2]))
+        if k == 1:
+            off = own.agg(F.sum("_off")).first()[0] or 0.0
+            base = (off / total if total else 1.0) / (vocabulary + 1)
+            unseen = float(np.log(base))
+            lower = own.select("w1", ((F.col("n") - F.col("_off")) / F.lit(max(total, 1)) + F.lit(base)).alias("p"), "seen")
+        else:
+            ctx = checkpoint(own.groupBy(*names[: k - 1]).agg(F.sum("n").alias("_all"), F.sum("_off").alias("_offs"), F.sum("seen").alias("followed")))
+            ctx_w = ctx.select(*names[: k - 1], F.log(F.col("_offs") / F.col("_all")).alias("log_backoff"), "followed")
+            tables.append(checkpoint(lower.select(*names[: k - 1], F.log("p").alias("log_p"), "seen").join(ctx_w, names[: k - 1], "full")))
+            tail = lower.select(*(F.col(names[j]).alias(names[j + 1]) for j in range(k - 1)), F.col("p").alias("_p"))
+            p = (F.col("n") - F.col("_off") + F.col("_offs") * F.col("_p")) / F.col("_all")
+            lower = own.join(ctx.drop("followed"), names[: k - 1]).join(tail, names[1:k]).select(*names[:k], p.alias("p"), "seen")
+        if k < WORDS:
+            lower = checkpoint(lower)
+    top = lower.select(*names, F.log("p").alias("log_p"), "seen", F.lit(None).cast("double").alias("log_backoff"), F.lit(None).cast("long").alias("followed"))
+    return [*tables, checkpoint(top)], unseen
+
+
+def word_scores(grams: DataFrame, model: list[DataFrame], unseen: float) -> DataFrame:
+    """(doc, log_perplexity) of the documents of (doc, own, w1 ... w3, n).
+
+    Where `own`, the document is part of the text of the model: an n-gram is
+    seen only if it is in the text more often than in the document.
+    """
+    names = [f"w{k}" for k in range(1, WORDS + 1)]
+    zero, none = F.lit(0).cast("long"), F.lit(0.0)
+    # np words end in the n-gram, nb of the longer n-grams back off from it; total, words: what is settled.
+    rows = grams.select("doc", "own", *names, F.col("n").alias("np"), zero.alias("nb"), none.alias("total"), zero.alias("words"))
+    for k in range(WORDS, 0, -1):
+        left = rows.join(model[k - 1], names[:k], "left")
+        seen = F.coalesce(F.col("seen") > F.when(F.col("own"), F.col("np")).otherwise(0), F.lit(False))
+        context = F.coalesce(F.col("followed") > F.when(F.col("own"), F.col("nb")).otherwise(0), F.lit(False))
+        settled = F.col("total") + F.when(context, F.col("nb") * F.col("log_backoff")).otherwise(0.0)
+        if k == 1:
+            score = settled + F.col("np") * F.when(seen, F.col("log_p")).otherwise(F.lit(unseen))
+            return left.groupBy("doc").agg((-F.sum(score) / F.sum(F.col("words") + F.col("np"))).alias("log_perplexity"))
+
+        def one(keys: list, n_p, n_b, total, words):
+            return F.struct(*(c.alias(x) for c, x in zip(keys, names)), n_p.alias("np"), n_b.alias("nb"), total.alias("total"), words.alias("words"))
+
+        w = [F.col(x) for x in names[:k]]
+        down = F.array(one(w[:-1], zero, F.col("np"), settled, F.col("words")), one(w[1:], F.col("np"), zero, none, zero))
+        done = F.array(one([F.col("doc")] * (k - 1), zero, zero, settled + F.col("np") * F.when(seen, F.col("log_p")).otherwise(0.0), F.col("words") + F.when(seen, F.col("np")).otherwise(zero)))
+        step = left.select("doc", "own", F.explode(F.when((F.col("np") > 0) & ~seen, down).otherwise(done)).alias("_r")).select("doc", "own", "_r.*")
+        rows = step.groupBy("doc", "own", *names[: k - 1]).agg(*(F.sum(c).alias(c) for c in ("np", "nb", "total", "words")))
+    raise AssertionError
+
+
 def thresholds(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """(lang, limit) of trusted rows (lang, log_perplexity), and a row of null language and `every` for all.
 
@@ -176,7 +308,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Trusted are rows whose id has a label of quality 1 and none that is toxic;
     all of them train the model and their language's threshold. Defined cases: a
-    text without symbols has null perplexity and isn't kept; a null language,
+    text without words has null perplexity and isn't kept; a null language,
     or one of few trusted texts, takes the threshold of all; without trusted
     text all texts are kept; repeated labels count once; null ids are never
     trusted; an empty table gives no rows.
@@ -185,10 +317,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     good = checkpoint(good)
     few = good.count() <= BROADCAST_IDS
     side = F.broadcast(good) if few else good
-    base = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("_text"))
-    model = train(base.join(side, F.col("_id") == F.col("_good"), "left_semi"), "_text")
-    scored = checkpoint(with_perplexity(base, model, "_text", keep_text=False))
-    limits = checkpoint(thresholds(scored.join(side, F.col("_id") == F.col("_good"), "left_semi")))
+    base = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).withColumn("doc", F.xxhash64("_id", "text"))
+    base = base.join(side.withColumn("own", F.lit(True)), F.col("_id") == F.col("_good"), "left").drop("_good").withColumn("own", F.coalesce("own", F.lit(False)))
+    model, unseen = word_model(document_grams(base.where("own")))
+    scores = word_scores(document_grams(base), model, unseen)
+    scored = checkpoint(base.select("_id", "lang", "own", "doc").join(scores, "doc", "left"))
+    limits = checkpoint(thresholds(scored.where("own")))
     own = limits.where((~F.col("every")) & (F.col("n") >= MIN_TRUSTED) & F.col("lang").isNotNull()).select(F.col("lang").alias("_lang"), F.col("limit").alias("_own"))
     row = limits.where("every").select("limit").first()
     wide = F.lit(row[0] if row else None).cast("double")

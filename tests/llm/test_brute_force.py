@@ -334,6 +334,29 @@ def test_language_model(spark):
     assert lm_quality.classify(docs, labels.where("false")).where("doc_id < 101 and not kept").count() == 0
 
 
+def test_word_model(spark):
+    rng = random.Random(5)
+    verses = ["the cat sat on a mat and slept", "my dog ran to the old barn at dawn", "кот спал на тёплой печи всю ночь", "we sold two of his red boats last year"]
+    texts = [" ".join(rng.choice(verses) for _ in range(6)) for _ in range(80)]
+    mixed = [" ".join(rng.sample(t.split(), len(t.split()))) for t in texts[:10]]
+    other = [t.translate({ord(x): chr(ord(x) ^ 1) for x in "абвгдежзиклмнопрстуфхцчшщ"}) for t in ["кот спал на тёплой печи всю ночь " * 6]]
+    rows = [(i, t, "en") for i, t in enumerate(texts + mixed + other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in lm_quality.classify(docs, spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")).collect()}
+    assert all(got[i]["kept"] for i in range(80)) and not any(got[i]["kept"] for i in range(80, 91))  # word order and unlike letters count
+    trusted = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts[:60])], "doc long, own boolean, text string")
+    model, unseen = lm_quality.word_model(lm_quality.document_grams(trusted))
+    one, two, three = ([r.asDict() for r in m.collect()] for m in model)
+    assert len(three) == len({g for t in texts[:60] for w in [["", "", *lower(t).split()]] for g in zip(w, w[1:], w[2:])})  # no n-gram is left out
+    p1 = {r["w1"]: np.exp(r["log_p"]) for r in one if r["seen"]}
+    assert abs(sum(p1.values()) + np.exp(unseen) - 1) < 1e-9
+    for c in one:  # each context's probabilities sum to 1
+        seen = {r["w2"]: np.exp(r["log_p"]) for r in two if r["w1"] == c["w1"] and r["seen"]}
+        if seen:
+            back = np.exp(c["log_backoff"])
+            assert abs(sum(seen.get(w, back * p) for w, p in p1.items()) + back * np.exp(unseen) - 1) < 1e-9
+
+
 def brute_url(url):
     host = path = ""
     if url and "://" in url:
