@@ -7,7 +7,11 @@ merge by adding counts, are the same however the rows are dealt, and have at
 most some 2,000 buckets. A document fails where a metric is far outside its own
 group's spread: beyond the median by SPREAD times the distance from median to
 quartile plus a margin. Groups of few documents use the merged sketch of their
-language, or else of all. Nothing is a fixed share: a clean group loses none.
+language, or else of all. No group raises its own limit: it is bounded by the
+limit of its language's and (rates only, as word lengths differ by language)
+all groups' merged sketch, there with the smaller of both quartile distances,
+so that noise counts only from half of the merged documents. Nothing is a fixed
+share: a clean group loses none.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ MARGIN = {
     "dup_lines": (None, 400),  # of 1,000 lines with a word
     "repeats": (None, 250),  # of 1,000 words
 }
+#: Metrics that are also bounded by all languages' sketch.
+RATES = ("symbols", "dup_lines", "repeats")
 #: Threshold rows up to which they are broadcast (some 100 bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -126,20 +132,30 @@ def thresholds(sketch: DataFrame, by: tuple[str, str] = ("lang", "source")) -> D
         return F.min(F.when(F.col("_sum") * 100 >= F.col("_all") * p, F.col("low")))
 
     cut = every.groupBy("_level", a, b, "metric").agg(quantile(25).alias("q1"), quantile(50).alias("q2"), quantile(75).alias("q3"), F.first("_all").alias("_all"))
-    lo, hi = F.lit(None).cast("long"), F.lit(None).cast("long")
+    lo = hi = cap_lo = cap_hi = F.lit(None).cast("long")
+    least = F.least(F.col("q3") - F.col("q2"), F.col("q2") - F.col("q1"))
     for k, (below, above) in MARGIN.items():
         here = F.col("metric") == k
         if below is not None:
             lo = F.when(here, F.col("q2") - SPREAD * (F.col("q2") - F.col("q1")) - below).otherwise(lo)
+            cap_lo = F.when(here, F.col("q2") - SPREAD * least - below).otherwise(cap_lo)
         if above is not None:
             hi = F.when(here, F.col("q2") + SPREAD * (F.col("q3") - F.col("q2")) + above).otherwise(hi)
-    cut = cut.groupBy("_level", a, b).agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct(lo.alias("lo"), hi.alias("hi")).alias("limit")))).alias("limits"), F.max("_all").alias("_all"))
+            cap_hi = F.when(here, F.col("q2") + SPREAD * least + above).otherwise(cap_hi)
+    cut = cut.groupBy("_level", a, b).agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct(lo.alias("lo"), hi.alias("hi"), cap_lo.alias("cap_lo"), cap_hi.alias("cap_hi")).alias("limit")))).alias("limits"), F.max("_all").alias("_all"))
     fine = cut.where("_level = 2").select(a, b, F.col("limits").alias("_l2"), F.col("_all").alias("_n2"))
     mid = cut.where("_level = 1").select(F.col(a).alias("_a"), F.col("limits").alias("_l1"), F.col("_all").alias("_n1"))
     wide = cut.where("_level = 0").select(F.col("limits").alias("_l0"))
     joined = fine.join(mid, F.col(a).eqNullSafe(F.col("_a")), "left").join(F.broadcast(wide))  # wide: one row
     chosen = F.when(F.col("_n2") >= MIN_GROUP, F.col("_l2")).when(F.col("_n1") >= MIN_GROUP, F.col("_l1")).otherwise(F.col("_l0"))
-    return joined.select(a, b, chosen.alias("limits"))
+    mid_cap = F.when(F.col("_n1") >= MIN_GROUP, F.col("_l1"))
+    bounded = []
+    for k in MARGIN:
+        caps = [mid_cap[k]] + ([F.col("_l0")[k]] if k in RATES else [])
+        lo = F.greatest(F.col("_own")[k]["lo"], *(c["cap_lo"] for c in caps))
+        hi = F.least(F.col("_own")[k]["hi"], *(c["cap_hi"] for c in caps))
+        bounded += [F.lit(k), F.struct(lo.alias("lo"), hi.alias("hi"))]
+    return joined.withColumn("_own", chosen).select(a, b, F.create_map(*bounded).alias("limits"))
 
 
 def judged(measured: DataFrame, limits: DataFrame, q: str = "quality", by: tuple[str, ...] = ("lang", "source"), out: str = "kept") -> DataFrame:

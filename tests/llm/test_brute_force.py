@@ -215,6 +215,23 @@ def test_quality_thresholds(spark, sf):
     assert symbols <= out and len(out) < 0.2 * docs.count()
 
 
+def test_quality_noisy_sources(spark):
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 4, 5, 6]))) for _ in range(500)]
+    rows = []
+
+    def add(lang, source, n, noise):
+        for i in range(n):
+            bad = i < n * noise
+            words = [rng.choice(vocab) for _ in range(60)]
+            rows.append((len(rows), " ".join(w + "#" * (bad and k % 20 < 9) for k, w in enumerate(words)), lang, source, bad))  # 450 in 1,000 words
+
+    for lang, source, n, noise in [("en", "clean", 100, 0), ("en", "a", 60, 0.3), ("en", "b", 60, 0.45), ("en", "c", 60, 0.6), ("en", "hot", 300, 0.55), ("xx", "only", 60, 0.6), ("yy", "only", 100, 0)]:
+        add(lang, source, n, noise)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, bad boolean")
+    assert {r["doc_id"] for r in quality.keep_good(docs).collect()} == {r[0] for r in rows if not r[4]}
+
+
 def brute_hits(t, items):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
     hit, found = set(), set()
