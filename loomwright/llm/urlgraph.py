@@ -4,6 +4,9 @@ Rules are longest-match on host suffix and path. A url without a rule is judged
 by its host: personalised PageRank from trusted seeds along host links, and
 distrust from blocked seeds along reversed links, both computed over
 aggregated host edges in Spark; each round is checkpointed in the shared folder.
+These scores shrink with the number of links that a seed deals to, so a verdict
+comes from the same walks with each host taking the average of its neighbours:
+trust of the hosts that link to it, distrust of the hosts that it links to.
 """
 
 from __future__ import annotations
@@ -14,9 +17,12 @@ from pyspark.sql import functions as F
 from .common import UPPER, LOWER, checkpoint
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-DAMPING, ROUNDS, TOLERANCE = 0.85, 30, 1e-6
-#: A host is blocked if distrust is above trust by this share of a seed's own score.
+#: Scores move by DAMPING ** round at most, so these rounds always reach TOLERANCE.
+DAMPING, ROUNDS, TOLERANCE = 0.85, 100, 1e-6
+#: A host is blocked if its average distrust is above its average trust by this share of a seed's own score.
 MARGIN = 0.75
+#: The same where only links count, not pages of its own: two links from a blocked host (DAMPING ** 2).
+LINK_MARGIN = 0.7
 
 
 def host_of(url: Column) -> Column:
@@ -48,15 +54,17 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE, average: bool = False) -> DataFrame:
     """Personalised PageRank along (src, dst, n) from (host, seed). Returns (host, score) of hosts reached.
 
     score = (1 - damping) * seed + damping * what comes in, a host's score being
-    dealt out by n. A host without links keeps what it has. Stops when no score
-    moves by more than `tolerance`.
+    dealt out by n. A host without links keeps what it has. With `average`, what
+    comes in is the mean score of the sources, weighted by n, however many
+    links these have. Stops when no score moves by more than `tolerance`.
     """
-    out = edges.groupBy("src").agg(F.sum("n").alias("_all"))
-    shares = checkpoint(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("_all")).alias("share")))
+    side = "dst" if average else "src"
+    out = edges.groupBy(side).agg(F.sum("n").alias("_all"))
+    shares = checkpoint(edges.join(out, side).select("src", "dst", (F.col("n") / F.col("_all")).alias("share")))
     own = seeds.select("host", ((1 - damping) * F.col("seed")).alias("own")).where("own > 0")
     score = own.select("host", F.col("own").alias("score"))
     if not shares.limit(1).count():
@@ -77,8 +85,9 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     seeds: (host, trusted, blocked), shares from 0 to 1; by default the share of
     a host's pages that a rule allows or blocks. Without a rule, a url is
-    blocked if its host's distrust exceeds its trust by `margin` of a full
-    seed's score. Defined cases: a null url, or one without `://`, has empty
+    blocked if its host's average distrust exceeds its average trust by `margin`
+    of a full seed's score, or by LINK_MARGIN for a host of no seed's share.
+    trust and distrust are the PageRank scores. Defined cases: a null url, or one without `://`, has empty
     host and path, fits no rule and is allowed; null html has no links; repeated
     rows count and are judged each; an empty table gives no rows.
     """
@@ -94,7 +103,14 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     trust = propagate(edges, seeds.select("host", F.col("trusted").alias("seed")))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = propagate(back, seeds.select("host", F.col("blocked").alias("seed")))
-    scores = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full").na.fill(0.0, ["trust", "distrust"])
-    joined = judged.join(scores, "host", "left").na.fill(0.0, ["trust", "distrust"])
-    by_graph = F.when(F.col("distrust") - F.col("trust") > margin * (1 - DAMPING), "block").otherwise("allow")
+    good = propagate(edges, seeds.select("host", F.col("trusted").alias("seed")), average=True)
+    bad = propagate(back, seeds.select("host", F.col("blocked").alias("seed")), average=True)
+    names = ["trust", "distrust", "_good", "_bad"]
+    scores = trust.withColumnRenamed("score", "trust")
+    for part, name in ((distrust, "distrust"), (good, "_good"), (bad, "_bad")):
+        scores = scores.join(part.withColumnRenamed("score", name), "host", "full")
+    own = seeds.where("trusted > 0 or blocked > 0").select("host", F.lit(True).alias("_own"))
+    joined = judged.join(scores.join(own, "host", "left"), "host", "left").na.fill(0.0, names)
+    enough = F.when(F.col("_own"), margin).otherwise(min(margin, LINK_MARGIN))
+    by_graph = F.when(F.col("_bad") - F.col("_good") > enough * (1 - DAMPING), "block").otherwise("allow")
     return joined.select(id_col, "host", "path", "rule", F.coalesce("_by_rule", by_graph).alias("verdict"), "trust", "distrust")

@@ -408,6 +408,15 @@ def test_propagation(spark):
     assert np.allclose([got.get(x, 0.0) for x in names], want, atol=1e-3)
 
 
+def test_verdicts_by_links(spark):
+    link = lambda *hosts: "".join(f"<a href='http://{h}/'>x</a>" for h in hosts)
+    pages = [("http://bad.com/en/1", ""), ("http://far.info/1", link("spam0.info")), ("http://mixed.info/1", link("bad.com", *(f"other{i}.info" for i in range(9)))), ("http://lone.info/1", "")]
+    pages += [(f"http://spam{i}.info/1", link("bad.com")) for i in range(20)]  # all share one blocked target
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["host"]: r["verdict"] for r in urlgraph.judge_urls(df).collect()}
+    assert {h for h, v in got.items() if v == "block"} == {"bad.com", "far.info", *(f"spam{i}.info" for i in range(20))}
+
+
 def test_exact_marginals():
     """Messages against summing over all labellings of small trees."""
     from itertools import product
