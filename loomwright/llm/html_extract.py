@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -26,24 +27,40 @@ from pyspark.sql import types as T
 
 from .common import add_columns
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: Comments and the like; else a tag with its attributes. As in browsers a quote opens a value only after `=`, and one
+#: that is never closed is an ordinary character. Possessive, so that no text makes it try twice.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]++)?+|[^>=]++)*+)(?:>|\Z)",
+    re.S,
+)
 _NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _LETTERS = re.compile(r"[a-z]+")
-_RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object")}
+#: Text in these is no markup, up to the closing tag or the end of the page.
+_RAW = frozenset(("script", "style", "iframe", "noembed", "noframes", "textarea", "title"))
+#: These are not shown; without a closing tag only the opening one is left out.
+_HIDDEN = frozenset(("noscript", "template", "svg"))
+_CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW | _HIDDEN}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br input".split())
+_INLINE = frozenset("a abbr acronym annotation b bdi bdo big cite code data del dfn em font i ins kbd label mark math mi mn mo mrow ms msqrt msub msubsup msup mtext object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br input".split())
 #: An opening tag ends an open element of these, up to the nearest of the second set.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "body": ({"head"}, {"html"})}
 #: Elements that a closing tag doesn't reach through.
 _WALLS = frozenset("table td th article section aside nav header footer main form div body html".split())
 
 
+#: Elements that say nothing by themselves, and how many of their names pass to a single element inside.
+_PLAIN = frozenset("div section center".split())
+_MOST_WORDS = 40
+#: Names of layout, which are no feature.
+_NEUTRAL = frozenset("wrap wrapper row col column columns container grid inner outer layout box block section left center right site app root hold area item list".split())
+
+
 @dataclass
 class Node:
     tag: str
     parent: int
     words: tuple[str, ...] = ()
-    depth_label: str | None = None
     texts: list[tuple[int, str]] = field(default_factory=list)  # (number of the block, text)
     chars: int = 0
     link_chars: int = 0
@@ -52,9 +69,18 @@ class Node:
 def parse(source: str) -> list[Node]:
     """Block elements in page order; parents come first. Inline elements belong to their block."""
     nodes = [Node("#root", -1)]
-    open_, inline, piece = [0], [], []  # numbers of open blocks; open inline tags; text of the block so far
+    open_, piece = [0], []  # numbers of open blocks; text of the block so far
+    places: dict[str, list[int]] = {"#root": [0]}  # of each tag in open_, so that no tag is looked for one by one
+    unclosed: set[str] = set()  # hidden or raw elements that no closing tag follows any more
     n_blocks, links = 0, 0
 
+    def last(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def cut(k: int) -> None:
+        while len(open_) > k:
+            places[nodes[open_.pop()].tag].pop()
+
     def flush() -> None:
         nonlocal n_blocks
         if piece:
@@ -86,59 +112,80 @@ def parse(source: str) -> list[Node]:
         if m[2] is None:
             continue
         tag = m[2].lower()
-        if tag in _RAW and not m[1]:
-            if not m[0].endswith("/>"):
-                close = _RAW[tag].search(source, at)
-                at = source.find(">", close.end()) + 1 if close else end
-                at = at or end
-            if tag not in ("svg", "math"):
+        if tag in _CLOSE:
+            if m[1] or m[0].endswith("/>"):
                 continue
+            close = None if tag in unclosed else _CLOSE[tag].search(source, at)
+            if close:
+                at = source.find(">", close.end()) + 1 or end
+            elif tag in _RAW:
+                at = end
+            else:
+                unclosed.add(tag)
         elif tag in _INLINE:
             if tag == "br":
                 piece.append(" ")
             elif tag == "a":
                 links = 0 if m[1] else 1
-            continue
         elif m[1]:
-            if any(nodes[k].tag == tag for k in open_):
-                k = len(open_) - 1
-                while nodes[open_[k]].tag != tag and (nodes[open_[k]].tag not in _WALLS or tag in _WALLS):
-                    k -= 1
-                if nodes[open_[k]].tag == tag:
+            if places.get(tag):
+                k = places[tag][-1]
+                if tag in _WALLS or last(_WALLS) < k:
                     flush()
-                    del open_[k:]
+                    cut(k)
                     links = 0
             else:
                 flush()
         else:
             flush()
             links = 0
-            if tag in ("html",) and len(open_) > 1:
+            if tag == "html" and len(open_) > 1:
                 continue
             if nodes[open_[-1]].tag == "p":  # any block ends a paragraph
-                open_.pop()
+                cut(len(open_) - 1)
             if tag in _CLOSES:
                 ends, walls = _CLOSES[tag]
-                for k in range(len(open_) - 1, 0, -1):
-                    t = nodes[open_[k]].tag
-                    if t in walls:
-                        break
-                    if t in ends:
-                        del open_[k:]
-                        if tag not in ("tr", "tbody"):
-                            break
+                wall = last(walls)
+                above = [x for t in ends if places.get(t) for x in places[t][bisect_right(places[t], wall) :][:: 1 if tag in ("tr", "tbody") else -1][:1]]
+                if above:
+                    cut(min(above) if tag in ("tr", "tbody") else max(above))
             words = tuple(w for x in _NAMED.findall(m[3]) for w in _LETTERS.findall("".join(x).lower())) if m[3] else ()
             nodes.append(Node(tag, open_[-1], words))
             if tag not in _VOID and not m[0].endswith("/>"):
+                places.setdefault(tag, []).append(len(open_))
                 open_.append(len(nodes) - 1)
     flush()
     return nodes
 
 
+def contract(nodes: list[Node]) -> tuple[list[Node], list[int]]:
+    """Without plain elements around a single element and no text, and the numbers of those that stay.
+
+    Such an element says nothing but by its names, which pass to the one inside:
+    so however deep the wrappers, the tree of a page is the same.
+    """
+    children = [0] * len(nodes)
+    for x in nodes[1:]:
+        children[x.parent] += 1
+    to, stay = [0] * len(nodes), []  # the number, among those that stay, of the element that stands for each
+    out: list[Node] = []
+    names: dict[int, tuple[str, ...]] = {}
+    for i, x in enumerate(nodes):
+        own = names.get(x.parent, ()) + x.words
+        if i and x.tag in _PLAIN and children[i] == 1 and not x.texts:
+            to[i] = to[x.parent]
+            names[i] = own[-_MOST_WORDS:]
+        else:
+            to[i] = len(out)
+            out.append(Node(x.tag, to[x.parent] if i else -1, own, x.texts, x.chars, x.link_chars))
+            stay.append(i)
+    return out, stay
+
+
 def features(node: Node) -> tuple[str, ...]:
     size = 0 if not node.chars else 1 + min(6, node.chars.bit_length() // 2)
     share = 0 if not node.link_chars else 1 + min(2, 3 * node.link_chars // max(1, node.chars))
-    return ("1", f"t={node.tag}", f"n={size}", f"l={share}", *{f"w={w}" for w in node.words})
+    return ("1", f"t={node.tag}", f"n={size}", f"l={share}", *sorted({f"w={w}" for w in node.words if w not in _NEUTRAL}))
 
 
 def _logsum(a: float, b: float) -> float:
@@ -152,8 +199,8 @@ class Model:
     weight: dict[str, float] = field(default_factory=dict)
     edge: list[list[float]] = field(default_factory=lambda: [[0.0, 0.0], [0.0, 0.0]])
 
-    def marginals(self, nodes: list[Node], feats: list[tuple[str, ...]] | None = None) -> tuple[list[float], list[list[list[float]]]]:
-        """P(content) of each node, and P(parent's label, own label) of each node."""
+    def marginals(self, nodes: list[Node], feats: list[tuple[str, ...]] | None = None, pairs: bool = True) -> tuple[list[float], list[list[list[float]]]]:
+        """P(content) of each node, and, with `pairs`, P(parent's label, own label) of each node."""
         w, e = self.weight, self.edge
         n = len(nodes)
         own = [sum(w.get(f, 0.0) for f in (feats[i] if feats else features(nodes[i]))) for i in range(n)]
@@ -166,15 +213,16 @@ class Model:
             up0[p] += to0[i]
             up1[p] += to1[i]
         down0, down1 = [0.0] * n, [0.0] * n
-        prob, pair = [0.0] * n, [[[0.0, 0.0], [0.0, 0.0]] for _ in range(n)]
+        prob, pair = [0.0] * n, [[[0.0, 0.0], [0.0, 0.0]]] if pairs else []
         for i in range(n):
             if i:
                 p = nodes[i].parent
                 a, b = up0[p] + down0[p] - to0[i], up1[p] + down1[p] - to1[i]  # the parent without this child
                 down0[i] = _logsum(a + e[0][0], b + e[1][0])
                 down1[i] = _logsum(a + e[0][1], b + e[1][1])
-                z = _logsum(up0[i] + down0[i], up1[i] + down1[i])
-                pair[i] = [[exp(a + e[0][0] + up0[i] - z), exp(a + e[0][1] + up1[i] - z)], [exp(b + e[1][0] + up0[i] - z), exp(b + e[1][1] + up1[i] - z)]]
+                if pairs:
+                    z = _logsum(up0[i] + down0[i], up1[i] + down1[i])
+                    pair.append([[exp(a + e[0][0] + up0[i] - z), exp(a + e[0][1] + up1[i] - z)], [exp(b + e[1][0] + up0[i] - z), exp(b + e[1][1] + up1[i] - z)]])
             d = up1[i] + down1[i] - up0[i] - down0[i]
             prob[i] = 1 / (1 + exp(-d)) if d > -700 else 0.0
         return prob, pair
@@ -184,8 +232,8 @@ def train(pages: Iterable[tuple[str, dict[int, int]]], rounds: int = 12, rate: f
     """pages: (html, label of each node of parse(html) by number). Exact gradients from marginals, with AdaGrad."""
     data = []
     for source, labels in pages:
-        nodes = parse(source)
-        data.append((nodes, [features(x) for x in nodes], [labels[i] for i in range(len(nodes))]))
+        nodes, stay = contract(parse(source))
+        data.append((nodes, [features(x) for x in nodes], [labels[i] for i in stay]))
     model, grown, grown_e = Model(), {}, [[1e-3, 1e-3], [1e-3, 1e-3]]
     for _ in range(rounds):
         for nodes, feats, y in data:
@@ -224,7 +272,7 @@ _CONTENT = "article content post entry story main body text page"
 _FILLER = "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so up said what its about than into them can only other time new some could these two may first then do any like my now over such our man me even most made after also did many off before must well back through years much where your way down should because long each just state people those too mr how little good world make very year still see own work men day get here old life both between being under three never know same last another while us might great go come since against right came take used himself few house use place during high without again home around small however found mrs part school thought went say general once upon every left war don does got united number hand course water until always away public something fact less though far put head think called set almost enough end took government night yet system better four nothing told eyes city going president why days present point didn look find asked second group later next room social business knew program give half side face toward white five let young form given per order large several second".split()
 
 
-def labelled_pages(n: int = 160, seed: int = 1) -> list[tuple[str, dict[int, int]]]:
+def labelled_pages(n: int = 400, seed: int = 1) -> list[tuple[str, dict[int, int]]]:
     """Pages in many layouts, each element labelled while it is written."""
     rng = random.Random(seed)
     out = []
@@ -239,6 +287,14 @@ def labelled_pages(n: int = 160, seed: int = 1) -> list[tuple[str, dict[int, int
     def element(tag: str, label: int, inner: str, attrs: str = "") -> str:
         return f"<{tag}{attrs} data-y={label}>{inner}</{tag}>"
 
+    def wrapped(inner: str, label: int, most: int) -> str:
+        """Inside of 0 to `most` elements whose names say nothing."""
+        for _ in range(rng.randint(0, most)):
+            name = rng.choice([rng.choice(sorted(_NEUTRAL)), "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 5)))])
+            attrs = rng.choice(["", f' class="{name}"', f' class="{name}-{rng.randint(1, 12)}"', f' id="{name}{rng.randint(1, 99)}"'])
+            inner = element(rng.choice(["div", "div", "div", "section", "center"]), label, inner, attrs)
+        return inner
+
     def part(kind: str) -> str:
         tag = rng.choice(_TAGS[kind])
         attrs = "" if tag in ("nav", "header", "footer", "aside", "form") and rng.random() < 0.5 else named(_PARTS[kind])
@@ -265,7 +321,7 @@ def labelled_pages(n: int = 160, seed: int = 1) -> list[tuple[str, dict[int, int
 
     def article() -> str:
         body = element(rng.choice(["h1", "h1", "h2"]), 1, sentence(1, 14)) if rng.random() < 0.8 else ""
-        for _ in range(rng.randint(1, 8)):
+        for _ in range(rng.choice([1, 1, rng.randint(1, 8), rng.randint(1, 8), rng.randint(3, 20)])):
             k = rng.random()
             if k < 0.75:
                 text = sentence(1, 120)
@@ -295,11 +351,12 @@ def labelled_pages(n: int = 160, seed: int = 1) -> list[tuple[str, dict[int, int
         return body
 
     for _ in range(n):
-        before = [part(k) for k in ("notice", "header", "nav", "ad", "aside", "form") if rng.random() < 0.4]
-        after = [part(k) for k in ("share", "comments", "aside", "ad", "form", "notice", "footer") if rng.random() < 0.4]
-        body = "".join([*before, article(), *after])
-        if rng.random() < 0.3:
-            body = element("div", 1, body, ' class="wrap"' * (rng.random() < 0.7))
+        often = rng.choice([0.0, 0.4, 0.4, 0.4])
+        deep = rng.choice([0, 0, 1, 3])
+        before = [wrapped(part(k), 0, deep) for k in ("notice", "header", "nav", "ad", "aside", "form") if rng.random() < often]
+        after = [wrapped(part(k), 0, deep) for k in ("share", "comments", "aside", "ad", "form", "notice", "footer") if rng.random() < often]
+        body = "".join([*before, wrapped(article(), 1, rng.choice([0, 0, 2, 6])), *after])
+        body = wrapped(body, 1, rng.choice([0, 0, 1, 4]))
         source = element("html", 1, element("head", 0, "<title>T</title>") + element("body", 1, body))
         labels = {0: 1}
         for m in re.finditer(r" data-y=(\d)", source):
@@ -311,7 +368,7 @@ def labelled_pages(n: int = 160, seed: int = 1) -> list[tuple[str, dict[int, int
 
 
 @lru_cache(maxsize=4)
-def trained(n: int = 160, seed: int = 1) -> Model:
+def trained(n: int = 400, seed: int = 1) -> Model:
     return train(labelled_pages(n, seed))
 
 
@@ -319,8 +376,8 @@ def main_text(source: str | None, model: Model) -> str:
     """Blocks whose node is content with a probability of one half or more."""
     if not source:
         return ""
-    nodes = parse(source)
-    prob, _ = model.marginals(nodes)
+    nodes, _ = contract(parse(source))
+    prob, _ = model.marginals(nodes, pairs=False)
     return "\n\n".join(t for _, t in sorted(x for i, node in enumerate(nodes) if prob[i] >= 0.5 for x in node.texts))
 
 
