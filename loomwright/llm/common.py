@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,16 +22,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder of spark.checkpoint.dir.
 
-    The folder is set here only where the session has none (local tests).
+    A temporary folder is set only where the session has none and runs in local
+    mode (tests); on a cluster executors could not see it, so there it is an error.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomwright-checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir is not set: a folder that all executors share is needed")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="loomwright-checkpoints-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, n: int) -> list[str]:
+    """n column names that `df` doesn't have."""
+    used = {c.lower() for c in df.columns}
+    return list(islice((x for i in count() if (x := f"_lw{i}") not in used), n))
+
+
+def quoted(name: str) -> str:
+    """A column's name where a dot in it is no field."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only; the plain lower() is the same on pure ASCII and faster."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
@@ -55,27 +73,19 @@ def add_columns(
     new = {f.name.lower() for f in fields} | {x.lower() for x in drop}
     keep = [f for f in df.schema.fields if f.name.lower() not in new]
     names = [f.name for f in keep] + [f.name for f in fields]
-    old = [f.name for f in keep]
+    old, all_names = [f.name for f in keep], df.columns
+    if any("." in c for c in all_names):  # mapInArrow takes a dot for a field's
+        df = df.toDF(*(f"_{i}" for i in range(len(all_names))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in batches:
+            b = b.rename_columns(all_names)
             yield pa.RecordBatch.from_arrays([b.column(n) for n in old] + f(b), names=names)
 
     return df.mapInArrow(run, T.StructType(keep + fields))
 
 
-def keep_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Array]]) -> DataFrame:
-    """Filters rows in Arrow batches by a mask; all columns pass unchanged."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = make()
-        for b in batches:
-            yield b.filter(f(b))
-
-    return df.mapInArrow(run, df.schema)
-
-
 def utf8(column: pa.Array) -> list[bytes | None]:
     """A text column's bytes, without decoding them."""
     return column.cast(pa.binary()).to_pylist()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import quality
+
 _SPACE = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -36,5 +38,74 @@ FROM d LEFT JOIN hw USING (r) LEFT JOIN it USING (r)
 """
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _cuts(sketch: str) -> str:
+    """Quantiles of the sketch rows (lang, source, metric, low, n) of a table, for groups, languages and all."""
+    return f"""
+SELECT lvl, lang, source, metric, min(low) FILTER (s * 100 >= a * 25) AS q1, min(low) FILTER (s * 100 >= a * 50) AS q2, min(low) FILTER (s * 100 >= a * 75) AS q3,
+       min(low) FILTER (s * 100 >= a * {quality.TAIL_PERCENT}) AS tail, any_value(a) AS n
+FROM (SELECT *, sum(n) OVER (PARTITION BY lvl, lang, source, metric ORDER BY low) AS s, sum(n) OVER (PARTITION BY lvl, lang, source, metric) AS a
+      FROM (SELECT 2 AS lvl, lang, source, metric, low, n FROM {sketch} UNION ALL SELECT 1, lang, NULL, metric, low, sum(n) FROM {sketch} GROUP BY ALL
+            UNION ALL SELECT 0, NULL, NULL, metric, low, sum(n) FROM {sketch} GROUP BY ALL))
+GROUP BY lvl, lang, source, metric"""
+
+
+def _limits(cuts: str, spread: int, margins: str, rates: bool) -> str:
+    """(lang, source, metric, lo, hi) of every group and metric from a table of quantiles."""
+    pick = lambda x, least: f"CASE WHEN o.n >= {least} THEN o.{x} WHEN l.n >= {least} THEN l.{x} ELSE w.{x} END"
+    least = lambda t: f"{spread} * least({t}.q3 - {t}.q2, {t}.q2 - {t}.q1) + margin"
+    cap = f"CASE WHEN ln >= {quality.MIN_GROUP} THEN {{}} END"
+    hi = [f"q2 + {spread} * (q3 - q2) + margin", cap.format(f"l2 + {least('x').replace('x.', 'l')}")] + ([f"w2 + {least('x').replace('x.', 'w')}"] if rates else [])
+    lo = [f"q2 - {spread} * (q2 - q1) - margin", cap.format(f"l2 - ({least('x').replace('x.', 'l')})")]
+    hi, lo = (", ".join(x).replace("lq", "l").replace("wq", "w") for x in (hi, lo))
+    return f"""
+SELECT lang, source, metric, {"NULL" if rates else f"greatest({lo})"} AS lo, least({hi}) AS hi
+FROM (SELECT g.lang, g.source, m.metric, {pick("q1", quality.MIN_GROUP)} AS q1, {pick("q2", quality.MIN_GROUP)} AS q2, {pick("q3", quality.MIN_GROUP)} AS q3,
+             l.n AS ln, l.q1 AS l1, l.q2 AS l2, l.q3 AS l3, w.q1 AS w1, w.q2 AS w2, w.q3 AS w3,
+             always + least(coalesce({quality.TWICE} * ({pick("tail", quality.MIN_TAIL)}), most), most){"" if rates else f" + ({pick('q2', quality.MIN_GROUP)}) // 32"} AS margin
+      FROM groups g CROSS JOIN (VALUES {margins}) m(metric, always, most)
+      LEFT JOIN {cuts} o ON o.lvl = 2 AND o.metric = m.metric AND o.lang IS NOT DISTINCT FROM g.lang AND o.source IS NOT DISTINCT FROM g.source
+      LEFT JOIN {cuts} l ON l.lvl = 1 AND l.metric = m.metric AND l.lang IS NOT DISTINCT FROM g.lang
+      LEFT JOIN {cuts} w ON w.lvl = 0 AND w.metric = m.metric)"""
+
+
+def _sketch(rows: str) -> str:
+    return f"SELECT lang, source, metric, (v >> c) << c AS low, count(*) AS n FROM (SELECT *, greatest(0, length(bin(v)) - 6) AS c FROM {rows}) GROUP BY ALL"
+
+
+def _op4() -> str:
+    rates = ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in quality.CEILING.items())
+    inside = "t.metric = v.metric AND t.lang IS NOT DISTINCT FROM v.lang AND t.source IS NOT DISTINCT FROM v.source"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '{_WORD}') AS w FROM d),
+win AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS x FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+again AS (SELECT r, x FROM win GROUP BY r, x HAVING count(*) > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM win JOIN again USING (r, x)) GROUP BY r),
+ln AS (SELECT r, count(*) AS n, count(DISTINCT x) AS u FROM (SELECT r, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{_WORD}') GROUP BY r),
+b AS (SELECT d.r, doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(ln.n - ln.u, 0)::BIGINT AS n_dup_lines,
+             coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(ln.n, 0) AS n_lines
+      FROM d JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN ln USING (r)),
+j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b),
+groups AS (SELECT DISTINCT lang, source FROM j WHERE NOT base_failed),
+v AS (SELECT r, lang, source, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS metric,
+             unnest([100 * word_chars // greatest(n_words, 1), 1000 * n_symbols // (n_words + {quality.MORE_WORDS}), 1000 * n_dup_lines // (n_lines + {quality.MORE_LINES}), 1000 * n_repeat_words // (n_words + {quality.MORE_WORDS})]) AS v
+      FROM j WHERE NOT base_failed),
+s1 AS ({_sketch("(SELECT * FROM v WHERE metric = 'word_length')")}),
+c1 AS ({_cuts("s1")}),
+t1 AS ({_limits("c1", quality.SPREAD, f"('word_length', {quality.LENGTH_MARGIN}, 0)", False)}),
+core AS ({_limits("c1", quality.CORE_SPREAD, "('word_length', 0, 0)", False)}),
+usual AS (SELECT v.r FROM v JOIN core t ON {inside} WHERE v >= lo AND v <= hi),
+s2 AS ({_sketch("(SELECT v.* FROM v JOIN usual USING (r) WHERE metric <> 'word_length')")}),
+c2 AS ({_cuts("s2")}),
+t2 AS ({_limits("c2", quality.SPREAD, rates, True)}),
+gone AS (SELECT DISTINCT r FROM v JOIN (SELECT * FROM t1 UNION ALL SELECT * FROM t2) t ON {inside} WHERE v < lo OR v > hi)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND gone.r IS NULL AS kept FROM j LEFT JOIN gone USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9, "op10_benchmark_decontamination": OP10}
+    return {"op4_quality_rules": _op4(), "op9_line_dedup": OP9, "op10_benchmark_decontamination": OP10}

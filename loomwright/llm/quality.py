@@ -4,14 +4,20 @@ Each document gives integer metrics. Per language and source, each metric is
 summed up in a sketch of log-linear buckets (32 to each power of two, so a
 quantile is right to 1/32); sketches are plain (group, bucket, count) rows that
 merge by adding counts, are the same however the rows are dealt, and have at
-most some 2,000 buckets. A document fails where a metric is far outside its own
-group's spread: beyond the median by SPREAD times the distance from median to
-quartile plus a margin. Groups of few documents use the merged sketch of their
-language, or else of all. No group raises its own limit: it is bounded by the
-limit of its language's and (rates only, as word lengths differ by language)
-all groups' merged sketch, there with the smaller of both quartile distances,
-so that noise counts only from half of the merged documents. Nothing is a fixed
-share: a clean group loses none.
+most some 2,000 buckets.
+
+Two rounds of sketches give the limits of a group. The fence of the word length
+is SPREAD times the distance from median to quartile away from the median, and a
+margin. The rates (symbols, repeated lines, repeated words) are then sketched
+over the documents within CORE_SPREAD of these distances, the group's usual
+text, so that noise doesn't raise them; a group's limit is its own fence from
+the quartiles plus TWICE its high quantile. Groups of few documents use the merged
+sketch of their language, or else of all. No group raises its own limit: it is
+bounded by the fence of its language's and (rates only, as word lengths differ
+by language) all groups' merged sketch, there with the smaller of both quartile
+distances, and the part from the high quantile never passes CEILING, which is
+what a group that is mostly noise gets. Rates are taken over a few more words or
+lines than there are, so that one repeated line in a short text is no fault.
 """
 
 from __future__ import annotations
@@ -23,22 +29,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import ASCII_SPACE, add_columns, checkpoint
+from .common import ASCII_SPACE, add_columns, checkpoint, fresh, quoted
 
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 SYMBOLS = "#*$%&|<>"
-#: A group with fewer documents is judged by a wider one.
-MIN_GROUP = 50
-SPREAD = 6
-#: metric: (margin below, margin above) besides the spread; None: no such bound.
-MARGIN = {
-    "symbols": (None, 100),  # symbols in 1,000 words
-    "word_length": (150, 150),  # hundredths of a code point
-    "dup_lines": (None, 400),  # of 1,000 lines with a word
-    "repeats": (None, 250),  # of 1,000 words
-}
-#: Metrics that are also bounded by all languages' sketch.
-RATES = ("symbols", "dup_lines", "repeats")
+#: A group with fewer documents is judged by a wider one; the same for its high quantile.
+MIN_GROUP, MIN_TAIL = 50, 400
+SPREAD, TAIL_PERCENT, TWICE = 6, 99, 2
+#: The spread of word lengths up to which a document is the group's usual text.
+CORE_SPREAD = 2
+#: Hundredths of a code point added on both sides of the word length.
+LENGTH_MARGIN = 100
+#: Rates in thousandths: (what is always allowed, the most that a high quantile adds).
+CEILING = {"symbols": (15, 60), "dup_lines": (15, 200), "repeats": (15, 150)}
+METRICS = ("word_length", *CEILING)
+#: Words and lines added to those of a text before a rate is taken.
+MORE_WORDS, MORE_LINES = 200, 20
 #: Threshold rows up to which they are broadcast (some 100 bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -103,27 +109,34 @@ def base_failed(q: str = "quality") -> Column:
     return (n < MIN_WORDS) | (100 * F.col(f"{q}.n_repeat_words") > REPEAT_PERCENT * n)
 
 
-def _rates(q: str) -> dict[str, Column]:
-    def per(a: str, scale: int, b: str) -> Column:
-        return F.floor(F.col(f"{q}.{a}") * scale / F.greatest(F.col(f"{q}.{b}"), F.lit(1))).cast("long")
+def _metrics(q: str) -> dict[str, Column]:
+    def per(a: str, scale: int, b: str, more: int) -> Column:
+        return F.floor(F.col(f"{q}.{a}") * scale / F.greatest(F.col(f"{q}.{b}") + more, F.lit(1))).cast("long")
 
-    return {"symbols": per("n_symbols", 1000, "n_words"), "word_length": per("word_chars", 100, "n_words"), "dup_lines": per("n_dup_lines", 1000, "n_lines"), "repeats": per("n_repeat_words", 1000, "n_words")}
+    return {
+        "word_length": per("word_chars", 100, "n_words", 0),
+        "symbols": per("n_symbols", 1000, "n_words", MORE_WORDS),
+        "dup_lines": per("n_dup_lines", 1000, "n_lines", MORE_LINES),
+        "repeats": per("n_repeat_words", 1000, "n_words", MORE_WORDS),
+    }
 
 
-def sketches(measured: DataFrame, q: str = "quality", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+def sketches(measured: DataFrame, q: str = "quality", by: tuple[str, ...] = ("lang", "source"), metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """(*by, metric, low, n): n documents have a metric in the bucket that begins at low. Union and sum merge sketches."""
-    rows = measured.where(~base_failed(q)).select(*by, F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), v.alias("_v")) for k, v in _rates(q).items()))).alias("_m"))
+    values = {k: v for k, v in _metrics(q).items() if k in metrics}
+    rows = measured.where(~base_failed(q)).select(*by, F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), v.alias("_v")) for k, v in values.items()))).alias("_m"))
     cut = F.expr("greatest(0, length(bin(_m._v)) - 6)")  # 6 leading bits stay: 32 buckets to a power of two
     rows = rows.select(*by, "_m.metric", cut.alias("_c"), "_m._v").withColumn("low", F.expr("shiftleft(shiftright(_v, _c), _c)"))
     return rows.groupBy(*by, "metric", "low").agg(F.count("*").alias("n"))
 
 
-def thresholds(sketch: DataFrame, by: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """(*by, limits map<metric, struct<lo, hi>>) for every group of the sketches."""
+def thresholds(sketch: DataFrame, by: tuple[str, str] = ("lang", "source"), spread: int = SPREAD, length_margin: int = LENGTH_MARGIN, groups: DataFrame | None = None) -> DataFrame:
+    """(*by, limits map<metric, struct<lo, hi>>) for every group of the sketches, or of `groups` (*by)."""
     a, b = by
-    levels = sketch.withColumn("_none", F.lit(None).cast("string"))
-    wide = levels.groupBy("metric", "low").agg(F.sum("n").alias("n")).select(F.lit(0).alias("_level"), F.lit(None).cast(sketch.schema[a].dataType).alias(a), F.lit(None).cast(sketch.schema[b].dataType).alias(b), "metric", "low", "n")
-    mid = sketch.groupBy(a, "metric", "low").agg(F.sum("n").alias("n")).select(F.lit(1).alias("_level"), a, F.lit(None).cast(sketch.schema[b].dataType).alias(b), "metric", "low", "n")
+    sketch = checkpoint(sketch)
+    none = {c: F.lit(None).cast(sketch.schema[c].dataType).alias(c) for c in by}
+    wide = sketch.groupBy("metric", "low").agg(F.sum("n").alias("n")).select(F.lit(0).alias("_level"), none[a], none[b], "metric", "low", "n")
+    mid = sketch.groupBy(a, "metric", "low").agg(F.sum("n").alias("n")).select(F.lit(1).alias("_level"), a, none[b], "metric", "low", "n")
     every = wide.unionByName(mid).unionByName(sketch.select(F.lit(2).alias("_level"), a, b, "metric", "low", "n"))
     group = Window.partitionBy("_level", a, b, "metric")
     every = every.withColumn("_sum", F.sum("n").over(group.orderBy("low"))).withColumn("_all", F.sum("n").over(group))
@@ -131,50 +144,74 @@ def thresholds(sketch: DataFrame, by: tuple[str, str] = ("lang", "source")) -> D
     def quantile(p: int) -> Column:
         return F.min(F.when(F.col("_sum") * 100 >= F.col("_all") * p, F.col("low")))
 
-    cut = every.groupBy("_level", a, b, "metric").agg(quantile(25).alias("q1"), quantile(50).alias("q2"), quantile(75).alias("q3"), F.first("_all").alias("_all"))
-    lo = hi = cap_lo = cap_hi = F.lit(None).cast("long")
-    least = F.least(F.col("q3") - F.col("q2"), F.col("q2") - F.col("q1"))
-    for k, (below, above) in MARGIN.items():
-        here = F.col("metric") == k
-        if below is not None:
-            lo = F.when(here, F.col("q2") - SPREAD * (F.col("q2") - F.col("q1")) - below).otherwise(lo)
-            cap_lo = F.when(here, F.col("q2") - SPREAD * least - below).otherwise(cap_lo)
-        if above is not None:
-            hi = F.when(here, F.col("q2") + SPREAD * (F.col("q3") - F.col("q2")) + above).otherwise(hi)
-            cap_hi = F.when(here, F.col("q2") + SPREAD * least + above).otherwise(cap_hi)
-    cut = cut.groupBy("_level", a, b).agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct(lo.alias("lo"), hi.alias("hi"), cap_lo.alias("cap_lo"), cap_hi.alias("cap_hi")).alias("limit")))).alias("limits"), F.max("_all").alias("_all"))
-    fine = cut.where("_level = 2").select(a, b, F.col("limits").alias("_l2"), F.col("_all").alias("_n2"))
-    mid = cut.where("_level = 1").select(F.col(a).alias("_a"), F.col("limits").alias("_l1"), F.col("_all").alias("_n1"))
-    wide = cut.where("_level = 0").select(F.col("limits").alias("_l0"))
-    joined = fine.join(mid, F.col(a).eqNullSafe(F.col("_a")), "left").join(F.broadcast(wide))  # wide: one row
-    chosen = F.when(F.col("_n2") >= MIN_GROUP, F.col("_l2")).when(F.col("_n1") >= MIN_GROUP, F.col("_l1")).otherwise(F.col("_l0"))
-    mid_cap = F.when(F.col("_n1") >= MIN_GROUP, F.col("_l1"))
-    bounded = []
-    for k in MARGIN:
-        caps = [mid_cap[k]] + ([F.col("_l0")[k]] if k in RATES else [])
-        lo = F.greatest(F.col("_own")[k]["lo"], *(c["cap_lo"] for c in caps))
-        hi = F.least(F.col("_own")[k]["hi"], *(c["cap_hi"] for c in caps))
-        bounded += [F.lit(k), F.struct(lo.alias("lo"), hi.alias("hi"))]
-    return joined.withColumn("_own", chosen).select(a, b, F.create_map(*bounded).alias("limits"))
-
-
-def judged(measured: DataFrame, limits: DataFrame, q: str = "quality", by: tuple[str, ...] = ("lang", "source"), out: str = "kept") -> DataFrame:
+    cut = every.groupBy("_level", a, b, "metric").agg(quantile(25).alias("q1"), quantile(50).alias("q2"), quantile(75).alias("q3"), quantile(TAIL_PERCENT).alias("tail"), F.first("_all").alias("n"))
+    cut = checkpoint(cut.groupBy("_level", a, b).agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("q1", "q2", "q3", "tail", "n")))).alias("_q")))
+    row = cut.where("_level = 0").select("_q").first()  # one row at most
+    names = ("q1", "q2", "q3", "tail", "n")
+    all_q = {k: F.struct(*(F.lit(row[0][k][x] if row and k in row[0] else None).cast("long").alias(x) for x in names)) for k in METRICS}
+    mid = cut.where("_level = 1").select(F.col(a).alias("_by_a"), F.col("_q").alias("_q1"))
+    own = cut.where("_level = 2").select(F.col(a).alias("_own_a"), F.col(b).alias("_own_b"), F.col("_q").alias("_q2"))
+    groups = groups or cut.where("_level = 2").select(a, b)
+    joined = groups.join(own, F.col(a).eqNullSafe(F.col("_own_a")) & F.col(b).eqNullSafe(F.col("_own_b")), "left").join(mid, F.col(a).eqNullSafe(F.col("_by_a")), "left")
+    limits = []
+    for k in METRICS:
+        own, lang, wide_q = F.col("_q2")[k], F.col("_q1")[k], all_q[k]
+
+        def chosen(least: int) -> Column:
+            return F.when(own["n"] >= least, own).when(lang["n"] >= least, lang).otherwise(wide_q)
+
+        q = chosen(MIN_GROUP)
+        if k in CEILING:
+            always, most = CEILING[k]
+            margin = always + F.least(F.coalesce(TWICE * chosen(MIN_TAIL)["tail"], F.lit(most)), F.lit(most))
+        else:
+            margin = length_margin + F.floor(q["q2"] / 32)  # the sketch's error
+        lo, hi = [q["q2"] - spread * (q["q2"] - q["q1"]) - margin], [q["q2"] + spread * (q["q3"] - q["q2"]) + margin]
+        for cap in [F.when(lang["n"] >= MIN_GROUP, lang)] + ([wide_q] if k in CEILING else []):
+            least = spread * F.least(cap["q3"] - cap["q2"], cap["q2"] - cap["q1"]) + margin
+            lo.append(cap["q2"] - least)
+            hi.append(cap["q2"] + least)
+        low = F.lit(None).cast("long") if k in CEILING else F.greatest(*lo)
+        limits += [F.lit(k), F.struct(low.alias("lo"), F.least(*hi).cast("long").alias("hi"))]
+    return joined.select(a, b, F.create_map(*limits).alias("limits"))
+
+
+def limits_of(measured: DataFrame, q: str = "quality", by: tuple[str, str] = ("lang", "source")) -> DataFrame:
+    """(*by, limits) of stored metrics: of the word length, and of the rates among documents of usual word length."""
+    lengths = checkpoint(sketches(measured, q, by, ("word_length",)))
+    first = thresholds(lengths, by)
+    usual = judged(measured, thresholds(lengths, by, CORE_SPREAD, 0), q, by, "_usual", ("word_length",)).where("_usual")
+    rates = thresholds(sketches(usual, q, by, tuple(CEILING)), by, groups=first.select(*by)).select(*(F.col(c).alias(f"_r{i}") for i, c in enumerate(by)), F.col("limits").alias("_rates"))
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_r{i}"))
+    both = [x for k in METRICS for x in (F.lit(k), (F.col("_rates") if k in CEILING else F.col("limits"))[k])]
+    return checkpoint(first.join(rates, on, "left").select(*by, F.create_map(*both).alias("limits")))
+
+
+def judged(measured: DataFrame, limits: DataFrame, q: str = "quality", by: tuple[str, ...] = ("lang", "source"), out: str = "kept", metrics: tuple[str, ...] = METRICS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Adds the boolean column `out`: not base_failed and inside the limits of the row's group.
 
     The limits are broadcast only after their rows are counted.
     """
-    few = limits.count() <= BROADCAST_ROWS
-    right = limits.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("limits").alias("_limits"))
-    on = None
-    for c in by:
-        one = F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-        on = one if on is None else on & one
+    few = limits.count() <= broadcast_rows
+    names = fresh(measured, len(by) + 1)
+    right = limits.select(*(F.col(c).alias(x) for c, x in zip(by, names)), F.col("limits").alias(names[-1]))
+    on = F.lit(True)
+    for c, x in zip(by, names):
+        on = on & F.col(c).eqNullSafe(F.col(x))
     joined = measured.join(F.broadcast(right) if few else right, on, "left")
     inside = F.lit(True)
-    for k, v in _rates(q).items():
-        lo, hi = F.col("_limits")[k]["lo"], F.col("_limits")[k]["hi"]
-        inside = inside & F.coalesce(v >= lo, F.lit(True)) & F.coalesce(v <= hi, F.lit(True))
-    return joined.withColumn(out, ~base_failed(q) & inside).drop("_limits", *(f"_by_{c}" for c in by))
+    for k, v in _metrics(q).items():
+        if k in metrics:
+            lo, hi = F.col(names[-1])[k]["lo"], F.col(names[-1])[k]["hi"]
+            inside = inside & F.coalesce(v >= lo, F.lit(True)) & F.coalesce(v <= hi, F.lit(True))
+    return joined.withColumn(out, ~base_failed(q) & inside).drop(*names)
+
+
+def _measured(docs: DataFrame, text_col: str, by: tuple[str, str], *more: str) -> DataFrame:
+    """Stored metrics (*more, *by, quality) without texts."""
+    return checkpoint(with_base_metrics(docs.select(*more, *by, F.col(text_col).alias("_text")), "_text", keep_text=False))
 
 
 def measure_and_judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, str] = ("lang", "source")) -> DataFrame:
@@ -184,12 +221,16 @@ def measure_and_judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     null language or source is a group of its own. Repeated rows are judged
     each. An empty table gives no rows. Other columns are ignored.
     """
-    measured = checkpoint(with_base_metrics(docs.select(id_col, *by, F.col(text_col).alias("_text")), "_text", keep_text=False))
-    limits = checkpoint(thresholds(sketches(measured, by=by), by))
-    return judged(measured, limits, by=by).withColumn("base_failed", base_failed())
+    measured = _measured(docs, text_col, by, id_col)
+    return judged(measured, limits_of(measured, by=by), by=by).withColumn("base_failed", base_failed())
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", by: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """Rows of `docs` that are kept, with its columns. Texts are measured twice, so that none is shuffled or stored."""
-    limits = checkpoint(thresholds(sketches(with_base_metrics(docs.select(*by, F.col(text_col).alias("_text")), "_text", "_quality", keep_text=False), "_quality", by), by))
-    return judged(with_base_metrics(docs, text_col, "_quality"), limits, "_quality", by, "_kept").where("_kept").select(*docs.columns)
+    """Rows of `docs` that are kept, with its columns. Texts are measured twice, so that none is shuffled or stored.
+
+    Defined cases: as of `measure_and_judge`; columns of `docs` may have any
+    names.
+    """
+    limits = limits_of(_measured(docs, text_col, by), by=by)
+    q, kept = fresh(docs, 2)
+    return judged(with_base_metrics(docs, text_col, q), limits, q, by, kept).where(F.col(kept)).select(*(F.col(quoted(c)) for c in docs.columns))
