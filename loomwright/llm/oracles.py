@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, urlgraph
 
 _SPACE = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -107,5 +107,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def _op8(rounds: int = 80) -> str:
+    """Scores of links settle within `rounds` to less than a millionth."""
+    lower = lambda x: _LOWER.format(x)
+    host = lambda x: lower(f"regexp_extract({x}, '(?s)^.*?://([^/?#]*)', 1)")
+    when = []
+    for kind, text in sorted(urlgraph.RULES, key=lambda r: (-len(r[1]), r[1])):
+        h, slash, p = text.partition("/")
+        when.append((f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{slash + p}')", text, kind))
+    case = lambda k: "CASE " + " ".join(f"WHEN {w[0]} THEN '{w[k]}'" for w in when) + " END"
+    d = urlgraph.DAMPING
+    steps = [
+        f"""g{i} AS MATERIALIZED (SELECT h.host, {1 - d} * trusted + {d} * coalesce(a.x, 0) AS good, {1 - d} * blocked + {d} * coalesce(b.x, 0) AS bad FROM hosts h
+ LEFT JOIN (SELECT dst, sum(n * good) / sum(n) AS x FROM edges JOIN g{i - 1} ON src = host GROUP BY dst) a ON a.dst = h.host
+ LEFT JOIN (SELECT src, sum(n * bad) / sum(n) AS x FROM edges JOIN g{i - 1} ON dst = host GROUP BY src) b ON b.src = h.host)"""
+        for i in range(1, rounds + 1)
+    ]
+    return f"""
+WITH p AS (SELECT row_number() OVER () AS r, page_id, coalesce({host("url")}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
+j AS (SELECT *, {case(1)} AS rule, {case(2)} AS by_rule FROM p),
+seeds AS (SELECT host, avg((coalesce(by_rule, '') = 'allow')::INT) AS trusted, avg((coalesce(by_rule, '') = 'block')::INT) AS blocked FROM j WHERE host <> '' GROUP BY host),
+refs AS (SELECT host AS src, unnest(list_distinct(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?(?:https?:)?(//[^"''\\s>]+)', 1))) AS ref FROM p),
+edges AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM (SELECT src, {host("':' || ref")} AS dst FROM refs) WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
+hosts AS MATERIALIZED (SELECT host, coalesce(trusted, 0) AS trusted, coalesce(blocked, 0) AS blocked FROM (SELECT host FROM seeds UNION SELECT src FROM edges UNION SELECT dst FROM edges) LEFT JOIN seeds USING (host)),
+g0 AS MATERIALIZED (SELECT host, {1 - d} * trusted AS good, {1 - d} * blocked AS bad FROM hosts),
+{", ".join(steps)}
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN bad - good > (CASE WHEN trusted > 0 OR blocked > 0 THEN {urlgraph.MARGIN} ELSE {min(urlgraph.MARGIN, urlgraph.LINK_MARGIN)} END) * {1 - d} THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN g{rounds} USING (host) LEFT JOIN seeds USING (host)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": _op4(), "op9_line_dedup": OP9, "op10_benchmark_decontamination": OP10}
+    return {"op4_quality_rules": _op4(), "op8_url_filters": _op8(), "op9_line_dedup": OP9, "op10_benchmark_decontamination": OP10}
