@@ -17,9 +17,13 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
+from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,56 +31,134 @@ from pyspark.sql import types as T
 from .common import checkpoint
 
 CAPACITY, END_ID = 2048, 0
-#: Pieces of a length in a hash bucket, about, when ranks are counted.
-BUCKET_ROWS = 500_000
-#: Chunks of text whose ids a Python worker remembers; the older half goes when it is full.
-_MOST_CHUNKS = 250_000
+#: Bytes of texts whose ids are in memory at once (and at least one text).
+SLICE_BYTES = 8_000_000
+#: Bytes of chunks and ids that a Python worker remembers, twice over: when full, the older half goes.
+CACHE_BYTES = 64_000_000
+#: Longer chunks (lines of a script without spaces) are not remembered.
+LONGEST_KEPT = 200
+#: At the end of a token that ends a word.
+WORD_END = "</w>"
 
 
 class ChunkTokenizer:
     """Ids of texts by a tokenizer for which ids never span a space or line break.
 
-    Its normalizer and pre-tokenizer must treat the sides of a space apart (as
-    a BPE with word ends and white space removed does), so the ids of a text are
-    those of its space-separated chunks, which repeat and are remembered.
+    Its normalizer must lower-case and treat the sides of a space apart, its
+    pre-tokenizer must part letters and digits from other characters but for
+    contractions, and its tokens must mark the end of a word. The ids of a text
+    are then those of its space-separated chunks, and the ids of an ASCII chunk
+    those of what comes before its last signs, lower-cased, and of the signs.
+    Each distinct part of many texts is looked up or encoded once, and the ids
+    are put together as arrays.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
-        self.now: dict[str, bytes] = {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.held = 0
 
-    def _learn(self, missing: list[str]) -> None:
-        """Encodes chunks side by side in one text, and parts the ids by where they begin."""
-        for i in range(0, len(missing), 1000):
-            part = missing[i : i + 1000]
-            e = self.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        """Encodes words of a-z side by side in one text, and parts the ids at the word ends."""
+        for part in _runs(words):
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stop = np.flatnonzero(self.ends_word[ids]) * 4 + 4
+            raw = ids.tobytes()
+            yield from (raw[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True))
+
+    def _chunks(self, chunks: list[str]) -> Iterator[bytes]:
+        """Encodes any chunks side by side in one text, and parts the ids by where they begin."""
+        for part in _runs(chunks):
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            raw = np.array(e.ids, "<u4").tobytes()
             ends = np.cumsum([len(c) + 1 for c in part])
             n = np.bincount(np.searchsorted(ends, [a for a, _ in e.offsets], side="right"), minlength=len(part))
             stop = np.cumsum(n) * 4
-            raw = ids.tobytes()
-            self.now.update(zip(part, (raw[a:b] for a, b in zip((stop - 4 * n).tolist(), stop.tolist(), strict=True)), strict=True))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        # The normalizer lower-cases: for ASCII without special tokens that may as well come first.
-        texts = [t.lower() if t.isascii() and "<|" not in t else t for t in texts]
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.now) > _MOST_CHUNKS:
-            self.now, self.before = {"": b""}, self.now
-        now, old = self.now, self.before.get
-        missing = set().union(*chunks).difference(now)
-        # A comma or dot after a letter is a token of its own.
-        ended = [w for w in missing if w[-1] in ",." and w[-2:-1].isalpha()]
-        missing.difference_update(ended)
-        missing.update({w[:-1] for w in ended}.difference(now), {",", "."}.difference(now))
-        now.update((w, x) for w in missing if (x := old(w)) is not None)
-        self._learn([w for w in missing if w not in now])
-        now.update((w, now[w[:-1]] + now[w[-1]]) for w in ended)
-        return [b"".join(map(now.__getitem__, c)) for c in chunks]
+            yield from (raw[a:b] for a, b in zip((stop - 4 * n).tolist(), stop.tolist(), strict=True))
+
+    def _table(self, parts: pa.Array) -> list[bytes]:
+        """The ids of distinct parts."""
+        if self.held > CACHE_BYTES:
+            self.now, self.before, self.held = {}, self.now, 0
+        names = parts.to_pylist()
+        found = list(map(self.now.get, names))
+        missing = [i for i, x in enumerate(found) if x is None]
+        for i in missing:
+            found[i] = self.before.get(names[i])
+        is_word = pc.match_substring_regex(parts, "^[a-z]+$").to_numpy(zero_copy_only=False)
+        for word, encoded in ((True, self._words), (False, self._chunks)):
+            fresh = [i for i in missing if found[i] is None and is_word[i] == word]
+            for i, x in zip(fresh, encoded([names[i] for i in fresh]), strict=True):
+                found[i] = x
+        for i in missing:
+            if len(names[i]) <= LONGEST_KEPT:
+                self.now[names[i]] = found[i]
+                self.held += len(names[i]) + len(found[i]) + 150
+        return found
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (uint32) of all texts, one after another, and where each text's end. No text is null."""
+        split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        chunks = split.flatten().dictionary_encode()
+        names = chunks.dictionary
+        plain = pc.and_(pc.string_is_ascii(names), pc.invert(pc.match_substring(names, "<|")))  # no special token
+        low = pc.if_else(plain, pc.ascii_lower(names), names)
+        signs = pc.extract_regex(pc.if_else(plain, low, pa.scalar(None, pa.large_string())), r"(?s)^(?P<head>.*[0-9a-z])(?P<tail>[^0-9a-z]+)$")
+        heads = pc.if_else(signs.is_valid(), signs.field("head"), low)
+        tails = pc.if_else(signs.is_valid(), signs.field("tail"), "")
+        parts = pa.concat_arrays([heads, tails.cast(heads.type)]).dictionary_encode()
+        found = self._table(parts.dictionary)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        which = parts.indices.to_numpy().reshape(2, -1).T.ravel()  # head and tail of each chunk
+        ids, ends = _gather(np.frombuffer(b"".join(found), "<u4"), size, which)
+        ids, ends = _gather(ids, np.diff(ends[1::2], prepend=0), chunks.indices.to_numpy())
+        last = split.offsets.to_numpy()[1:] - split.offsets[0].as_py() - 1
+        return ids, ends[last]
+
+
+def _gather(flat: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs `which` of runs of `size` in `flat`, one after another, and where each ends."""
+    n = size[which]
+    ends = np.cumsum(n)
+    at = np.repeat((np.cumsum(size) - size)[which] - ends + n, n) + np.arange(len(n) and ends[-1])
+    return flat[at], ends
+
+
+@lru_cache(maxsize=1)
+def _tokenizer(path: str) -> ChunkTokenizer:
+    """One in each Python worker, so that a task knows the chunks of those before it."""
+    return ChunkTokenizer(path)
+
+
+def _runs(chunks: list[str]) -> Iterator[list[str]]:
+    """Up to 1000 chunks, or a million characters and a chunk, at a time."""
+    part, size = [], 0
+    for c in chunks:
+        part.append(c)
+        size += len(c)
+        if len(part) == 1000 or size > 1_000_000:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs [from, to) of texts of some SLICE_BYTES bytes together."""
+    start = size = 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        size += n
+        if size >= SLICE_BYTES or i - start >= 4000:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -97,20 +179,23 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = ChunkTokenizer(tokenizer_path)
+        tokenizer = _tokenizer(tokenizer_path)
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
-            for k in range(0, b.num_rows, 256):  # texts of a part are in memory as ids at once
-                part = b.slice(k, 256)
+            texts = b.column("_text")
+            for lo, hi in _slices(texts):
                 at, out = [], []
-                for i, ids in enumerate(tokenizer.ids(part.column("_text").to_pylist())):
-                    ids += end
+                all_ids, stops = tokenizer.ids(texts.slice(lo, hi - lo))
+                first = 0
+                for i, stop in enumerate(stops.tolist(), lo):
+                    ids = all_ids[first:stop].tobytes() + end
+                    first = stop
                     for p, s in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[s : s + 4 * capacity]
                         at.append(i)
                         out.append((p, s // 4, len(own) // 4, zlib.crc32(own), own))
-                cols = list(zip(*out, strict=True)) if out else [()] * 5
-                arrays = [part.column("_id").take(pa.array(at, pa.int64()))]
+                cols = list(zip(*out, strict=True))
+                arrays = [b.column("_id").take(pa.array(at, pa.int64()))]
                 arrays += [pa.array(c, t) for c, t in zip(cols[: 4 + with_ids], (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
 
@@ -126,9 +211,29 @@ class Plan:
         for n, c in counts.items():
             self.left[n] = c
         self.patterns: list[tuple[list[tuple[int, int]], int]] = []  # ([(length, times)], sequences)
+        self._index()
         self._exact()
         self._best_fit()
 
+    def _index(self) -> None:
+        """pairs[s]: the longer lengths of pairs that sum to s; triples[s]: the longest ones of triples.
+
+        Of lengths that are there at the start; what is used up since is left
+        out when a sum is looked up. At most capacity ** 2 / 4 entries each.
+        """
+        there = np.flatnonzero(self.left)
+        a, b = (x.ravel() for x in np.meshgrid(there, there, indexing="ij"))
+        use = (a >= b) & (a + b < self.capacity)
+        self.pairs = self._by_sum(a[use] + b[use], a[use])
+        sums = np.array([s for s in range(self.capacity) if len(self.pairs[s])], np.int64)
+        a, s = (x.ravel() for x in np.meshgrid(there, sums, indexing="ij"))
+        use = (a + s < self.capacity) & (2 * a >= s)
+        self.triples = self._by_sum(a[use] + s[use], a[use])
+
+    def _by_sum(self, sums: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+        order = np.lexsort((-first, sums))
+        return np.split(first[order], np.searchsorted(sums[order], np.arange(1, self.capacity)))
+
     def _take(self, lengths: list[int]) -> None:
         """As many sequences of just these lengths as there are pieces for."""
         need = {n: lengths.count(n) for n in lengths}
@@ -137,23 +242,27 @@ class Plan:
             self.left[n] -= k * m
         self.patterns.append((sorted(need.items(), reverse=True), m))
 
-    def _pair(self, total: int, most: int, held: dict[int, int]) -> tuple[int, int] | None:
-        """Two available lengths, at most `most`, that sum to `total`; held: pieces already spoken for."""
-        left = self.left
-        if held:
-            left = left.copy()
-            for n, k in held.items():
-                left[n] -= k
-        lo, hi = max(1, total - most), min(most, total - 1)
-        if lo > hi:
+    def _pair(self, total: int, held: list[int]) -> tuple[int, int] | None:
+        """Of the pairs that sum to `total`, the one with the most pieces beside those held."""
+        a = self.pairs[total]
+        if not len(a):
             return None
-        a = np.arange((total + 1) // 2, hi + 1)
-        enough = np.minimum(left[a], left[total - a])
-        enough = np.where(2 * a == total, left[a] // 2, enough)
-        k = int(enough.argmax()) if len(enough) else 0
-        return (int(a[k]), int(total - a[k])) if len(enough) and enough[k] > 0 else None
+        b = total - a
+        left = lambda x: self.left[x] - sum((x == h).astype(np.int64) for h in held)
+        enough = np.where(a == b, left(a) // 2, np.minimum(left(a), left(b)))
+        k = int(enough.argmax())
+        return (int(a[k]), int(b[k])) if enough[k] > 0 else None
+
+    def _triple(self, gap: int, n: int) -> tuple[int, int, int] | None:
+        """Of the triples that fill the gap beside one n, one with the longest length that is left."""
+        first = self.triples[gap]
+        for a in first[self.left[first] > (first == n)].tolist():
+            if pair := self._pair(gap - a, [n, a]):
+                return a, *pair
+        return None
 
     def _exact(self) -> None:
+        """Lengths that no longer combination could use stay behind, so those in the index are at most n."""
         full = self.capacity
         if self.left[full]:
             self._take([full])
@@ -162,24 +271,13 @@ class Plan:
                 gap = full - n
                 if self.left[gap] > (gap == n):
                     self._take([n, gap])
-                    continue
-                if pair := self._pair(gap, min(n, gap - 1), {n: 1}) if gap > 1 else None:
+                elif pair := self._pair(gap, [n]):
                     self._take([n, *pair])
-                    continue
-                if triple := self._triple(gap, n):
+                elif triple := self._triple(gap, n):
                     self._take([n, *triple])
                 else:
                     break
 
-    def _triple(self, gap: int, n: int) -> tuple[int, int, int] | None:
-        """Three available lengths, the longest first and at most n, that fill the gap beside one n."""
-        for a in np.flatnonzero(self.left[: max(0, min(n, gap - 2)) + 1])[::-1].tolist():
-            if 3 * a < gap:
-                return None
-            if self.left[a] > (a == n) and (pair := self._pair(gap - a, min(a, gap - a - 1), {n: 1, a: 1 + (a == n)})):
-                return a, *pair
-        return None
-
     def _best_fit(self) -> None:
         """Best-fit decreasing over what is left, for equal lengths and equal sequences at once."""
         gaps: list[int] = []  # sorted
@@ -234,14 +332,18 @@ class Plan:
 
 
 def place(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to stored pieces (with columns _id, piece, length)."""
-    n_rows = cut_pieces.count()
-    buckets = max(1, -(-n_rows // BUCKET_ROWS))
-    marked = cut_pieces.withColumn("_b", F.pmod(F.xxhash64("_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    """Adds sequence_id and offset to stored pieces (with columns _id, piece, length).
+
+    The pieces of a length are ranked in as many hash buckets as a bucket has
+    pieces, about: so neither the buckets of a frequent length nor their sums
+    meet in one task.
+    """
+    counts = {int(r["length"]): int(r["n"]) for r in cut_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `capacity` rows at most
+    buckets = F.split(F.lit(",".join(str(max(1, isqrt(counts.get(n, 0)))) for n in range(capacity + 1))), ",").cast("array<bigint>")
+    marked = cut_pieces.withColumn("_b", F.pmod(F.xxhash64("_id", "piece", "ids_crc32"), buckets[F.col("length").cast("int")]))
     sums = marked.groupBy("length", "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("length", "_b", "_before")
-    counts = {int(r["length"]): int(r["n"]) for r in cut_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `capacity` rows at most
     plan = Plan(counts, capacity).rows()
     sent = cut_pieces.sparkSession.sparkContext.broadcast(plan)
     rank = F.row_number().over(Window.partitionBy("length", "_b").orderBy("_id", "piece", "ids_crc32"))
