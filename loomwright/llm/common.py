@@ -19,15 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share.
 
-    A temporary folder is set only where the session has none and runs in local
+    A temporary one is set only where the session has none and runs in local
     mode (tests); on a cluster executors could not see it, so there it is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not sc.master.startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir is not set: a folder that all executors share is needed")
@@ -35,12 +35,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
             folder = tempfile.mkdtemp(prefix="loomwright-checkpoints-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def fresh(df: DataFrame, n: int) -> list[str]:
-    """n column names that `df` doesn't have."""
-    used = {c.lower() for c in df.columns}
+def fresh(df: DataFrame, n: int, *taken: str) -> list[str]:
+    """n column names that `df` doesn't have, and that aren't `taken`."""
+    used = {c.lower() for c in (*df.columns, *taken)}
     return list(islice((x for i in count() if (x := f"_lw{i}") not in used), n))
 
 

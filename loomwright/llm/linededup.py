@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower
+from .common import ASCII_SPACE, ascii_lower, fresh
 
 
 def line_key(line: Column) -> Column:
@@ -48,22 +48,27 @@ def drop_repeated_lines(
     Defined cases: a null or empty text is one empty line. Rows of the same id
     are one document. A null id is no document: it is not counted and loses
     nothing. A document whose lines all go keeps an empty text. An input column
-    named like `out` is replaced; other columns pass unchanged.
+    named like `out` is replaced; other columns pass unchanged, whatever their
+    names. An empty table gives no rows.
     """
-    hits = repeated_lines(docs, id_col, text_col, min_docs, min_chars)
+    doc, hits, groups, kept = fresh(docs, 4, out)
+    found = repeated_lines(docs, id_col, text_col, min_docs, min_chars)
+    n_groups = F.ceil(F.sqrt(F.size("_hits"))).cast("int")  # so that a line is looked for among few of many hits
+    dealt = F.transform(F.sequence(F.lit(0), n_groups - 1), lambda g: F.filter("_hits", lambda h: F.pmod(h["_h1"], n_groups) == g))
+    found = found.select(F.col("_id").alias(doc), n_groups.alias(hits), dealt.alias(groups))
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n")
 
     def stays(line: Column) -> Column:
         key = line_key(line)
-        return (F.length(key) < min_chars) | ~F.array_contains(F.col("_hits"), F.struct(*_hash(key)))
+        h = _hash(key)
+        return (F.length(key) < min_chars) | ~F.array_contains(F.get(groups, F.pmod(h[0], F.col(hits)).cast("int")), F.struct(*h))
 
-    kept = F.filter(lines, stays)
-    joined = docs.join(hits, F.col(id_col) == F.col("_id"), "left").withColumn("_kept", F.when(F.col("_hits").isNotNull(), kept))
+    joined = docs.join(found, F.col(id_col) == F.col(doc), "left").withColumn(kept, F.when(F.col(hits).isNotNull(), F.filter(lines, stays)))
     n = F.size(lines).cast("long")
     result = F.struct(
         n.alias("n_lines"),
-        F.coalesce(n - F.size("_kept"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(text).alias("text"),
+        F.coalesce(n - F.size(kept), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col(kept).isNotNull(), F.array_join(kept, "\n")).otherwise(text).alias("text"),
     )
-    return joined.withColumn(out, result).drop("_id", "_hits", "_kept")
+    return joined.withColumn(out, result).drop(doc, hits, groups, kept)

@@ -195,7 +195,7 @@ def judged(measured: DataFrame, limits: DataFrame, q: str = "quality", by: tuple
     The limits are broadcast only after their rows are counted.
     """
     few = limits.count() <= broadcast_rows
-    names = fresh(measured, len(by) + 1)
+    names = fresh(measured, len(by) + 1, out)
     right = limits.select(*(F.col(c).alias(x) for c, x in zip(by, names)), F.col("limits").alias(names[-1]))
     on = F.lit(True)
     for c, x in zip(by, names):

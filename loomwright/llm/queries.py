@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, html_extract, langid, linededup, lm_quality, packing, quality, sharding, simhash, urlgraph
-from .common import table
+from .common import shared_folder, table
 
 
 def tokenizer_path() -> str:
@@ -23,7 +24,8 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, used = sharding.shard_by_slots(table(spark, sf_dir, "documents"), 8)
+    maps = f"{shared_folder(spark)}/slot-maps/{uuid.uuid4().hex}"
+    placed, used = sharding.shard_by_slots(table(spark, sf_dir, "documents"), 8, map_path=maps)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.lit(used.version).alias("map_version"))
 
 

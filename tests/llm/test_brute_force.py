@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomwright.llm import components, decontam, html_extract, langid, linededup, lm_quality, packing, quality, queries, sharding, simhash, urlgraph
+from loomwright.llm import components, decontam, html_extract, langid, linededup, packing, quality, queries, sharding, simhash, urlgraph
 
 from ..compare import assert_same, connect
 
@@ -86,6 +86,45 @@ def test_sharding(docs):
     assert used.version == 2
 
 
+def places(placed, n):
+    got = placed.collect()
+    for k in range(n):
+        mine = sorted(r["slot"] for r in got if r["shard"] == k)
+        assert mine == list(range(len(mine)))
+    return got
+
+
+def test_stored_slot_maps(spark, tmp_path):
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(i, "x" * rng.randint(1, 400)) for i in range(3000)], "doc_id long, text string")
+    path = f"{tmp_path}/maps"
+    assert sharding.SlotMap.read(spark, path) is None
+    first, two = sharding.shard_by_slots(docs, 8, map_path=path)
+    a = {r["doc_id"]: r["shard"] for r in places(first, 8)}
+    assert two.version == 2 and sharding.SlotMap.read(spark, path) == two
+    assert a == {r["doc_id"]: r["s"] for r in docs.select("doc_id", sharding.shard_of("doc_id", two).alias("s")).collect()}  # a reader needs the map alone
+    size, _ = sharding.slot_sums(docs.select((F.octet_length("text") + 1).alias("size"), sharding.virtual_slot("doc_id").alias("_v")), len(two.owner))
+    two.grown(9, size).write(spark, path)
+    three = sharding.SlotMap.read(spark, path)
+    assert three.version == 3 and three.n_shards == 9 and sharding.SlotMap.read(spark, path, 2) == two
+    rows = places(sharding.shard_by_slots(docs, slot_map=three)[0], 9)
+    assert all(r["shard"] in (a[r["doc_id"]], 8) for r in rows)
+    assert 0.9 < 9 * sum(r["size"] for r in rows if r["shard"] == 8) / sum(size) < 1.1
+    # rebalancing starts from what is stored, and an edited text stays where its id belongs
+    again, four = sharding.shard_by_slots(docs, 9, map_path=path)
+    assert four.version == 4 and sum(x != y for x, y in zip(three.owner, four.owner)) < 300
+    edited = sharding.shard_by_slots(docs.withColumn("text", F.upper("text")), slot_map=four)[0]
+    assert {r["doc_id"]: r["shard"] for r in edited.collect()} == {r["doc_id"]: r["shard"] for r in again.collect()}
+
+
+def test_hot_ids_are_dealt_out(spark):
+    rows = [(None, "the same text")] * 1500 + [(7, "another one")] * 1500 + [(100 + i, "some text " * (i % 9)) for i in range(1500)]
+    placed, used = sharding.shard_by_slots(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 8)
+    got = places(placed, 8)
+    loads = [sum(r["size"] for r in got if r["shard"] == k) for k in range(8)]
+    assert len(got) == len(rows) and max(loads) - min(loads) < 0.02 * sum(loads)
+
+
 def test_slot_map_balance_and_growth():
     rng = random.Random(1)
     w = [rng.randint(50, 200) for _ in range(4096)]
@@ -337,43 +376,6 @@ def test_language_id_cases(spark):
     assert langid.predict(docs, {}).where("language.lang = 'und'").count() == 5
 
 
-def test_language_model(spark):
-    rng = random.Random(4)
-    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(40)), "en") for i in range(80)]
-    rows += [(100, "zqx jjw kkv " * 20, "en"), (101, None, "en"), (102, "", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(1, 1, 1), (2, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: r for r in lm_quality.classify(docs, labels).collect()}
-    assert all(got[i]["kept"] for i in range(80)) and not got[100]["kept"] and not got[101]["kept"] and got[102]["log_perplexity"] is None
-    score = lm_quality.Scorer(*lm_quality.train(docs.where("doc_id < 60")))
-    p = np.exp(score.log.astype(np.float64)).reshape(-1, 64).sum(axis=1)
-    assert np.allclose(p, 1, atol=1e-4)  # each context's probabilities sum to 1
-    assert lm_quality.classify(docs, labels.where("false")).where("doc_id < 101 and not kept").count() == 0
-
-
-def test_word_model(spark):
-    rng = random.Random(5)
-    verses = ["the cat sat on a mat and slept", "my dog ran to the old barn at dawn", "кот спал на тёплой печи всю ночь", "we sold two of his red boats last year"]
-    texts = [" ".join(rng.choice(verses) for _ in range(6)) for _ in range(80)]
-    mixed = [" ".join(rng.sample(t.split(), len(t.split()))) for t in texts[:10]]
-    other = [t.translate({ord(x): chr(ord(x) ^ 1) for x in "абвгдежзиклмнопрстуфхцчшщ"}) for t in ["кот спал на тёплой печи всю ночь " * 6]]
-    rows = [(i, t, "en") for i, t in enumerate(texts + mixed + other)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = {r["doc_id"]: r for r in lm_quality.classify(docs, spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")).collect()}
-    assert all(got[i]["kept"] for i in range(80)) and not any(got[i]["kept"] for i in range(80, 91))  # word order and unlike letters count
-    trusted = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts[:60])], "doc long, own boolean, text string")
-    model, unseen = lm_quality.word_model(lm_quality.document_grams(trusted))
-    one, two, three = ([r.asDict() for r in m.collect()] for m in model)
-    assert len(three) == len({g for t in texts[:60] for w in [["", "", *lower(t).split()]] for g in zip(w, w[1:], w[2:])})  # no n-gram is left out
-    p1 = {r["w1"]: np.exp(r["log_p"]) for r in one if r["seen"]}
-    assert abs(sum(p1.values()) + np.exp(unseen) - 1) < 1e-9
-    for c in one:  # each context's probabilities sum to 1
-        seen = {r["w2"]: np.exp(r["log_p"]) for r in two if r["w1"] == c["w1"] and r["seen"]}
-        if seen:
-            back = np.exp(c["log_backoff"])
-            assert abs(sum(seen.get(w, back * p) for w, p in p1.items()) + back * np.exp(unseen) - 1) < 1e-9
-
-
 def brute_url(url):
     host = path = ""
     if url and "://" in url:
