@@ -26,8 +26,8 @@ from .common import add_columns, checkpoint, crc32_of_id
 
 #: N-grams in a language's profile, and in a document's.
 PROFILE, DOCUMENT = 400, 300
-#: More languages than this are an error in the labels.
-MAX_LANGUAGES = 2000
+#: Languages whose profiles are sent and compared at once; further ones follow in blocks.
+LANGUAGES = 2000
 UNKNOWN = "und"
 #: Characters of texts whose n-grams are sorted together.
 _CHARS = 1_000_000
@@ -45,11 +45,11 @@ def count_grams(texts: list[str], groups: list[int]) -> tuple[np.ndarray, np.nda
     All texts are one array of characters in which whatever is no letter is a
     blank, and runs of blanks are one. An n-gram lies within a word and the
     blanks at its sides; it belongs to the group of its letters. A code has
-    21 bits for each character.
+    21 bits for each character. A group may come in two runs of rows.
     """
     low = [t.lower() for t in texts]
     raw = np.frombuffer((" " + " ".join(low) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-    group = np.repeat(np.array([*groups, 0], np.int64), [len(t) + 1 for t in low] + [1])
+    group = np.repeat(np.array([*groups, *groups[-1:]], np.int64), [len(t) + 1 for t in low] + [1] * (len(groups) > 0))
     group = np.concatenate([group[:1], group])[: len(raw)]
     letter = _letters()[raw]
     keep = letter.copy()
@@ -63,15 +63,20 @@ def count_grams(texts: list[str], groups: list[int]) -> tuple[np.ndarray, np.nda
     number[chars[1:]] = np.arange(1, len(chars))
     c = number[raw]
     w = len(chars).bit_length()
+    base = groups[0] if groups else 0
+    if 3 * w + int(group.max() - base).bit_length() > 63:  # halves have fewer groups; a single one always fits
+        half = len(texts) // 2
+        return tuple(np.concatenate(x) for x in zip(count_grams(texts[:half], groups[:half]), count_grams(texts[half:], groups[half:]), strict=True))
     pair = (c[:-1] << w) | c[1:]
     own = np.where(letter[:-1], group[:-1], group[1:])
     inner = letter[1:-1]
+    group, own = group - base, own - base
     keys = np.concatenate([(group[letter] << 3 * w) | c[letter], (own << 3 * w) | pair, ((group[1:-1] << 3 * w) | (pair[:-1] << w) | c[2:])[inner]]) if len(c) > 2 else np.empty(0, np.int64)
     keys.sort()
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
     k, n, mask = keys[first], np.diff(np.append(first, len(keys))), (1 << w) - 1
     code = (chars[k >> 2 * w & mask] << 2 * _BITS) | (chars[k >> w & mask] << _BITS) | chars[k & mask]
-    return k >> 3 * w, code, n
+    return (k >> 3 * w) + base, code, n
 
 
 def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -105,7 +110,12 @@ def ranked(codes: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", profile: int = PROFILE) -> dict[str, list[int]]:
-    """A profile for each non-null language of `docs`, from all its rows."""
+    """A profile for each non-null language of `docs`, from all its rows.
+
+    The driver holds `profile` integers a language. Defined cases: null texts
+    and languages teach nothing; repeated rows count each; a language whose texts
+    have no letter has no profile; an empty table gives no profiles.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: defaultdict[str, Counter] = defaultdict(Counter)
@@ -130,11 +140,9 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", profi
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     sums = checkpoint(rows.mapInArrow(counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")))
-    if sums.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     top = sums.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("rank") <= profile)
     out: dict[str, list[int]] = defaultdict(list)
-    for r in sorted(top.select("lang", "rank", "code").collect()):  # MAX_LANGUAGES * profile rows at most
+    for r in sorted(top.select("lang", "rank", "code").collect()):  # `profile` rows a language
         out[r.lang].append(r.code)
     return dict(out)
 
@@ -142,10 +150,10 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", profi
 class Profiles:
     """Ranks of all profiles' n-grams as one matrix."""
 
-    def __init__(self, profiles: dict[str, list[int]]) -> None:
+    def __init__(self, profiles: dict[str, list[int]], most: int) -> None:
         self.langs = sorted(profiles)
         self.codes = np.unique(np.array([c for p in profiles.values() for c in p], np.int64))
-        self.most = max(map(len, profiles.values()), default=0)
+        self.most = most  # n-grams of the longest of all profiles
         self.rank = np.full((len(self.codes) + 1, len(self.langs)), -1, np.int64)
         for j, lang in enumerate(self.langs):
             self.rank[np.searchsorted(self.codes, np.array(profiles[lang], np.int64)), j] = np.arange(len(profiles[lang]))
@@ -159,31 +167,42 @@ class Profiles:
         return np.where(rank < 0, self.most, np.minimum(np.abs(rank - np.arange(len(mine))[:, None]), self.most)).sum(axis=0)
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", out: str = "language", document: int = DOCUMENT, keep_text: bool = True) -> DataFrame:
+def predict(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", out: str = "language", document: int = DOCUMENT, keep_text: bool = True, languages: int = LANGUAGES) -> DataFrame:
     """Adds the struct column `out`: lang, score.
 
     score: 1 - distance / the largest distance possible (0 to 1). Defined cases:
     a null text, one without a letter, or no profiles: (`und`, 0.0). Of
-    languages at equal distance, the first by name. Only the text is looked at.
+    languages at equal distance, the first by name. Only the text is looked at:
+    repeated rows get the same, other columns pass unchanged, a column named like
+    `out` is replaced. An empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(profiles)  # MAX_LANGUAGES * PROFILE integers at most
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
     field = T.StructField(out, T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
-
-    def make():
-        known = Profiles(sent.value)
-
-        def one(codes: np.ndarray, counts: np.ndarray) -> dict:
-            if not len(codes) or not known.langs:
-                return {"lang": UNKNOWN, "score": 0.0}
-            mine = ranked(codes, counts, document)
-            d = known.distances(mine)
-            k = int(d.argmin())
-            return {"lang": known.langs[k], "score": 1 - float(d[k]) / (known.most * len(mine))}
-
-        return lambda b: [pa.array([one(*x) for x in grams_of_each([t or "" for t in b.column(text_col).to_pylist()])], kind)]
-
-    return add_columns(docs, [field], make, () if keep_text else (text_col,))
+    names, most = sorted(profiles), max(map(len, profiles.values()), default=0)
+    blocks = [names[i : i + languages] for i in range(0, len(names), languages)] or [[]]
+    for k, block in enumerate(blocks):
+        sent = docs.sparkSession.sparkContext.broadcast({x: profiles[x] for x in block})  # languages * PROFILE integers at most
+
+        def make(sent=sent, first=k == 0):
+            known = Profiles(sent.value, most)
+
+            def one(codes: np.ndarray, counts: np.ndarray, was: dict | None) -> dict:
+                if not len(codes) or not known.langs:
+                    return {"lang": UNKNOWN, "score": 0.0}
+                mine = ranked(codes, counts, document)
+                d = known.distances(mine)
+                k = int(d.argmin())
+                found = {"lang": known.langs[k], "score": 1 - float(d[k]) / (known.most * len(mine))}
+                return found if was is None or found["score"] > was["score"] else was
+
+            def batch(b: pa.RecordBatch) -> list[pa.Array]:
+                was = [None] * b.num_rows if first else b.column(out).to_pylist()
+                return [pa.array([one(*x, y) for x, y in zip(grams_of_each([t or "" for t in b.column(text_col).to_pylist()]), was, strict=True)], kind)]
+
+            return batch
+
+        docs = add_columns(docs, [field], make, () if keep_text or k < len(blocks) - 1 else (text_col,))
+    return docs
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -6,12 +6,13 @@ neighbours at one flipped bit gives at most 6 codeword indices, and two
 segments with at most 2 unlike bits share one of them. At most 4 unlike bits
 fall on the segments in one of two ways:
 
-* a segment has none: the two fingerprints share that segment itself;
+* a segment has none: of the other two, one has at most 2, so the fingerprints
+  share that segment and an index of one of the others;
 * every segment has one: two segments have exactly 1 and the third at most 2,
   so the fingerprints share a triple of indices. For 1 unlike bit, a segment's
   own index and its lesser neighbours' are enough: one of both owns the least.
 
-So every link is found (no candidate is left out), by keys of 21 to 36 bits.
+So every link is found (no candidate is left out), by keys of 33 to 36 bits.
 Keys are computed for distinct fingerprints only: a group of exact copies is one
 fingerprint. The keyed fingerprints are sorted by key, and each bucket yields a
 spanning forest of its true links (at most 4 unlike bits), never all its pairs.
@@ -21,7 +22,7 @@ A bucket is held as 8 bytes a distinct fingerprint (80 MB for ten million).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import accumulate, combinations, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, checkpoint, utf8
+from .common import add_columns, checkpoint, fresh, utf8
 from .components import components
 
 SEED, SHINGLE, MAX_BITS = 42, 4, 4
@@ -83,12 +84,14 @@ def nearby_indices(segment: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarr
 
 def bucket_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of all keys of uint64 fingerprints."""
-    rows, keys, found = [], [], []
-    for k, (at, bits) in enumerate(SEGMENTS):
-        segment = (prints >> np.uint64(at)) & np.uint64((1 << bits) - 1)
-        rows.append(np.arange(len(prints)))
-        keys.append(segment.astype(np.int64) | (k + 1) << 40)
-        found.append(nearby_indices(segment, bits))
+    segments = [(prints >> np.uint64(at)) & np.uint64((1 << bits) - 1) for at, bits in SEGMENTS]
+    found = [nearby_indices(s, bits) for s, (_, bits) in zip(segments, SEGMENTS, strict=True)]
+    rows, keys = [], []
+    for n, (k, j) in enumerate(permutations(range(3), 2), 1):
+        index, there, _ = found[j]
+        at = np.nonzero(there)
+        rows.append(at[0])
+        keys.append(segments[k].astype(np.int64)[at[0]] << 12 | index[at] | n << 40)
     (a, ta, sa), (b, tb, sb), (c, tc, sc) = (
         tuple(x.reshape(len(prints), *(_MOST if j == k else 1 for j in range(3))) for x in found[k]) for k in range(3)
     )
@@ -234,7 +237,8 @@ def components_of(prints: DataFrame, id_col: str) -> DataFrame:
     first = prints.groupBy("print").agg(F.min(id_col).alias("_first"))
     roots = components(fingerprint_links(first.select("print")))
     rooted = first.join(roots, F.col("print") == F.col("node"), "left").select("print", F.coalesce("root", "print").alias("_root"), "_first")
-    least = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
+    # Stored, so that the join has plain shuffles on both sides and a large component is split among tasks.
+    least = checkpoint(rooted.groupBy("_root").agg(F.min("_first").alias("component_id")))
     return prints.join(rooted.join(least, "_root").select("print", "component_id"), "print")
 
 
@@ -246,18 +250,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row of each component stays, that of its smallest id; columns as in `docs`.
 
     Of rows with the same smallest id, the least by text hash stays, and of rows
-    alike in both, one. Rows are matched by (id, hash of the text).
+    alike in both, one. Rows are matched by (id, hash of the text). Defined cases:
+    null and wordless texts are near-duplicates of each other; a component of
+    null ids only keeps one row; columns of `docs` may have any names; an empty
+    table stays empty.
     """
-    mark = F.xxhash64(F.lit(3), F.col(text_col))
-    prints = with_fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), mark.alias("_mark")), "_text", "print", keep_text=False)
+    mark, ki, km = fresh(docs, 3)
+    hashed = F.xxhash64(F.lit(3), F.col(text_col))
+    prints = with_fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), hashed.alias("_mark")), "_text", "print", keep_text=False)
     prints = checkpoint(prints)
     linked = components_of(prints.select("_id", "_mark", "print"), "_id")
     # A component without ids has the null component_id; it then goes by its root's text hash.
     rooted = linked.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("print")).alias("_alone")).agg(
         F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_mark").alias("m"))).alias("_k")
     )
-    kept = rooted.select(F.col("_k.i").alias("_ki"), F.col("_k.m").alias("_km")).distinct()
-    out = docs.withColumn("_mark", mark).join(kept, F.col(id_col).eqNullSafe(F.col("_ki")) & (F.col("_mark") == F.col("_km")), "left_semi")
+    kept = rooted.select(F.col("_k.i").alias(ki), F.col("_k.m").alias(km)).distinct()
+    out = docs.withColumn(mark, hashed).join(kept, F.col(id_col).eqNullSafe(F.col(ki)) & (F.col(mark) == F.col(km)), "left_semi")
     if prints.groupBy("_id", "_mark").count().where("count > 1").limit(1).count():  # repeated rows
-        out = out.dropDuplicates([id_col, "_mark"])
-    return out.drop("_mark")
+        out = out.dropDuplicates([id_col, mark])
+    return out.drop(mark)
