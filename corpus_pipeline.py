@@ -1,7 +1,10 @@
 """A corpus pipeline of five stages; part of the llm subpackage.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps,
-with the columns of `documents`; the last returns the packed pieces.
+with the columns of `documents`; the last returns the packed pieces. Nulls in any
+column, repeated rows and empty tables pass as the operators say: a null or blank
+text fails the quality rules, of repeated rows one stays, an empty table gives no
+pieces.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm import decontam, linededup, packing, quality, simhash
-from loomwright.llm.common import checkpoint, table
+from loomwright.llm.common import checkpoint, fresh, table
 from loomwright.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,7 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines repeated across documents go; n_chars follows the text. A document stays, if only as an empty text."""
-    out = linededup.drop_repeated_lines(docs).withColumn("text", F.col("line_dedup.text"))
+    (lines,) = fresh(docs, 1)
+    out = linededup.drop_repeated_lines(docs, out=lines).withColumn("text", F.col(f"{lines}.text"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -34,8 +38,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    found = decontam.find_items(docs, table(spark, sf_dir, "benchmark"), out="_overlap")
-    return found.where(~decontam.contaminated("_overlap")).select(*docs.columns)
+    (overlap,) = fresh(docs, 1)
+    found = decontam.find_items(docs, table(spark, sf_dir, "benchmark"), out=overlap)
+    return found.where(~decontam.contaminated(overlap)).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
