@@ -33,8 +33,14 @@ PREAMBLES = [
 ]
 END_TAGS = ["<|im_end|>", "<|endoftext|>", "<|eot_id|>"]
 ANSWER_MARKERS = ["คำตอบคือ", "Answer:", "ANS:", "final answer is"]
+FENCED = r"(?s)^```[a-zA-Z]*\n(.*?)\n```$"
+CODE_BLOCK = r"(?s)```(?:python|py)?\n(.*?)\n```"
+LINK, NAMED_SOURCE = r"https?://[^\s)\]]+", r"(?i)\[(?:source|แหล่ง|wiki|wikipedia)\s*[:：]\s*([^\]]+)\]"
+EXAM_CHOICE = r"\(([1-9]|[ก-ง])\)"
+EXAM_PHRASE = r"(?i)(?:ตอบ|คำตอบ|answer|choice|select)\s*(?:คือ|is|:|=)?\s*\(?([1-9]|[ก-ง])\)?"
+CHOICE_PHRASES = [r"คำตอบคือ\s*[(\[]?([a-eA-E])[)\]]?", r"(?i)answer\s+is\s+[(\[]?([a-eA-E])[)\]]?"]
+CHOICE_DIGITS = [r"คำตอบคือ\s*[(\[]?([1-5๑๒๓๔๕])[)\]]?", r"(?i)answer\s+is\s+([1-5])"]
 THAI_CHOICE = {"๑": "a", "๒": "b", "๓": "c", "๔": "d", "๕": "e"}
-_FENCED = r"(?s)^```[a-zA-Z]*\n(.*?)\n```$"
 
 
 def strip(x: Column) -> Column:
@@ -77,8 +83,8 @@ def extract_exam(x: Column) -> Column:
         options.append(F.when(F.array_contains(F.split(low, r"(?U)\s+"), cue) | low.startswith(cue), cue))
     options += [F.when(F.contains(t, F.lit(cue)), label) for cue, label in XNLI_CUES.items()]
     choices = [
-        _found(t, r"\(([1-9]|[ก-ง])\)"),
-        _found(t, r"(?i)(?:ตอบ|คำตอบ|answer|choice|select)\s*(?:คือ|is|:|=)?\s*\(?([1-9]|[ก-ง])\)?"),
+        _found(t, EXAM_CHOICE),
+        _found(t, EXAM_PHRASE),
         _found(t, r"^([1-9])"),
         _found(F.substring(t, 1, 30), r"(?U)\b([1-9])\b"),
     ]
@@ -93,12 +99,12 @@ def extract_instruction(x: Column) -> Column:
     for _ in range(4):
         for p in PREAMBLES:
             plain = strip(F.regexp_replace(plain, p, ""))
-    return F.coalesce(F.when(t.rlike(_FENCED), strip(F.regexp_extract(t, _FENCED, 1))).otherwise(plain), F.lit(""))
+    return F.coalesce(F.when(t.rlike(FENCED), strip(F.regexp_extract(t, FENCED, 1))).otherwise(plain), F.lit(""))
 
 
 def extract_code(x: Column) -> Column:
     """The longest fenced block, the first of equal ones; the whole text without a fence."""
-    blocks = F.regexp_extract_all(x, F.lit(r"(?s)```(?:python|py)?\n(.*?)\n```"), 1)
+    blocks = F.regexp_extract_all(x, F.lit(CODE_BLOCK), 1)
     longest = F.aggregate(blocks, F.lit(None).cast("string"), lambda a, b: F.when(a.isNull() | (F.length(b) > F.length(a)), b).otherwise(a))
     return F.coalesce(strip(F.coalesce(longest, x)), F.lit(""))
 
@@ -110,7 +116,7 @@ def extract_multihop(x: Column) -> Column:
     is_source = lambda y: y.rlike(r"^(http|\[source|\[wiki|\[แหล่ง)")
     before = F.aggregate(lines, F.struct(F.lit(False).alias("over"), F.lit(None).cast("string").alias("line")), lambda a, y: F.struct((a["over"] | is_source(y) | (F.length(y) <= 200)).alias("over"), F.when(~a["over"] & ~is_source(y) & (F.length(y) <= 200), y).otherwise(a["line"]).alias("line")))["line"]
     short = _no_end_dots(F.regexp_replace(before, r"^[^:]*:", ""))
-    sources = F.array_distinct(F.concat(F.regexp_extract_all(t, F.lit(r"https?://[^\s)\]]+"), 0), F.regexp_extract_all(t, F.lit(r"(?i)\[(?:source|แหล่ง|wiki|wikipedia)\s*[:：]\s*([^\]]+)\]"), 1)))
+    sources = F.array_distinct(F.concat(F.regexp_extract_all(t, F.lit(LINK), 0), F.regexp_extract_all(t, F.lit(NAMED_SOURCE), 1)))
     return F.struct(F.coalesce(_no_end_dots(_found(t, FINAL_ANSWER)), short, F.lit("")).alias("answer"), F.coalesce(sources, F.array().cast("array<string>")).alias("sources"))
 
 
@@ -120,7 +126,7 @@ def extract_chat(x: Column) -> Column:
     plain = t
     for tag in END_TAGS:
         plain = F.replace(plain, F.lit(tag), F.lit(""))
-    return F.coalesce(F.when(t.rlike(_FENCED), strip(F.regexp_extract(t, _FENCED, 1))).otherwise(strip(plain)), F.lit(""))
+    return F.coalesce(F.when(t.rlike(FENCED), strip(F.regexp_extract(t, FENCED, 1))).otherwise(strip(plain)), F.lit(""))
 
 
 #: family: its extractor; `extract` sends other families' responses through stripped.
@@ -183,17 +189,16 @@ def extract_after_marker(x: Column) -> Column:
 
 def extract_choice(x: Column) -> Column:
     """A letter a to e: after an answer phrase, or in brackets, or a digit after a phrase."""
-    phrases = [r"คำตอบคือ\s*[(\[]?([a-eA-E])[)\]]?", r"(?i)answer\s+is\s+[(\[]?([a-eA-E])[)\]]?"]
-    digits = [r"คำตอบคือ\s*[(\[]?([1-5๑๒๓๔๕])[)\]]?", r"(?i)answer\s+is\s+([1-5])"]
-    letters = [F.lower(_last(x, p)) for p in [*phrases, r"[(\[]([a-eA-E])[)\]]"]]
-    return F.coalesce(*letters, *(F.translate(_last(x, p), "12345" + "".join(THAI_CHOICE), "abcde" + "".join(THAI_CHOICE.values())) for p in digits))
+    letters = [F.lower(_last(x, p)) for p in [*CHOICE_PHRASES, r"[(\[]([a-eA-E])[)\]]"]]
+    return F.coalesce(*letters, *(F.translate(_last(x, p), "12345" + "".join(THAI_CHOICE), "abcde" + "".join(THAI_CHOICE.values())) for p in CHOICE_DIGITS))
 
 
-def normalize_answer(x: Column, nested: int = 8) -> Column:
-    """Compact form: lower case, no dollars, end dots or quotes, outer braces (so many deep) or white space."""
+def normalize_answer(x: Column) -> Column:
+    """Compact form: lower case, no dollars, end dots or quotes, outer braces (however many) or white space."""
     s = F.regexp_replace(F.replace(F.lower(strip(x)), F.lit("$"), F.lit("")), r"[.\"']+$", "")
-    for _ in range(nested):
-        s = F.when(s.rlike(r"(?s)^(\{.*\}|\(.*\))$"), strip(F.regexp_extract(s, r"(?s)^.(.*).$", 1))).otherwise(s)
+    bare = lambda t: F.when(t.rlike(r"(?s)^(\{.*\}|\(.*\))$"), strip(F.substr(t, F.lit(2), F.length(t) - 2))).otherwise(t)
+    opening = F.length(F.regexp_extract(s, r"^[\s{(]+", 0))  # as many pairs at most
+    s = F.when(opening > 0, F.aggregate(F.sequence(F.lit(1), opening), s, lambda t, _: bare(t))).otherwise(s)
     s = F.regexp_replace(F.regexp_replace(s, r"\\ ", " "), r"\\[,!]", "")
     return F.regexp_replace(s, r"(?U)\s+", "")
 

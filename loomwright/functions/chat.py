@@ -62,11 +62,11 @@ def normalize_roles(messages: Column, must_match: str | None = None) -> Column:
 
 
 def user_text(text: Column, messages: Column | None = None, prompt: Column | None = None, most: int = 2000) -> Column:
-    """The last user turn of a tagged text, or the beginning of an untagged one; else of messages; else the prompt."""
-    last = F.element_at(F.split(text, r"<\|im_start\|>user\n"), -1)
+    """The last user turn of a tagged text, or the beginning of an untagged one; else the first of messages; else the prompt."""
+    last = F.element_at(F.split(text, r"<\|im_start\|>user"), -1)
     tagged = strip(F.split(last, r"<\|im_end\|>")[0])
     out = F.when(F.contains(text, F.lit("<|im_start|>user")), tagged).when(F.length(text) > 0, F.substring(text, 1, most))
-    more = [F.nullif(x, F.lit("")) for x in (F.try_element_at(_of(messages, "user"), F.lit(-1)) if messages is not None else None, prompt) if x is not None]
+    more = [F.nullif(x, F.lit("")) for x in (F.try_element_at(_of(messages, "user"), F.lit(1)) if messages is not None else None, prompt) if x is not None]
     return F.coalesce(out, *more)
 
 

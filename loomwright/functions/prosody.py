@@ -37,6 +37,15 @@ def syllable_counter(segments: Callable[[str], list[str]] = rough_segments):
     return F.pandas_udf(count, T.LongType())
 
 
+def line_syllables(segments: Callable[[str], list[str]] = rough_segments):
+    """A UDF for the syllables of each of an array of lines."""
+
+    def count(x: pd.Series) -> pd.Series:
+        return x.map(lambda lines: None if lines is None else [sum(1 for t in segments(s or "") if re.search(r"[\u0e00-\u0e7fA-Za-z]", t)) for s in lines])
+
+    return F.pandas_udf(count, T.ArrayType(T.LongType()))
+
+
 def verse_lines(x: Column) -> Column:
     return F.filter(F.transform(split_lines(x), strip), lambda y: y != "")
 
@@ -71,6 +80,39 @@ def rhyme_failures(lines: Column) -> Column:
     return F.when(F.size(lines) > 0, F.flatten(F.transform(stanza, check))).otherwise(F.array().cast("array<int>"))
 
 
+def check_verse(lines: Column, syllables: Column, form: str) -> Column:
+    """array<string> of what a poem breaks: `empty`, `stanza`, `line n: s`, `rhyme stanza:rule`; none if it keeps the form.
+
+    lines: of verse_lines(); syllables: of line_syllables() on them.
+    """
+    size, least, most, rhymed = FORMS[form]
+    each = F.transform(syllables, lambda s, i: F.when((s < least) | (s > most), F.format_string("line %d: %d", i + 1, s)))
+    found = F.filter(each, lambda x: x.isNotNull())
+    if rhymed:
+        stanzas = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / size).cast("int"))
+        of = lambda k: F.transform(rhyme_failures(F.slice(lines, k * size + 1, F.lit(size))), lambda r: F.format_string("rhyme %d:%d", k + 1, r))
+        found = F.concat(found, F.flatten(F.transform(stanzas, of)))
+    words = F.array().cast("array<string>")
+    return F.when(F.size(lines) == 0, F.array(F.lit("empty"))).when(F.size(lines) % size != 0, F.array(F.lit("stanza"))).otherwise(F.coalesce(found, words))
+
+
+#: Task types with a verse form or a register (fixed values); other types are not checked.
+VERSE_TASKS = {"klon_composition": "klon_4", "klon_4_composition": "klon_4", "klon_8_composition": "klon_8", "kap_composition": "kap_yani_11", "kap_yani_composition": "kap_yani_11"}
+REGISTER_TASKS = {"formal_register": "formal", "informal_register": "informal"}
+
+
+def prosody_issues(task_type: Column, text: Column, count=None) -> Column:
+    """What a record's text breaks, by its task type; none for other types. count: of line_syllables()."""
+    lines = verse_lines(text)
+    syllables = (count or line_syllables())(lines)
+    out = F.array().cast("array<string>")
+    for task, form in VERSE_TASKS.items():
+        out = F.when(task_type == task, check_verse(lines, syllables, form)).otherwise(out)
+    for task, target in REGISTER_TASKS.items():
+        out = F.when((task_type == task) & ~register_ok(text, target), F.array(F.lit(f"register {target}"))).otherwise(out)
+    return out
+
+
 def register_ok(x: Column, target: str) -> Column:
     """Formal: no casual particle. Informal: one at least. Another target fails."""
     casual = F.lit(False)

@@ -56,6 +56,11 @@ def hash_rank(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts).cast("binary"), 256)
 
 
+def stable_seed(family: Column, difficulty: Column, record: Column) -> Column:
+    """A record's seed as hex: the same for the same three parts."""
+    return hash_rank(*(x.cast("string") for x in (family, difficulty, record)))
+
+
 def occurrences(x: Column, part: str | Column) -> Column:
     """Non-overlapping occurrences of a non-empty part."""
     p = F.lit(part) if isinstance(part, str) else part

@@ -11,13 +11,49 @@ REQUIRED = ("id", "benchmark_family", "task_type", "language", "difficulty", "me
 # Caps on scores, and weights of the mixes.
 QUALITY_CAPS = {"correctness": 0.99, "thai_naturalness": 0.99, "benchmark_alignment": 0.94, "novelty": 0.95, "instruction_clarity": 0.99}
 DETERMINISTIC = ("symbolic_math", "unit_tests", "json_schema", "regex", "exact_match", "retrieval_evidence")
-SIMPLE_AIME_TAGS = ("area", "centroid", "divisors", "identities", "inradius", "mean")
+SIMPLE_AIME_TAGS = ("area", "centroid", "divisors", "identities", "inradius", "mean", "pythagorean", "recurrence", "sequences")
 SIMPLE_MATH_TAGS = ("prealgebra", "arithmetic", "sequence", "quadratic", "linear_equations")
 TUTOR_WEIGHTS = {"openthaieval": 2.0, "teacher_loop_th": 2.0, "mt_bench": 1.5, "ifeval_ifbench": 1.5, "aime_th": 0.8, "math500_th": 1.0, "livecodebench_th": 0.5, "hotpotqa_agentic": 1.0}
 
 
-def first_of(df: DataFrame, keys: list[Column], order: list[Column], k: int = 1, keep_null_keys: bool = False) -> DataFrame:
-    """The first k rows of each key. With keep_null_keys, rows without a key all stay and are nobody's copies."""
+def public_item(df: DataFrame, keys: tuple[str, ...] = REQUIRED) -> DataFrame:
+    """The published columns in order; missing ones are null, others go."""
+    return df.select(*[F.col(k) if k in df.columns else F.lit(None).cast("string").alias(k) for k in keys])
+
+
+def hash_ranked(df: DataFrame, by: list[str], key: Column, id_col: str, rank: str = "_rank", size: str | None = None) -> DataFrame:
+    """Adds the rank (from 1) in the order of a hex key and the id within each group, and the group's size.
+
+    Rows are counted by group and the key's first digits, and ranked within
+    those small parts: a group may hold any share of all rows.
+    """
+    keyed = df.withColumn("_key", key).withColumn("_part", F.substring("_key", 1, 3))
+    sums = keyed.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*by)
+    sums = sums.withColumn("_before", F.sum("_n").over(w.orderBy("_part")) - F.col("_n")).withColumn("_all", F.sum("_n").over(w))
+    on = keyed["_part"] == sums["_part"]
+    for c in by:
+        on = on & keyed[c].eqNullSafe(sums[c])
+    joined = keyed.join(sums, on).select(keyed["*"], "_before", "_all")
+    inside = F.row_number().over(Window.partitionBy(*by, "_part").orderBy("_key", id_col))
+    out = joined.withColumn(rank, (F.col("_before") + inside).cast("long"))
+    return (out.withColumn(size, F.col("_all")) if size else out).drop("_key", "_part", "_before", "_all")
+
+
+def first_of(df: DataFrame, keys: list[Column], order: list[Column | str], k: int = 1, keep_null_keys: bool = False) -> DataFrame:
+    """The first k rows of each key. With keep_null_keys, rows without a key all stay and are nobody's copies.
+
+    For k = 1 (and an ascending order) by a partial aggregate, so that a frequent key isn't gathered in one task.
+    """
+    if k == 1 and all(isinstance(o, str) for o in order):
+        rows = df
+        if keep_null_keys:
+            none = F.lit(False)
+            for key in keys:
+                none = none | key.isNull() | (key.cast("string") == "")
+            rows = df.where(~none)
+        first = rows.groupBy(*[key.alias(f"_k{i}") for i, key in enumerate(keys)]).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row")).select("_row.*")
+        return first.unionByName(df.where(none)) if keep_null_keys else first
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     none = F.lit(False)
     if keep_null_keys:
@@ -27,9 +63,14 @@ def first_of(df: DataFrame, keys: list[Column], order: list[Column], k: int = 1,
     return df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
-def later_copies(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
-    """Every row but the first of its key."""
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank > 1").drop("_rank")
+def later_copies(df: DataFrame, keys: list[Column], order: list[str]) -> DataFrame:
+    """Every row but the first of its key. `order` names columns that tell the rows of a key apart (equal rows are all first)."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    first = df.groupBy(*[k.alias(x) for k, x in zip(keys, names, strict=True)]).agg(F.min(F.struct(*order)).alias("_first"))
+    on = F.lit(True)
+    for k, x in zip(keys, names, strict=True):
+        on = on & k.eqNullSafe(F.col(x))
+    return df.join(first, on).where(F.struct(*order) > F.col("_first")).drop("_first", *names)
 
 
 def stratified_split(df: DataFrame, id_col: str, strata: list[str], ratio: float = 0.1) -> DataFrame:
@@ -37,11 +78,10 @@ def stratified_split(df: DataFrame, id_col: str, strata: list[str], ratio: float
 
     10 rows or more: max(1, round half even of n * ratio); 3 to 9: one; fewer: none.
     """
-    w = Window.partitionBy(*strata)
-    rank = F.row_number().over(w.orderBy(F.substring(F.sha2(F.col(id_col).cast("string").cast("binary"), 256), 1, 16), id_col))
-    n = F.count("*").over(w)
+    ranked = hash_ranked(df, strata, F.substring(F.sha2(F.col(id_col).cast("string").cast("binary"), 256), 1, 16), id_col, "_r", "_size")
+    n = F.col("_size")
     n_val = F.when(n >= 10, F.greatest(F.lit(1), F.bround(n * F.lit(ratio)).cast("int"))).when(n >= 3, 1).otherwise(0)
-    return df.withColumn("_r", rank).withColumn("_v", n_val).withColumn("split", F.when(F.col("_r") <= F.col("_v"), "validation").otherwise("train")).drop("_r", "_v")
+    return ranked.withColumn("split", F.when(F.col("_r") <= n_val, "validation").otherwise("train")).drop("_r", "_size")
 
 
 def violations(checks: dict[str, Column]) -> Column:
@@ -133,8 +173,7 @@ def weights(counts: DataFrame, n_col: str = "n", strategy: str = "sqrt", multipl
     if multipliers:
         m = F.create_map(*[F.lit(x) for kv in multipliers.items() for x in kv])
         base = base * F.coalesce(m[F.col(key)], F.lit(1.0))
-    total = counts.agg(F.sum(base).alias("_total"))  # one row
-    return counts.withColumn("_w", base).join(F.broadcast(total)).withColumn("weight", F.round(F.col("_w") / F.col("_total"), 6)).drop("_w", "_total")
+    return counts.withColumn("_w", base).withColumn("weight", F.round(F.col("_w") / F.sum("_w").over(Window.partitionBy(F.lit(0))), 6)).drop("_w")
 
 
 def sample_plan(weighted: DataFrame, target: int, n_col: str = "n") -> DataFrame:
@@ -145,11 +184,20 @@ def sample_plan(weighted: DataFrame, target: int, n_col: str = "n") -> DataFrame
 
 def resample(df: DataFrame, plan: DataFrame, key: str, id_col: str, seed: str = "0") -> DataFrame:
     """Rows by plan(key, copies, rest): all of them `copies` times, and the first `rest` by hash once more. Adds copy."""
-    ranked = df.join(plan.select(key, "copies", "rest"), key).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(hash_rank(F.lit(seed), F.col(id_col).cast("string")), id_col)))
+    ranked = hash_ranked(df, [key], hash_rank(F.lit(seed), F.col(id_col).cast("string")), id_col, "_r").join(plan.select(key, "copies", "rest"), key)
     n = F.col("copies") + F.when(F.col("_r") <= F.col("rest"), 1).otherwise(0)
     return ranked.where(n > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), n))).drop("_r", "copies", "rest")
 
 
+def shuffled(df: DataFrame, id_col: str, seed: str, k: int) -> DataFrame:
+    """The first k rows, with their place, in the order of a hash of seed and id.
+
+    Reproducible anywhere; not the order of any random number generator.
+    """
+    top = df.withColumn("_key", hash_rank(F.lit(seed), F.col(id_col).cast("string"))).orderBy("_key", id_col).limit(k)
+    return top.withColumn("place", F.row_number().over(Window.orderBy("_key", id_col)).cast("long")).drop("_key")
+
+
 def capped_source(df: DataFrame, order: list[Column], total: int, least: int = 2000) -> DataFrame:
     """At most max(least, total // 5) rows of a source, the first in order."""
     return df.orderBy(*order).limit(max(least, total // 5))
@@ -162,8 +210,7 @@ def few_shot(df: DataFrame, pool: DataFrame, id_col: str, group: str, k: int = 3
     place given by the id's hash, k + 1 consecutive ones are taken, so that the
     join makes k + 1 rows for a record and not its whole group.
     """
-    g = Window.partitionBy(group)
-    ranked = pool.select(F.col(id_col).alias("example_id"), group).withColumn("_p", F.row_number().over(g.orderBy(hash_rank(F.col("example_id").cast("string")), "example_id")) - 1)
+    ranked = hash_ranked(pool.select(F.col(id_col).alias("example_id"), group), [group], hash_rank(F.col("example_id").cast("string")), "example_id", "_p").withColumn("_p", F.col("_p") - 1)
     sizes = pool.groupBy(group).agg(F.count("*").alias("_n"))
     start = F.pmod(F.conv(F.substring(hash_rank(F.col(id_col).cast("string")), 1, 15), 16, 10).cast("long"), F.col("_n"))
     want = df.select(id_col, group).join(sizes, group).withColumn("_s", start).select(id_col, group, "_n", "_s", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("_n") - 1).cast("int"))).alias("_i"))

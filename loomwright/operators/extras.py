@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import occurrences
@@ -51,9 +51,8 @@ def fixed_weights(counts: DataFrame, key: str, table: dict[str, float], default:
 
 def raised_targets(weighted: DataFrame, n: str = "n", weight: str = "weight", times: float = 3.0) -> DataFrame:
     """Adds target: n times the weight's ratio to the largest weight, raised `times`-fold, and n at least."""
-    top = weighted.agg(F.max(weight).alias("_top"))  # one row
-    t = F.floor(F.col(n) * F.col(weight) * F.lit(times) / F.col("_top")).cast("long")
-    return weighted.join(F.broadcast(top)).withColumn("target", F.greatest(t, F.col(n))).drop("_top")
+    t = F.floor(F.col(n) * F.col(weight) * F.lit(times) / F.max(weight).over(Window.partitionBy(F.lit(0)))).cast("long")
+    return weighted.withColumn("target", F.greatest(t, F.col(n)))
 
 
 def provenance(df: DataFrame, id_col: str = "id", sources: str = "sources") -> DataFrame:

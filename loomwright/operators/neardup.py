@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import char_ngrams, jaccard_of_counts, normalize
+from ..session import stored
 
 REJECT_JACCARD, SIMHASH_JACCARD, REJECT_COSINE = 0.35, 0.25, 0.92
 #: Rows of the smaller matrix up to which it is sent to the tasks.
@@ -36,36 +37,54 @@ def _normal(text: str | None) -> str:
     return "".join((text or "").lower().split())
 
 
-def _grams(text: str, n: int) -> set[str]:
-    return {text[i : i + n] for i in range(len(text) - n + 1)} if len(text) >= n else {text} - {""}
+def _gram_hashes(text: str, n: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct n-grams of a normalised text; of the text itself if it is shorter."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    if not len(points):
+        return np.empty(0, np.uint64)
+    width = min(n, len(points))
+    h = np.full(len(points) - width + 1, width, np.uint64)
+    for k in range(width):
+        h = (h ^ points[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def _index(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, from, items, size): places of each distinct gram's items in `items`, and grams of each text."""
+    each = [_gram_hashes(t, n) for t in texts]
+    item = np.repeat(np.arange(len(each)), [len(h) for h in each])
+    grams = np.concatenate(each) if each else np.empty(0, np.uint64)
+    order = np.argsort(grams, kind="stable")
+    keys, first = np.unique(grams[order], return_index=True)
+    return keys, np.append(first, len(grams)), item[order], np.array([len(h) for h in each], np.int64)
 
 
 def _looked_up(docs: DataFrame, bench: DataFrame, id_col: str, item_col: str, n: int, keep: str, least: float) -> DataFrame:
-    """(id, item, _a, _b, _both) by an index of the benchmark's grams in every task; no gram is shuffled."""
-    index: dict[str, list[int]] = {}
-    items, sizes = [], []
-    for item, text in bench.select(item_col, "text").orderBy(item_col).toLocalIterator():  # the caller has checked the size
-        grams = _grams(_normal(text), n)
-        for g in grams:
-            index.setdefault(g, []).append(len(items))
-        items.append(item)
-        sizes.append(len(grams))
-    sent = docs.sparkSession.sparkContext.broadcast((index, items, sizes))
+    """(id, item, _a, _b, _both) by an index of the benchmark's grams in every task; no gram is shuffled.
+
+    Grams are 64-bit hashes: an accidental match is a matter of one in billions of texts.
+    """
+    stored = bench.select(item_col, "text").orderBy(item_col).toArrow()  # the caller has checked the size
+    items = stored.column(0).to_pylist()
+    sent = docs.sparkSession.sparkContext.broadcast((_index([_normal(t) for t in stored.column(1).to_pylist()], n), items))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, bench.schema[item_col].dataType), *[T.StructField(c, T.LongType()) for c in ("_a", "_b", "_both")]])
     kinds = [None, pa.array(items[:1]).type, pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
-        index, items, sizes = sent.value
-        index = {g: np.array(x, np.int64) for g, x in index.items()}
-        b = np.array(sizes, np.int64)
+        (keys, start, item_of, b), items = sent.value
         for batch in batches:
             at, rows = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                grams = _grams(_normal(text), n)
-                found = [x for g in grams if (x := index.get(g)) is not None]
-                if not found:
+                grams = _gram_hashes(_normal(text), n)
+                at_key = np.searchsorted(keys, grams)
+                at_key = at_key[at_key < len(keys)]  # grams are sorted, so these are the first ones
+                at_key = at_key[keys[at_key] == grams[: len(at_key)]]
+                if not len(at_key):
                     continue
-                both = np.bincount(np.concatenate(found), minlength=len(b))
+                size = start[at_key + 1] - start[at_key]
+                places = np.repeat(start[at_key] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                both = np.bincount(item_of[places], minlength=len(b))
                 a = len(grams)
                 if keep == "containment":
                     some = np.flatnonzero((both >= least * b) & (both > 0))
@@ -99,14 +118,14 @@ def jaccard_pairs(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", ite
 
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", n: int = 5, reject: float = REJECT_JACCARD) -> DataFrame:
-    """(id, jaccard_max, item, decision) of every document; of equal items the least."""
+    """(id, jaccard_max, item, decision) of every document; of equal items the least. Ids are unique on both sides, of any type."""
     if _small(bench):
         sums = _looked_up(docs, bench, id_col, item_col, n, "best", 0.0)
         best = sums.select(id_col, item_col, jaccard_of_counts(F.col("_both"), F.col("_a"), F.col("_b")).alias("jaccard_max"))
     else:
         pairs = jaccard_pairs(docs, bench, id_col, item_col, n)
-        best = pairs.groupBy(id_col).agg(F.max("jaccard").alias("jaccard_max"), F.max_by(F.col(item_col), F.struct("jaccard", -F.col(item_col))).alias(item_col))
-    out = docs.select(id_col).join(best, id_col, "left").withColumn("jaccard_max", F.round(F.coalesce("jaccard_max", F.lit(0.0)), 6))
+        best = pairs.groupBy(id_col).agg(F.max("jaccard").alias("jaccard_max"), F.min_by(F.col(item_col), F.struct(-F.col("jaccard"), F.col(item_col))).alias(item_col))
+    out = docs.select(id_col).join(best, id_col, "left").select(id_col, item_col, F.round(F.coalesce("jaccard_max", F.lit(0.0)), 6).alias("jaccard_max"))
     return out.withColumn("decision", F.when(F.col("jaccard_max") >= reject, "reject").otherwise("accept"))
 
 
@@ -118,8 +137,9 @@ def containment(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", item_
 
 def simhash64(grams: DataFrame, id_col: str) -> DataFrame:
     """(id, simhash binary string of 64 signs) from rows of grams: SHA-256 bits vote, ties give 0."""
-    bits = grams.select(id_col, F.lpad(F.conv(F.substring(F.sha2(F.col("gram").cast("binary"), 256), 1, 16), 16, 2), 64, "0").alias("_b"))
-    votes = bits.groupBy(id_col).agg(*[F.sum(F.when(F.substring("_b", k + 1, 1) == "1", 1).otherwise(-1)).alias(f"_v{k}") for k in range(64)])
+    half = lambda at: F.conv(F.substring("_h", at, 8), 16, 10).cast("long")
+    bits = grams.select(id_col, F.sha2(F.col("gram").cast("binary"), 256).alias("_h")).select(id_col, half(1).alias("_w0"), half(9).alias("_w1"))
+    votes = bits.groupBy(id_col).agg(*[F.sum(F.shiftright(f"_w{k // 32}", 31 - k % 32).bitwiseAND(1) * 2 - 1).alias(f"_v{k}") for k in range(64)])
     return votes.select(id_col, F.concat(*[F.when(F.col(f"_v{k}") > 0, "1").otherwise("0") for k in range(64)]).alias("simhash"))
 
 
@@ -131,15 +151,25 @@ def simhash_similarity(a: Column, b: Column) -> Column:
 
 def simhash_of_similar(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", least: float = SIMHASH_JACCARD) -> DataFrame:
     """(id, item, jaccard, similarity) of pairs with a Jaccard of `least` or more; hashes are made only for those."""
-    pairs = jaccard_pairs(docs, bench, id_col, item_col, least=least).where(F.col("jaccard") >= least)
+    pairs = stored(jaccard_pairs(docs, bench, id_col, item_col, least=least))
     a = simhash64(grams_of(docs.join(pairs.select(id_col).distinct(), id_col, "left_semi"), id_col), id_col)
     b = simhash64(grams_of(bench.join(pairs.select(item_col).distinct(), item_col, "left_semi"), item_col), item_col)
     return pairs.join(a, id_col).join(b.withColumnRenamed("simhash", "_s"), item_col).select(id_col, item_col, F.round("jaccard", 6).alias("jaccard"), F.round(simhash_similarity(F.col("simhash"), F.col("_s")), 6).alias("similarity"))
 
 
-def nearest_vectors(queries: DataFrame, base: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", reject: float = REJECT_COSINE) -> DataFrame:
+def corpus_maxima(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
+    """One row: the largest n-gram Jaccard of the corpus with a benchmark, and the largest SimHash similarity of similar pairs (0 without any)."""
+    top = contamination(docs, bench, id_col, item_col).agg(F.max("jaccard_max").alias("jaccard_max"))
+    near = simhash_of_similar(docs, bench, id_col, item_col).agg(F.coalesce(F.max("similarity"), F.lit(0.0)).alias("simhash_max"))
+    both = top.select("jaccard_max", F.lit(None).cast("double").alias("simhash_max")).unionByName(near.select(F.lit(None).cast("double").alias("jaccard_max"), "simhash_max"))
+    return both.agg(F.max("jaccard_max").alias("jaccard_max"), F.max("simhash_max").alias("simhash_max"))
+
+
+def nearest_vectors(queries: DataFrame, base: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", reject: float = REJECT_COSINE, others: bool = False) -> DataFrame:
     """(id, match_id, cosine, decision): the most similar base vector of every query, the least id of equal ones.
 
+    others: a query's own id in the base is left out.
+
     The base is a stated set: it is counted first, cut into blocks of
     BROADCAST_VECTORS by hash, and each block goes to the tasks as one matrix.
     """
@@ -164,6 +194,8 @@ def nearest_vectors(queries: DataFrame, base: DataFrame, id_col: str = "vec_id",
                 at, top = np.empty(len(q), np.int64), np.empty(len(q))
                 for i in range(0, len(q), 512):
                     s = np.round(q[i : i + 512] @ m.T, 9)
+                    if others:
+                        s[b.column(0).to_numpy()[i : i + 512, None] == ids] = -np.inf
                     at[i : i + 512] = s.argmax(axis=1)
                     top[i : i + 512] = s.max(axis=1)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids[at]), pa.array(top)], names=["id", "match_id", "cosine"])

@@ -70,6 +70,22 @@ def baseline_delta(scores: DataFrame, baselines: DataFrame, keys: list[str], sco
     return out.withColumn("delta_text", F.when(F.col("delta").isNull(), "not published").otherwise(F.format_string("%+.4f", "delta")))
 
 
+def score_candidates(candidates: DataFrame, scores: DataFrame, prompt: str, candidate: str, score: str) -> DataFrame:
+    """Every (prompt, candidate) with its score; one without a score gets 0."""
+    return candidates.join(scores.select(prompt, candidate, score), [prompt, candidate], "left").withColumn(score, F.coalesce(score, F.lit(0.0)))
+
+
+def accuracy_by_method(df: DataFrame, method: Column, ok: Column, methods: tuple[str, ...] = ("strict", "rational", "judge")) -> DataFrame:
+    """One row: accuracy, n, and how many rows each method settled."""
+    return df.agg(mean_or_zero(F.coalesce(ok, F.lit(False)).cast("int")).alias("accuracy"), F.count("*").alias("n"), *[F.count_if(method == m).alias(f"n_{m}") for m in methods])
+
+
+def choice_split_accuracy(df: DataFrame, is_choice: Column, ok: Column) -> DataFrame:
+    """One row: accuracy of choices, of other answers and of all; 0 where there are none."""
+    right = F.coalesce(ok, F.lit(False)).cast("int")
+    return df.agg(mean_or_zero(right, is_choice).alias("choice_acc"), mean_or_zero(right, ~is_choice).alias("analytic_acc"), mean_or_zero(right).alias("overall_acc"), F.count_if(is_choice).alias("n_choice"), F.count_if(~is_choice).alias("n_analytic"))
+
+
 def rank_models(results: DataFrame, targets: DataFrame, model: str, bench: str, acc: str = "accuracy", target: str = "target") -> DataFrame:
     """(model, score, rank): mean of accuracy over target, nulls left out, descending. A few rows."""
     s = results.join(targets, bench).groupBy(model).agg(F.round(F.avg(F.col(acc) / F.col(target)), 6).alias("score"))

@@ -1,4 +1,4 @@
-"""Verifiers by type. Untrusted code runs in its own limited process, never in the worker."""
+"""Verifiers by type. Code of records runs in its own limited process, never in the worker; see run_code for what that does not stop."""
 
 from __future__ import annotations
 
@@ -16,11 +16,12 @@ from pyspark.sql import types as T
 
 SECONDS, MEMORY_MB, OUTPUT_BYTES = 5, 512, 1_000_000
 
-_GUARD = """import sys, builtins
+_GUARD = """import sys, os as _o, socket as _s, subprocess as _p, _socket as _t
 def _no(*a, **k): raise PermissionError("not allowed here")
-import socket as _s; _s.socket = _s.create_connection = _no
-import subprocess as _p, os as _o
-_p.Popen = _o.system = _o.fork = _o.execv = _o.execve = _o.remove = _o.unlink = _o.rmdir = _o.kill = _no
+for _m, _names in ((_s, ("socket", "create_connection", "socketpair")), (_t, ("socket", "SocketType", "socketpair")), (_p, ("Popen",)),
+                   (_o, ("system", "popen", "fork", "forkpty", "posix_spawn", "posix_spawnp", "execv", "execve", "remove", "unlink", "rmdir", "rename", "kill", "killpg"))):
+    for _n in _names:
+        if hasattr(_m, _n): setattr(_m, _n, _no)
 """
 
 
@@ -32,7 +33,12 @@ def _limits() -> None:
 
 
 def run_code(source: str, stdin: str = "", seconds: float = SECONDS) -> tuple[bool, str, str]:
-    """(ended well, standard output, error) of a Python program under time, memory, CPU and file limits, without a network."""
+    """(ended well, standard output, error) of a Python program in a process of its own, under time, memory, CPU and file limits.
+
+    The guard stops sockets, processes and deletions by their usual names. It is
+    no sandbox: code that means harm gets round it and can read the executor's
+    files. For code that isn't trusted, run executors in containers without a network.
+    """
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, "main.py")
         with open(path, "w", encoding="utf-8") as f:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "loomwright", **conf: str) -> SparkSession:
@@ -12,3 +14,29 @@ def session(app: str = "loomwright", **conf: str) -> SparkSession:
     for k, v in (base | {k.replace("__", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a local session without one gets a temporary folder; elsewhere that is an error."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir is not set: a folder that all executors share is needed")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="loomwright-checkpoints-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint, for what is used more than once."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

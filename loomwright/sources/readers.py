@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,6 +75,24 @@ def texts_of(df: DataFrame, fields: list[str]) -> DataFrame:
     return out
 
 
+def prefix_sample(df: DataFrame, order: list[str], text: str, rows: int = 120, chars: int = 1200) -> DataFrame:
+    """The first rows in order, their texts cut (a bounded look at a benchmark; both cuts are the feature)."""
+    return df.orderBy(*order).limit(rows).withColumn(text, F.substring(text, 1, chars))
+
+
+def first_available(*loads) -> DataFrame:
+    """The first of several ways to load a table (a split, a configuration) that exists."""
+    missing: Exception | None = None
+    for load in loads:
+        try:
+            df = load()
+            df.schema  # noqa: B018  (resolves the plan)
+            return df
+        except AnalysisException as e:
+            missing = e
+    raise missing or ValueError("nothing to load")
+
+
 def cached_or(spark: SparkSession, cache: str, load) -> DataFrame:
     """The stored table if it is there, or else what load() gives."""
     jvm = spark.sparkContext._jvm

@@ -18,6 +18,20 @@ def write_partitions(df: DataFrame, path: str, by: tuple[str, ...] = PARTITIONS,
     return counts
 
 
+def write_shard(df: DataFrame, path: str, name: str, order: list[str]) -> None:
+    """One JSONL (or, of a single `value` column, text) file of that name, rows in order: a shard is small by nature."""
+    spark = df.sparkSession
+    folder = f"{path}/_{name}"
+    rows = df.coalesce(1).sortWithinPartitions(*order)
+    rows.select("value").write.mode("overwrite").text(folder) if "value" in df.columns else rows.write.mode("overwrite").json(folder)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in fs.listStatus(hadoop(folder)) if s.getPath().getName().startswith("part-"))
+    fs.delete(hadoop(f"{path}/{name}"), True)
+    fs.rename(part, hadoop(f"{path}/{name}"))
+    fs.delete(hadoop(folder), True)
+
+
 def write_if_changed(df: DataFrame, path: str, order: list[str]) -> bool:
     """Writes JSON unless the same rows are there already (an order-free hash is kept beside them)."""
     spark = df.sparkSession

@@ -27,10 +27,13 @@ def first_seen(stream: DataFrame, key: str, time: str | None = None, late: str =
     return stream.dropDuplicates([key])
 
 
-def append_until(stream: DataFrame, out: str, rejects: str, accept, target: int, checkpoint: str) -> StreamingQuery:
-    """Appends accepted rows until the output has `target` of them, and logs the others; stops taking rows then.
+def append_until(stream: DataFrame, out: str, rejects: str, accept, target: int, checkpoint: str, order: list[str] | None = None) -> StreamingQuery:
+    """Appends accepted rows until the output has `target` of them, and logs all others with a reason.
 
-    Each batch writes to a folder named by its number, so a repeated batch overwrites its own.
+    Of a batch that passes the target, the first rows in `order` (all columns by
+    default) are taken; the log has the rest as `over_target`. Each batch writes
+    to a folder named by its number and counts only the folders of others, so a
+    repeated batch overwrites its own with the same rows.
     """
     spark = stream.sparkSession
 
@@ -38,14 +41,20 @@ def append_until(stream: DataFrame, out: str, rejects: str, accept, target: int,
         batch = batch.persist()
         have = 0
         try:
-            have = spark.read.parquet(f"{out}/batch=*").where(F.lit(True)).count() if number else 0
+            have = spark.read.parquet(out).where(F.col("batch") != number).count()
         except Exception as e:  # no folder yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
         ok = F.coalesce(accept, F.lit(False))
-        if have < target:
-            batch.where(ok).limit(target - have).write.mode("overwrite").parquet(f"{out}/batch={number}")
-            batch.where(~ok).write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+        good, left = batch.where(ok), max(0, target - have)
+        over = good.limit(0)
+        if good.count() > left:
+            ranked = good.orderBy(*(order or batch.columns)).select("*", F.monotonically_increasing_id().alias("_at")).persist()
+            places = ranked.select("_at").orderBy("_at").limit(left).agg(F.max("_at")).first()[0]  # of the last row that is taken
+            good, over = ranked.where(F.col("_at") <= F.lit(-1 if places is None else places)).drop("_at"), ranked.where(F.col("_at") > F.lit(-1 if places is None else places)).drop("_at")
+        good.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        log = batch.where(~ok).withColumn("reason", F.lit("rejected")).unionByName(over.withColumn("reason", F.lit("over_target")))
+        log.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
         batch.unpersist()
 
     return cycles(stream, step, checkpoint)
