@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import q_chat, q_dedup, q_extras, q_report, q_score  # noqa: F401  (each registers its queries)
+from .plans import q_answers, q_chat, q_dedup, q_extras, q_io, q_records, q_report, q_score  # noqa: F401  (each registers its queries)
 from .plans.registry import ORACLES, QUERIES
 
 

@@ -76,15 +76,14 @@ def few_shot_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_PICK}, t AS (SELECT doc_id, substring(text, 1, 40) AS q, substring(text, 41, 40) AS a FROM documents),
+WITH {_PICK}, t AS (SELECT doc_id, text AS q, lang || ' ' || source AS a FROM documents),
 b AS (SELECT p.doc_id, string_agg('# Example' || chr(10) || '## Question' || chr(10) || t.q || chr(10) || '## Answer' || chr(10) || t.a, chr(10) || chr(10) ORDER BY place) AS blocks FROM pick p JOIN t ON t.doc_id = p.example_id WHERE place <= 3 GROUP BY 1)
 SELECT t.doc_id, sha256('<|im_start|>system' || chr(10) || 'You are a helpful assistant.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || coalesce(blocks || chr(10) || chr(10) || '# Your task' || chr(10), '') || q || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || a || '<|im_end|>') AS sft_sha256
 FROM t LEFT JOIN b USING (doc_id)
 """)
 def few_shot_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question and its answer are stood for by the first and the next 40 characters."""
-    docs = table(spark, sf_dir, "documents")
-    qa = docs.select("doc_id", F.substring("text", 1, 40).alias("q"), F.substring("text", 41, 40).alias("a"))
+    """A question is a whole text, its answer the language and source."""
+    qa = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("q"), F.concat_ws(" ", "lang", "source").alias("a"))
     picks = few_shot_pick(spark, sf_dir).join(qa.toDF("example_id", "eq", "ea"), "example_id")
     blocks = picks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", chat.example_block(F.col("eq"), F.col("ea")).alias("b")))).alias("_b"))
     df = qa.join(blocks.select("doc_id", F.transform("_b", lambda x: x["b"]).alias("_b")), "doc_id", "left").withColumn("_b", F.coalesce("_b", F.array().cast("array<string>")))
@@ -128,8 +127,8 @@ def strict_loose_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.round("strict", 6).alias("strict"), F.round("loose", 6).alias("loose"), "n_prompts")
 
 
-@query("SELECT doc_id, length(regexp_replace(substring(text, 1, 200), '[^,]', '', 'g')) AS commas, length(text) - length(replace(text, 'th', '')) AS th2 FROM documents")
+@query("SELECT doc_id, length(regexp_replace(text, '[^,]', '', 'g')) AS commas, length(text) - length(replace(text, 'th', '')) AS th2 FROM documents")
 def occurrence_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.text import occurrences
 
-    return table(spark, sf_dir, "documents").select("doc_id", occurrences(F.substring("text", 1, 200), ",").alias("commas"), (2 * occurrences(F.col("text"), "th")).alias("th2"))
+    return table(spark, sf_dir, "documents").select("doc_id", occurrences(F.col("text"), ",").alias("commas"), (2 * occurrences(F.col("text"), "th")).alias("th2"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize
 from ..operators import curate, neardup
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 #: The white space that Spark's (?U)\s removes, for RE2.
 _WS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -59,6 +59,12 @@ def simhash_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.simhash_of_similar(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query(f"SELECT (SELECT max(jaccard_max) FROM ({ORACLES['ngram_contamination']})) AS jaccard_max, (SELECT coalesce(max(similarity), 0.0) FROM ({ORACLES['simhash_similarity']})) AS simhash_max")
+def corpus_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest similarities of the corpus with the benchmark."""
+    return neardup.corpus_maxima(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query(f"""
 SELECT doc_id, coalesce(sha256({_NORM}) IN (SELECT sha256({_NORM}) FROM benchmark WHERE text IS NOT NULL), false) AS exact_match FROM documents
 """)
@@ -72,34 +78,34 @@ def hash_blacklist_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH q AS (SELECT * FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT * FROM embeddings WHERE vec_id % 2 = 1),
-s AS (SELECT q.vec_id, b.vec_id AS match_id, round(list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS c FROM q, b)
+WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT q.vec_id, b.vec_id AS match_id, round(list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS c FROM q JOIN embeddings b ON q.vec_id <> b.vec_id)
 SELECT vec_id, arg_max(match_id, (c, -match_id)) AS match_id, round(max(c), 6) AS cosine,
        CASE WHEN round(max(c), 6) >= 0.92 THEN 'quarantine' ELSE 'accept' END AS decision FROM s GROUP BY 1
 """)
 def embedding_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even ids stand for training vectors, odd ones for the benchmark's."""
+    """The stated query set (every 50th id) against all other vectors."""
     e = table(spark, sf_dir, "embeddings")
-    return neardup.nearest_vectors(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"))
+    return neardup.nearest_vectors(e.where("vec_id % 50 = 0"), e, others=True)
 
 
 @query(f"SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY {_NORM} ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def exact_dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(normalize(F.col("text")).cast("binary"), 256).alias("_h"))
-    return curate.first_of(docs, [F.col("_h")], [F.col("doc_id")]).drop("_h")
+    return curate.first_of(docs, [F.col("_h")], ["doc_id"]).drop("_h")
 
 
 @query(f"SELECT doc_id, 'duplicate text' AS reason FROM (SELECT *, row_number() OVER (PARTITION BY {_NORM} ORDER BY doc_id) AS r FROM documents) WHERE r > 1")
 def duplicate_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(normalize(F.col("text")).cast("binary"), 256).alias("_h"))
-    return curate.later_copies(docs, [F.col("_h")], [F.col("doc_id")]).select("doc_id", F.lit("duplicate text").alias("reason"))
+    return curate.later_copies(docs, [F.col("_h")], ["doc_id"]).select("doc_id", F.lit("duplicate text").alias("reason"))
 
 
 @query("SELECT doc_id, prefix_chars FROM (SELECT doc_id, length(substring(text, 1, 200)) AS prefix_chars, row_number() OVER (PARTITION BY substring(text, 1, 200) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def prefix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.substring("text", 1, 200)
     docs = table(spark, sf_dir, "documents").select("doc_id", key.alias("_p"), F.length(key).cast("long").alias("prefix_chars"))
-    return curate.first_of(docs, [F.col("_p")], [F.col("doc_id")]).drop("_p")
+    return curate.first_of(docs, [F.col("_p")], ["doc_id"]).drop("_p")
 
 
 _SPLIT = """

@@ -12,13 +12,14 @@ from .registry import query, table
 
 
 @query("""
-WITH w AS (SELECT lower(substring(text, 1, 20)) AS a, lower(substring(text, 1, 20)) || CASE WHEN item_id % 2 = 0 THEN '' ELSE 'x' END AS g, list_distinct(string_split(lower(substring(text, 1, 120)), ' ')) AS p, list_distinct(string_split(lower(substring(text, 41, 120)), ' ')) AS q FROM benchmark),
+WITH w AS (SELECT lower(a.text) AS a, lower(a.text) || CASE WHEN a.item_id % 2 = 0 THEN '' ELSE 'x' END AS g, list_distinct(string_split(lower(a.text), ' ')) AS p, list_distinct(string_split(lower(b.text), ' ')) AS q FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
 s AS (SELECT (trim(a) = trim(g))::INT AS em, CASE WHEN len(list_intersect(p, q)) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(p, q)) / (len(p) + len(q)) END AS f FROM w)
 SELECT round(avg(em), 6) AS em, round(avg(f), 6) AS source_f1, round(avg(em * f), 6) AS joint, count(*) AS n FROM s
 """)
 def multihop_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = lambda a, n: F.lower(F.substring("text", a, n))
-    b = table(spark, sf_dir, "benchmark").select(low(1, 20).alias("a"), F.concat(low(1, 20), F.when(F.col("item_id") % 2 == 0, "").otherwise("x")).alias("g"), F.split(low(1, 120), " ").alias("p"), F.split(low(41, 120), " ").alias("q"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("a"))
+    after = items.select((F.col("item_id") - 1).alias("item_id"), F.split("a", " ").alias("q"))
+    b = items.join(after, "item_id").select("a", F.concat("a", F.when(F.col("item_id") % 2 == 0, "").otherwise("x")).alias("g"), F.split("a", " ").alias("p"), "q")
     out = extras.multihop_scores(b, "a", "g", "p", "q")
     return out.select(*[F.round(c, 6).alias(c) for c in ("em", "source_f1", "joint")], "n")
 
@@ -46,13 +47,13 @@ def generation_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT substring(text, 1, 20) AS p, arg_max(source, doc_id) AS rule FROM documents WHERE doc_id % 2 = 0 GROUP BY 1)
-SELECT d.doc_id, rule FROM documents d LEFT JOIN r ON substring(d.text, 1, 20) = r.p
+WITH r AS (SELECT substring(text, 1, 200) AS p, arg_max(source, doc_id) AS rule FROM documents GROUP BY 1)
+SELECT d.doc_id, rule FROM documents d LEFT JOIN r ON substring(d.text, 1, 200) = r.p
 """)
 def constraints_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rules = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("text").alias("rt"), F.col("doc_id").alias("o"), F.col("source").alias("rule"))
-    return extras.join_by_prefix(docs, rules, "text", "rt", "o", 20).select("doc_id", "rule")
+    rules = table(spark, sf_dir, "documents").select(F.col("text").alias("rt"), F.col("doc_id").alias("o"), F.col("source").alias("rule"))
+    return extras.join_by_prefix(docs, rules, "text", "rt", "o", 200).select("doc_id", "rule")
 
 
 @query("""
@@ -80,9 +81,9 @@ def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "value", tx.cache_key(F.lit("m"), F.lit("point"), F.col("event_type"), F.col("user_id").cast("string")).alias("key"), tx.percent(F.abs("value")).alias("percent"))
 
 
-@query(r"WITH n AS (SELECT doc_id, list_transform(regexp_extract_all(text, '-?\d{1,18}'), lambda x: x::BIGINT) AS v FROM documents) SELECT doc_id, list_min(v) AS low, list_max(v) AS high FROM n WHERE len(v) > 0")
+@query(r"WITH n AS (SELECT doc_id, list_transform(regexp_extract_all(text, '-?\d{1,18}'), lambda x: x::BIGINT) AS v FROM documents) SELECT doc_id, list_min(v) AS low, list_max(v) AS high FROM n")
 def numeric_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "documents").select("doc_id", chat.numeric_bounds(F.array("text")).alias("_b")).where("_b is not null")
+    b = table(spark, sf_dir, "documents").select("doc_id", chat.numeric_bounds(F.array("text")).alias("_b"))
     return b.select("doc_id", "_b.low", "_b.high")
 
 
@@ -92,14 +93,24 @@ def shard_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.pivot_counts(e, "user_id", F.col("event_type"), ["click", "view"]).join(e.groupBy("user_id").agg(F.count("*").alias("n")), "user_id")
 
 
-@query("SELECT conv_id, turn, CASE WHEN contains(text, '.') THEN substring(text, 1, 2000) ELSE substring(text, 1, 2000) END AS seed FROM conversations WHERE length(text) > 0")
-def extract_user_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where("length(text) > 0").select("conv_id", "turn", chat.user_text(F.col("text")).alias("seed"))
+_BLANK = "chr(32)||chr(9)||chr(10)||chr(13)"
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN trim(text, chr(32)||chr(9)||chr(10)||chr(13)) ELSE text END AS said FROM conversations WHERE text IS NOT NULL AND length(trim(text, chr(32)||chr(9)||chr(10)||chr(13))) >= 100")
+@query(f"SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN coalesce(nullif(substring(text, 1, 2000), ''), nullif(text, '')) WHEN 1 THEN trim(text, {_BLANK}) ELSE coalesce(nullif(text, ''), 'from the prompt') END AS seed FROM conversations WHERE text IS NOT NULL")
+def extract_user_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain texts, tagged texts, and (for the empty third) the first user message, or else the prompt."""
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    k = F.col("turn") % 3
+    tagged = F.concat(F.lit("<|im_start|>user\nfirst<|im_end|>\n<|im_start|>user  "), F.col("text"), F.lit(" <|im_end|>more"))
+    text = F.when(k == 0, F.col("text")).when(k == 1, tagged).otherwise("")
+    message = lambda role, x: F.struct(F.lit(role).alias("role"), x.alias("content"))
+    messages = F.array(message("system", F.lit("s")), message("user", F.col("text")), message("user", F.lit("a later one")))
+    prompt = F.when(k == 2, "from the prompt")
+    return c.select("conv_id", "turn", chat.user_text(text, messages, prompt).alias("seed"))
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN text WHEN length(trim(text, {_BLANK})) >= 100 THEN trim(text, {_BLANK}) ELSE '<think>x</think>' || text END AS said FROM conversations WHERE text IS NOT NULL")
 def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second turn gets a reasoning block before it, which goes."""
-    c = table(spark, sf_dir, "conversations").where(F.col("text").isNotNull() & (F.length(answers.strip(F.col("text"))) >= 100))
+    """Every second turn gets a reasoning block before it, which goes unless little follows."""
     x = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<think>x</think>"), F.col("text"))).otherwise(F.col("text"))
-    return c.select("conv_id", "turn", answers.visible(x).alias("said"))
+    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", answers.visible(x).alias("said"))

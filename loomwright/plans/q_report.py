@@ -126,14 +126,15 @@ def allowlist_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.excluding(failures, "doc_id", allowed)
 
 
-_GATE = "list_filter(['low_quality', 'toxic', 'short', 'repeats'], lambda x: (x = 'low_quality' AND coalesce(quality = 0, false)) OR (x = 'toxic' AND coalesce(toxic = 1, false)) OR (x = 'short' AND length(text) < 100) OR (x = 'repeats' AND len(list_distinct(string_split(text, chr(10)))) < len(string_split(text, chr(10)))))"
+_GATE = "list_filter(['over_cap:novelty', 'low_quality', 'toxic', 'short', 'repeats'], lambda x: (x = 'over_cap:novelty' AND coalesce(doc_id % 100 > 95, false)) OR (x = 'low_quality' AND coalesce(quality = 0, false)) OR (x = 'toxic' AND coalesce(toxic = 1, false)) OR (x = 'short' AND length(text) < 100) OR (x = 'repeats' AND len(list_distinct(string_split(text, chr(10)))) < len(string_split(text, chr(10)))))"
 
 
 @query(f"SELECT doc_id, array_to_string({_GATE}, ',') AS violations, len({_GATE}) = 0 AS accepted FROM documents LEFT JOIN labels USING (doc_id)")
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     lines = F.split("text", "\n")
-    v = curate.violations({"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1, "short": F.length("text") < 100, "repeats": F.size(F.array_distinct(lines)) < F.size(lines)})
+    caps = curate.cap_checks(F.create_map(F.lit("novelty"), (F.col("doc_id") % 100 / 100).cast("string")), {"novelty": curate.QUALITY_CAPS["novelty"]})
+    v = curate.violations(caps | {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1, "short": F.length("text") < 100, "repeats": F.size(F.array_distinct(lines)) < F.size(lines)})
     return df.select("doc_id", v.alias("_v")).select("doc_id", F.array_join("_v", ",").alias("violations"), (F.size("_v") == 0).alias("accepted"))
 
 
@@ -187,14 +188,18 @@ _KW = r"list_slice(regexp_extract_all(regexp_replace(fact, '[^\p{L}\p{N}_\s\x{0e
 
 
 @query(f"""
-WITH f AS (SELECT page_id AS id, [url, 'http://missing.example'][1:1 + (page_id % 2)::INT] AS urls, substring({_HTML}, 40, 120) AS fact FROM pages),
+WITH f AS (SELECT a.page_id AS id, [CASE WHEN a.page_id % 3 = 0 THEN coalesce(b.url, a.url) ELSE a.url END, 'http://missing.example'][1:1 + (a.page_id % 2)::INT] AS urls, a.fact
+           FROM (SELECT *, {_HTML} AS fact FROM pages) a LEFT JOIN pages b ON b.page_id = a.page_id + 1),
 p AS (SELECT url, any_value(body ORDER BY page_id) AS body FROM (SELECT page_id, url, {_HTML} AS body FROM pages) GROUP BY url),
 k AS (SELECT id, urls, {_KW} AS kw FROM f), u AS (SELECT id, kw, unnest(urls) AS url FROM k),
 h AS (SELECT id, max(CASE WHEN body IS NULL THEN 0 ELSE len(list_filter(kw, lambda x: contains(body, x))) END) AS hits, count(*) FILTER (body IS NULL) AS broken FROM u LEFT JOIN p USING (url) GROUP BY 1)
 SELECT id, broken, (hits < 2)::BIGINT AS weak, CASE WHEN broken > 0 THEN 'FAIL' WHEN hits < 2 THEN 'WARN' ELSE 'OK' END AS status FROM h
 """.replace("any_value(body ORDER BY page_id)", "arg_min(body, page_id)"))
 def fact_keyword_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sentence of each page as its fact; every second page also cites a missing source."""
+    """Each page's text as its fact; every third cites the next page, and every second also a missing one."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", tx.html_to_text(F.col("html")).alias("body"))
-    facts = pages.select(F.col("page_id").alias("id"), F.lit(0).alias("fact_no"), F.substring("body", 40, 120).alias("fact"), F.when(F.col("page_id") % 2 == 1, F.array("url", F.lit("http://missing.example"))).otherwise(F.array("url")).alias("urls"))
+    after = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("_after"))
+    cited = F.when(F.col("page_id") % 3 == 0, F.coalesce("_after", "url")).otherwise(F.col("url"))
+    urls = F.when(F.col("page_id") % 2 == 1, F.array(cited, F.lit("http://missing.example"))).otherwise(F.array(cited))
+    facts = pages.join(after, "page_id", "left").select(F.col("page_id").alias("id"), F.lit(0).alias("fact_no"), F.col("body").alias("fact"), urls.alias("urls"))
     return evidence.fact_status(facts, pages.groupBy("url").agg(F.min_by("body", "page_id").alias("body"))).select("id", "broken", "weak", "status")

@@ -5,43 +5,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import answers, prosody
-from ..operators import score, verify
+from ..functions import answers
+from ..operators import score
+from ..session import scratch
 from .registry import query, table
 
-_MATH = [
-    (1, r"So \boxed{1} and then $\boxed{42}$.", "42", "42"),
-    (2, "The final answer is 3/4.", "0.75", "3/4"),
-    (3, "work\n= 17", "17", "17"),
-    (4, "no number here", "5", "no number here"),
-    (5, "", "0", ""),
-    (6, "คำตอบคือ 12", "12", "12"),
-    (7, "Answer: 3/4", "0.75", "3/4"),
-]
+_MATH = """SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'So \\boxed{1} and then $\\boxed{' || o_custkey || '}$.' WHEN 1 THEN 'The final answer is ' || o_custkey || '/4.'
+ WHEN 2 THEN 'work' || chr(10) || '= ' || o_custkey WHEN 3 THEN o_orderpriority || chr(10) || 'no number here' WHEN 4 THEN 'คำตอบคือ ' || o_custkey || ' และ' || chr(10) || o_orderstatus ELSE 'Answer: ' || o_custkey || '/4' END AS raw,
+ CASE o_orderkey % 6 WHEN 1 THEN 'is ' || o_custkey || '/4' WHEN 3 THEN 'no number here' WHEN 4 THEN o_custkey || ' และ' WHEN 5 THEN o_custkey || '/4' ELSE o_custkey || '' END AS answer,
+ CASE WHEN o_orderkey % 6 = 5 THEN 2 * o_custkey || '/8' ELSE o_custkey || '' END AS gold, o_orderkey % 6 AS k FROM orders"""
 
 
-@query("SELECT * FROM (VALUES (1, '42', 'strict'), (2, 'is 3/4', NULL), (3, '17', 'strict'), (4, 'no number here', NULL), (5, '', NULL), (6, '12', 'strict'), (7, '3/4', 'rational')) t(id, answer, method)")
+@query(f"SELECT id, answer, CASE WHEN k IN (0, 2) THEN 'strict' WHEN k = 5 THEN 'rational' END AS method FROM ({_MATH})".replace("\\\\", "\\"))
 def math_answer_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([x[:3] for x in _MATH], "id int, raw string, gold string")
-    a = answers.extract_math(F.col("raw"))
-    return df.withColumn("answer", a).select("id", "answer", answers.same_math(F.col("answer"), F.col("gold")).alias("method"))
+    """Responses made of orders in six wordings; the oracle knows the answer that went in."""
+    k, n = F.col("o_orderkey") % 6, F.col("o_custkey").cast("string")
+    words = [
+        F.concat(F.lit(r"So \boxed{1} and then $\boxed{"), n, F.lit("}$.")), F.concat(F.lit("The final answer is "), n, F.lit("/4.")), F.concat(F.lit("work\n= "), n),
+        F.concat("o_orderpriority", F.lit("\nno number here")), F.concat(F.lit("คำตอบคือ "), n, F.lit(" และ\n"), "o_orderstatus"), F.concat(F.lit("Answer: "), n, F.lit("/4")),
+    ]
+    gold = F.when(k == 5, F.concat((2 * F.col("o_custkey")).cast("string"), F.lit("/8"))).otherwise(n)
+    df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.get(F.array(*words), k.cast("int")).alias("raw"), gold.alias("gold"))
+    return df.withColumn("answer", answers.extract_math(F.col("raw"))).select("id", "answer", answers.same_math(F.col("answer"), F.col("gold")).alias("method"))
 
 
-@query("SELECT * FROM (VALUES (1, 'c', 'a', '(3)'), (2, 'b', 'b', '(b) is right'), (3, 'd', '', '(ค)'), (4, NULL, 'e', 'entailment')) t(id, choice, first, exam)")
+@query("""
+WITH p AS (SELECT p_partkey AS id, p_partkey % 4 AS k, 1 + p_partkey % 5 AS n FROM part), l AS (SELECT *, substring('abcde', n::INT, 1) AS c FROM p)
+SELECT id, CASE k WHEN 3 THEN NULL ELSE c END AS choice, CASE k WHEN 0 THEN 'a' WHEN 1 THEN c WHEN 2 THEN '' ELSE 'e' END AS first,
+ CASE k WHEN 0 THEN '(' || n || ')' WHEN 1 THEN '(' || c || ') is right' WHEN 2 THEN '(ค)' ELSE 'entailment' END AS exam FROM l
+""")
 def mcq_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "Answer is (c) not (3)"), (2, "(b) is right"), (3, "คำตอบคือ ๔"), (4, "entailment")]
+    """Choices made of parts in four wordings."""
+    k, n = F.col("p_partkey") % 4, (1 + F.col("p_partkey") % 5).cast("int")
+    letter = lambda s: F.substr(F.lit(s), n, F.lit(1))
+    words = [F.concat(F.lit("Answer is ("), letter("abcde"), F.lit(") not ("), n.cast("string"), F.lit(")")), F.concat(F.lit("("), letter("abcde"), F.lit(") is right")), F.concat(F.lit("คำตอบคือ "), letter("๑๒๓๔๕")), F.lit("entailment")]
     x = F.col("raw")
-    return spark.createDataFrame(rows, "id int, raw string").select("id", answers.extract_choice(x).alias("choice"), answers.first_letter(x).alias("first"), answers.extract_exam(x).alias("exam"))
+    df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.get(F.array(*words), k.cast("int")).alias("raw"))
+    return df.select("id", answers.extract_choice(x).alias("choice"), answers.first_letter(x).alias("first"), answers.extract_exam(x).alias("exam"))
 
 
 @query("""
-WITH w AS (SELECT item_id, string_split(lower(substring(text, 1, 120)), ' ') AS p, string_split(lower(substring(text, 41, 120)), ' ') AS g FROM benchmark),
+WITH w AS (SELECT a.item_id, string_split(lower(a.text), ' ') AS p, string_split(lower(b.text), ' ') AS g FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
 s AS (SELECT item_id, list_distinct(p) AS p, list_distinct(g) AS g, len(list_intersect(p, g)) AS b FROM w)
 SELECT item_id, round(CASE WHEN b = 0 THEN 0.0 ELSE 2.0 * b / (len(p) + len(g)) END, 6) AS f1 FROM s
 """)
 def set_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lambda a: F.split(F.lower(F.substring("text", a, 120)), " ")
-    return table(spark, sf_dir, "benchmark").select("item_id", F.round(score.set_f1(words(1), words(41)), 6).alias("f1"))
+    """Words of each item against those of the next."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.split(F.lower("text"), " ").alias("p"))
+    both = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("p").alias("g")), "item_id")
+    return both.select("item_id", F.round(score.set_f1(F.col("p"), F.col("g")), 6).alias("f1"))
 
 
 _SAMPLES = "SELECT l_orderkey AS item, CASE WHEN l_quantity::INT % 5 = 0 THEN NULL ELSE (l_quantity::INT % 4)::VARCHAR END AS answer, l_linenumber::BIGINT * 1000000000000 + l_partkey * 1000000 + l_suppkey AS no, -l_discount::DOUBLE AS lp FROM lineitem"
@@ -159,30 +171,6 @@ def rescore_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.rescored(e, "old", "new").withColumn("old_mean", F.round("old_mean", 4)).withColumn("new_mean", F.round("new_mean", 4))
 
 
-@query()
-def unit_test_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference solutions against their tests, in limited processes; held to expected reasons in tests."""
-    rows = [
-        ("ok", "unit_tests", '{"reference_solution": "print(sum(map(int, input().split())))", "public_tests": [{"input": "1 2", "output": "3"}]}'),
-        ("bad", "unit_tests", '{"reference_solution": "print(1)", "public_tests": [{"input": "", "output": "2"}]}'),
-        ("fn", "unit_tests", '{"reference_solution": "def f(x): return (x, x)", "function_name": "f", "function_tests": [{"args": [2], "expected": [2, 2]}]}'),
-        ("slow", "unit_tests", '{"program": "while True: pass", "expected_stdout": ""}'),
-        ("math", "symbolic_math", '{"python_asserts": ["int(answer) == 42"]}'),
-    ]
-    df = spark.createDataFrame([(*r, "42", "", ["http://a"], "x", 2) for r in rows], "id string, verifier_type string, details string, final_answer string, response string, urls array<string>, family string, n_messages int")
-    return verify.verify(df).select("id", F.col("reason").isNull().alias("passed"))
-
-
-@query()
-def klon_prosody(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines and syllables of two poems; held to expected values in tests."""
-    rows = [(1, "กากากากา\nขาขาขาขา\nมามามามา\nตาตาตาตา"), (2, "กา\nขาขาขาขาขาขาขา\nมา")]
-    count = prosody.syllable_counter()
-    lines = spark.createDataFrame(rows, "id int, text string").select("id", F.size(prosody.verse_lines(F.col("text"))).alias("n_lines"), F.posexplode(prosody.verse_lines(F.col("text"))).alias("at", "line"))
-    s = lines.withColumn("syllables", count("line"))
-    return s.groupBy("id", "n_lines").agg(F.bool_and((F.col("syllables") >= 3) & (F.col("syllables") <= 5)).alias("_ok")).select("id", "n_lines", (F.col("_ok") & (F.col("n_lines") % 4 == 0)).alias("klon_4"))
-
-
 @query("SELECT count(DISTINCT user_id) AS n FROM events")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First event of each user by a stream over the events file, run to its end into a table of the shared folder."""
@@ -190,14 +178,7 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomwright-checkpoints-"))
-    import uuid
-
-    out = f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    q = first_seen(stream.select("user_id"), "user_id").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
+    out = scratch(spark, "stream")
+    q = first_seen(stream.select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", late="3650 days").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{out}/rows").agg(F.count("*").alias("n"))
