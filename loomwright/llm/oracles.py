@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, urlgraph
+from . import langid, lm_quality, quality, urlgraph
 
 _SPACE = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -137,5 +137,72 @@ FROM j LEFT JOIN g{rounds} USING (host) LEFT JOIN seeds USING (host)
 """
 
 
+#: The white space that Python's str.split() parts at, for RE2.
+_BLANK = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def _op6() -> str:
+    """The Kneser-Ney model and its scores on strings; chr(1) stands before a text (no test text has it)."""
+    top = lm_quality.ORDER
+    parts = [f"""
+t AS (SELECT row_number() OVER () AS r, d.doc_id, lang, coalesce(l.good, false) AS own, repeat(chr(1), {top - 1}) || trim(regexp_replace(lower(coalesce(text, '')), '{_BLANK}', ' ', 'g'), ' ') AS x FROM documents d
+      LEFT JOIN (SELECT doc_id, min(quality) = 1 AND max(coalesce(toxic, 0)) = 0 AS good FROM labels GROUP BY 1) l ON l.doc_id = d.doc_id),
+g AS MATERIALIZED (SELECT r, own, substring(x, i, {top}) AS g, count(*) AS n FROM (SELECT r, own, x, unnest(range(1, length(x) - {top - 2})) AS i FROM t WHERE length(x) >= {top}) GROUP BY ALL),
+c{top} AS MATERIALIZED (SELECT g, sum(n)::BIGINT AS n, sum(n)::BIGINT AS seen FROM g WHERE own GROUP BY 1)"""]
+    for k in range(top - 1, 0, -1):
+        parts.append(f"c{k} AS MATERIALIZED (SELECT right(g, {k}) AS g, count(*) AS n, sum(seen)::BIGINT AS seen FROM c{k + 1} GROUP BY 1)")
+    for k in range(1, top + 1):
+        parts.append(f"""
+n{k} AS (SELECT count(*) FILTER (n = 1) AS n1, count(*) FILTER (n = 2) AS n2, count(*) FILTER (n = 3) AS n3, count(*) FILTER (n = 4) AS n4 FROM c{k}),
+y{k} AS (SELECT *, CASE WHEN n1 > 0 THEN n1 / (n1 + 2 * n2) ELSE 0.5::DOUBLE END AS y FROM n{k}),
+d{k} AS (SELECT CASE WHEN n1 > 0 THEN least(greatest(1 - 2 * y * n2 / greatest(n1, 1), 0.05::DOUBLE), 0.95::DOUBLE) ELSE 0.5 END AS d1, CASE WHEN n2 > 0 THEN least(greatest(2 - 3 * y * n3 / greatest(n2, 1), 0.05::DOUBLE), 1.95::DOUBLE) ELSE 1.0 END AS d2,
+ CASE WHEN n3 > 0 THEN least(greatest(3 - 4 * y * n4 / greatest(n3, 1), 0.05::DOUBLE), 2.95::DOUBLE) ELSE 1.5 END AS d3 FROM y{k}),
+o{k} AS (SELECT g, n, seen, (CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END)::DOUBLE AS off FROM c{k}, d{k})""")
+        if k == 1:
+            parts.append("""
+base AS (SELECT coalesce(sum(off) / sum(n), 1.0) / (count(*) + 1) AS b, greatest(coalesce(sum(n), 0), 1) AS total FROM o1),
+p1 AS MATERIALIZED (SELECT g, seen, (n - off) / total + b AS p FROM o1, base)""")
+        else:
+            parts.append(f"""
+x{k} AS MATERIALIZED (SELECT left(g, {k - 1}) AS g, sum(n) AS a, sum(off) AS o FROM o{k} GROUP BY 1),
+p{k} AS MATERIALIZED (SELECT o{k}.g, o{k}.seen, (n - off + o * p{k - 1}.p) / a AS p FROM o{k} JOIN x{k} ON x{k}.g = left(o{k}.g, {k - 1}) JOIN p{k - 1} ON p{k - 1}.g = right(o{k}.g, {k - 1}))""")
+    log_p, joins = "ln(b)", ""
+    for k in range(1, top + 1):
+        back = f"coalesce(ln(x{k}.o / x{k}.a), 0) + " if k > 1 else ""
+        log_p = f"CASE WHEN p{k}.seen > least THEN ln(p{k}.p) ELSE {back}{log_p} END" if k == 1 else f"CASE WHEN p{k}.seen > least THEN ln(p{k}.p) ELSE {back}({log_p}) END"
+        joins += f" LEFT JOIN p{k} ON p{k}.g = right(q.g, {k})" + (f" LEFT JOIN x{k} ON x{k}.g = left(right(q.g, {k}), {k - 1})" if k > 1 else "")
+    parts.append(f"""
+s AS (SELECT r, -sum(n * ({log_p})) / sum(n) AS lp FROM (SELECT r, g, n, CASE WHEN own THEN n ELSE 0 END AS least FROM g) q CROSS JOIN base{joins} GROUP BY r),
+st AS (SELECT lang, floor(lp * {lm_quality.STEPS})::BIGINT AS step, count(*) AS n FROM t JOIN s USING (r) WHERE own GROUP BY 1, 2),
+cum AS (SELECT lang, step, sum(n) OVER (PARTITION BY lang ORDER BY step) AS c, sum(n) OVER (PARTITION BY lang) AS a FROM st),
+cuw AS (SELECT step, sum(sum(n)) OVER (ORDER BY step) AS c, sum(sum(n)) OVER () AS a FROM st GROUP BY step),
+li AS (SELECT lang, min(step + 1) FILTER (c >= a * {lm_quality.QUANTILE}::DOUBLE) / {lm_quality.STEPS} + {lm_quality.MARGIN}::DOUBLE AS own_limit FROM cum GROUP BY lang HAVING max(a) >= {lm_quality.MIN_TRUSTED}),
+wide AS (SELECT min(step + 1) FILTER (c >= a * {lm_quality.QUANTILE}::DOUBLE) / {lm_quality.STEPS} + {lm_quality.MARGIN}::DOUBLE AS all_limit FROM cuw)""")
+    return "WITH " + ",\n".join(p.strip("\n") for p in parts) + """
+SELECT doc_id, t.lang, round(lp, 6) AS log_perplexity, round(exp(lp), 4) AS perplexity, coalesce(own_limit, all_limit) AS "limit", lp IS NOT NULL AND coalesce(lp <= coalesce(own_limit, all_limit), true) AS kept
+FROM t LEFT JOIN s USING (r) LEFT JOIN li ON li.lang = t.lang CROSS JOIN wide"""
+
+
+def _op7() -> str:
+    """Rank-order profiles on strings; CRC-32 of the ids' digits from its table."""
+    ranked = "row_number() OVER (PARTITION BY {0} ORDER BY n DESC, length(g), g) - 1 AS k"
+    return f"""
+WITH crc AS (SELECT list_transform(range(0, 256), lambda b: list_reduce([b::BIGINT] || list_transform(range(0, 8), lambda z: z::BIGINT), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+d AS (SELECT row_number() OVER () AS r, doc_id, lang, text, xor(list_reduce([4294967295] || list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda z: ord(z)::BIGINT), lambda c, z: xor(c >> 8, tab[1 + (xor(c, z) & 255)])), 4294967295) % 4 = 2 AS held_out FROM documents, crc),
+w AS (SELECT r, ' ' || unnest(regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+')) || ' ' AS w FROM d),
+wn AS (SELECT r, w, count(*) AS n FROM w GROUP BY 1, 2),
+e AS (SELECT r, n, w, unnest([1, 2, 3]) AS size FROM wn),
+gr AS (SELECT r, n, substring(w, unnest(range(1, length(w) - size + 2)), size) AS g FROM e),
+g AS MATERIALIZED (SELECT r, g, sum(n)::BIGINT AS n FROM gr WHERE g <> ' ' GROUP BY 1, 2),
+pr AS (SELECT lang, g, sum(n)::BIGINT AS n FROM g JOIN d USING (r) WHERE NOT held_out AND lang IS NOT NULL GROUP BY 1, 2),
+p AS MATERIALIZED (SELECT lang, g, {ranked.format("lang")} FROM pr QUALIFY k < {langid.PROFILE}),
+m AS (SELECT max(c) AS most FROM (SELECT count(*) AS c FROM p GROUP BY lang)),
+mine AS (SELECT r, g, {ranked.format("r")} FROM g QUALIFY k < {langid.DOCUMENT}),
+dist AS (SELECT mine.r, l.lang, sum(CASE WHEN p.k IS NULL THEN most ELSE least(abs(p.k - mine.k), most) END)::BIGINT AS dist, count(*) AS n FROM mine CROSS JOIN (SELECT DISTINCT lang FROM p) l CROSS JOIN m LEFT JOIN p ON p.lang = l.lang AND p.g = mine.g GROUP BY 1, 2),
+best AS (SELECT r, arg_min(lang, (dist, lang)) AS lang, min(dist) AS dist, any_value(n) AS n FROM dist GROUP BY 1)
+SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(1 - dist::DOUBLE / (most * n), 0.0) AS score FROM d CROSS JOIN m LEFT JOIN best USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": _op4(), "op8_url_filters": _op8(), "op9_line_dedup": OP9, "op10_benchmark_decontamination": OP10}
+    return {"op4_quality_rules": _op4(), "op6_quality_classifier": _op6(), "op7_language_id": _op7(), "op8_url_filters": _op8(), "op9_line_dedup": OP9, "op10_benchmark_decontamination": OP10}

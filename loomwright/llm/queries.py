@@ -44,7 +44,8 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = lm_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumns({"log_perplexity": F.round("log_perplexity", 6), "perplexity": F.round("perplexity", 4)})
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
