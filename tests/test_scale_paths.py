@@ -24,7 +24,7 @@ def test_contamination_paths(spark, monkeypatch, kind):
         monkeypatch.setattr(neardup, "INDEX_CHARS", most)
         found.append([rows(f(docs, bench)) for f in (neardup.contamination, neardup.containment, neardup.jaccard_pairs, neardup.simhash_of_similar)])
     assert found[0] == found[1]
-    assert [r[1] for r in found[0][0]] == [1.0, 0.521739, 0.0, 0.0, 1.0, 1.0, 0.0, 1.0, 0.285714]
+    assert [r[2] for r in found[0][0]] == [1.0, 0.521739, 0.0, 0.0, 1.0, 1.0, 0.0, 1.0, 0.285714]
 
 
 def test_vectors_in_blocks(spark, monkeypatch):
