@@ -100,7 +100,8 @@ def find_items(
     window, sorted. Defined cases: a null, empty or wordless text has no words
     and no hits; an item without words has no window; a null item id marks
     words but is not named; repeated items count once; an empty benchmark hits
-    nothing. An input column named like `out` is replaced; without `keep_text`
+    nothing; repeated documents are read each, an empty table gives no rows; other
+    columns pass unchanged. An input column named like `out` is replaced; without `keep_text`
     the text column is left out of the result.
     """
     chars = benchmark.agg(F.sum(F.length(item_text_col) * window)).first()[0] or 0
