@@ -92,6 +92,12 @@ def add_columns(
     return df.mapInArrow(run, T.StructType(keep + fields))
 
 
-def utf8(column: pa.Array) -> list[bytes | None]:
+def values(column: pa.Array, rows: int = 256) -> Iterator:
+    """A column's values as Python objects, of a few rows at a time."""
+    for k in range(0, len(column), rows):
+        yield from column.slice(k, rows).to_pylist()
+
+
+def utf8(column: pa.Array) -> Iterator[bytes | None]:
     """A text column's bytes, without decoding them."""
-    return column.cast(pa.binary()).to_pylist()
+    return values(column.cast(pa.binary()))

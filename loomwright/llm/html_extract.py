@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import add_columns
+from .common import add_columns, values
 
 #: Comments and the like; else a tag with its attributes. As in browsers a quote opens a value only after `=`, and one
 #: that is never closed is an ordinary character. Possessive, so that no text makes it try twice.
@@ -398,6 +398,6 @@ def extract(pages: DataFrame, html_col: str = "html", out: str = "text", model:
     model = model or trained()
 
     def make():
-        return lambda b: [pa.array([main_text(x, model) for x in b.column(html_col).to_pylist()], pa.string())]
+        return lambda b: [pa.array([main_text(x, model) for x in values(b.column(html_col))], pa.string())]
 
     return add_columns(pages, [T.StructField(out, T.StringType())], make, () if keep_html else (html_col,))

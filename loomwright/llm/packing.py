@@ -32,9 +32,9 @@ from .common import checkpoint
 
 CAPACITY, END_ID = 2048, 0
 #: Bytes of texts whose ids are in memory at once (and at least one text).
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 #: Bytes of chunks and ids that a Python worker remembers, twice over: when full, the older half goes.
-CACHE_BYTES = 64_000_000
+CACHE_BYTES = 48_000_000
 #: Longer chunks (lines of a script without spaces) are not remembered.
 LONGEST_KEPT = 200
 #: At the end of a token that ends a word.

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import ASCII_SPACE, add_columns, checkpoint, fresh, quoted
+from .common import ASCII_SPACE, add_columns, checkpoint, fresh, quoted, values
 
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 SYMBOLS = "#*$%&|<>"
@@ -95,7 +95,7 @@ def with_base_metrics(docs: DataFrame, text_col: str = "text", out: str = "quali
 
     def make():
         def batch(b: pa.RecordBatch) -> list[pa.Array]:
-            rows = [base_metrics(t) for t in b.column(text_col).to_pylist()]
+            rows = [base_metrics(t) for t in values(b.column(text_col))]
             cols = zip(*rows, strict=True) if rows else [[]] * len(BASE)
             return [pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], fields=list(kind))]
 
