@@ -51,18 +51,14 @@ def drop_repeated_lines(
     named like `out` is replaced; other columns pass unchanged, whatever their
     names. An empty table gives no rows.
     """
-    doc, hits, groups, kept = fresh(docs, 4, out)
-    found = repeated_lines(docs, id_col, text_col, min_docs, min_chars)
-    n_groups = F.ceil(F.sqrt(F.size("_hits"))).cast("int")  # so that a line is looked for among few of many hits
-    dealt = F.transform(F.sequence(F.lit(0), n_groups - 1), lambda g: F.filter("_hits", lambda h: F.pmod(h["_h1"], n_groups) == g))
-    found = found.select(F.col("_id").alias(doc), n_groups.alias(hits), dealt.alias(groups))
+    doc, hits, kept = fresh(docs, 3, out)
+    found = repeated_lines(docs, id_col, text_col, min_docs, min_chars).select(F.col("_id").alias(doc), F.col("_hits").alias(hits))
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n")
 
     def stays(line: Column) -> Column:
         key = line_key(line)
-        h = _hash(key)
-        return (F.length(key) < min_chars) | ~F.array_contains(F.get(groups, F.pmod(h[0], F.col(hits)).cast("int")), F.struct(*h))
+        return (F.length(key) < min_chars) | ~F.array_contains(F.col(hits), F.struct(*_hash(key)))
 
     joined = docs.join(found, F.col(id_col) == F.col(doc), "left").withColumn(kept, F.when(F.col(hits).isNotNull(), F.filter(lines, stays)))
     n = F.size(lines).cast("long")
@@ -71,4 +67,4 @@ def drop_repeated_lines(
         F.coalesce(n - F.size(kept), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col(kept).isNotNull(), F.array_join(kept, "\n")).otherwise(text).alias("text"),
     )
-    return joined.withColumn(out, result).drop(doc, hits, groups, kept)
+    return joined.withColumn(out, result).drop(doc, hits, kept)
