@@ -119,7 +119,9 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     edges = checkpoint(host_edges(pages, url_col, html_col))
     scores = propagate(edges, seeds)
     own = seeds.where("trusted > 0 or blocked > 0").select("host", F.lit(True).alias("_own"))
-    joined = judged.join(scores.join(own, "host", "left"), "host", "left").na.fill(0.0, SCORES)
+    # Stored, so that the join has plain shuffles on both sides and a host of many pages is split among tasks.
+    by_host = checkpoint(scores.join(own, "host", "left"))
+    joined = judged.join(by_host, "host", "left").na.fill(0.0, SCORES)
     enough = F.when(F.col("_own"), margin).otherwise(min(margin, LINK_MARGIN))
     by_graph = F.when(F.col("bad") - F.col("good") > enough * (1 - DAMPING), "block").otherwise("allow")
     return joined.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("_by_rule", by_graph).alias("verdict"), "trust", "distrust")
