@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, langid, linededup, lm_quality, packing, quality, sharding, simhash, urlgraph
-from .common import shared_folder, table
+from . import decontam, html_extract, langid, linededup, lm_quality, manifest, packing, periods, quality, sharding, simhash, tokenfile, urlgraph
+from .common import ascii_lower, crc32_of_id, shared_folder, table
 
 
 def tokenizer_path() -> str:
@@ -71,6 +71,28 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", F.col("overlap.n_words").alias("n_words"), decontam.n_hit().alias("n_hit"), F.size("overlap.items").cast("long").alias("n_items"), decontam.items_digest().alias("items_sha256"), decontam.contaminated().alias("contaminated"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(crc32_of_id(F.col("doc_id")) % 5 == 0, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    found = manifest.prove_documents(table(spark, sf_dir, "documents"), held={"text": tampered})
+    return found.select(F.col("id").alias("doc_id"), *(f.name for f in manifest.PROOF))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = f"{shared_folder(spark)}/token-files/{uuid.uuid4().hex}"
+    tokenfile.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return tokenfile.read(spark, folder, with_ids=False).withColumnRenamed("id", "doc_id")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periods.detect(docs.withColumn("text", periods.periodic_from("text", crc32_of_id(F.col("doc_id")))), with_text=False)
+    best = F.col("periods.strongest")
+    numbers = [best[c].alias(c) for c in ("start", "length", "period")] + [F.expr("periods.strongest.length * 1000 div periods.strongest.period").alias("exponent_milli")]
+    return found.select("doc_id", F.size("periods.runs").cast("long").alias("n_runs"), *numbers, "periods.runs_sha256", "periods.collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_html_extraction, op2_sharding, op3_simhash_near_dedup, op4_quality_rules, op5_best_fit_packing, op6_quality_classifier, op7_language_id, op8_url_filters, op9_line_dedup, op10_benchmark_decontamination)
+    ops = (op1_html_extraction, op2_sharding, op3_simhash_near_dedup, op4_quality_rules, op5_best_fit_packing, op6_quality_classifier, op7_language_id, op8_url_filters, op9_line_dedup, op10_benchmark_decontamination, op11_merkle_manifest, op12_token_files, op13_periodic_runs)
     return {f.__name__: f for f in ops}
