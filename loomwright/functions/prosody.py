@@ -1,8 +1,7 @@
-"""Thai verse and register. Syllables are counted by a segmenter that the caller may set."""
+"""Thai verse and register. Syllables are counted by `thai.count_syllables`, or by what the caller has instead."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 
 from .answers import strip
 from .text import split_lines
+from .thai import count_syllables, parts
 
 # Tone marks, particles and markers.
 TONE_MARKS = {"\u0e48": "mai_ek", "\u0e49": "mai_tho", "\u0e4a": "mai_tri", "\u0e4b": "mai_chattawa"}
@@ -20,30 +20,31 @@ FORMAL_MARKERS = ["ขอบพระคุณ", "ขออนุญาต", "
 #: form: (lines to a stanza, least and most syllables in a line, whether lines rhyme)
 FORMS = {"klon_4": (4, 3, 5, False), "klon_8": (4, 7, 9, True), "kap_yani_11": (2, 10, 12, False)}
 
-_SYLLABLE = re.compile(r"[\u0e40-\u0e44]?[\u0e01-\u0e2e]+[\u0e30-\u0e3a\u0e45\u0e47-\u0e4e]*|[A-Za-z]+")
+def syllable_counter(count: Callable[[str], int] = count_syllables):
+    """A UDF for the syllables of a text; a null has none."""
 
+    def of_each(x: pd.Series) -> pd.Series:
+        return x.map(lambda s: count(s or "")).astype("int64")
 
-def rough_segments(text: str) -> list[str]:
-    """Leading vowel, consonants, following marks: a stand-in where no dictionary segmenter is installed."""
-    return _SYLLABLE.findall(text)
+    return F.pandas_udf(of_each, T.LongType())
 
 
-def syllable_counter(segments: Callable[[str], list[str]] = rough_segments):
-    """A UDF for the syllables of a line; Latin words are one, other signs none."""
+def line_syllables(count: Callable[[str], int] = count_syllables):
+    """A UDF for the syllables of each of an array of lines."""
 
-    def count(x: pd.Series) -> pd.Series:
-        return x.map(lambda s: sum(1 for t in segments(s or "") if re.search(r"[\u0e00-\u0e7fA-Za-z]", t))).astype("int64")
+    def of_each(x: pd.Series) -> pd.Series:
+        return x.map(lambda lines: None if lines is None else [count(s or "") for s in lines])
 
-    return F.pandas_udf(count, T.LongType())
+    return F.pandas_udf(of_each, T.ArrayType(T.LongType()))
 
 
-def line_syllables(segments: Callable[[str], list[str]] = rough_segments):
-    """A UDF for the syllables of each of an array of lines."""
+def syllable_parts(x: Column) -> Column:
+    """array<struct<part, n>>: the parts of a text and their syllables, in order; null for null."""
 
-    def count(x: pd.Series) -> pd.Series:
-        return x.map(lambda lines: None if lines is None else [sum(1 for t in segments(s or "") if re.search(r"[\u0e00-\u0e7fA-Za-z]", t)) for s in lines])
+    def of_each(x: pd.Series) -> pd.Series:
+        return x.map(lambda s: None if s is None else [{"part": p, "n": n} for p, n in parts(s)])
 
-    return F.pandas_udf(count, T.ArrayType(T.LongType()))
+    return F.pandas_udf(of_each, "array<struct<part: string, n: int>>")(x)
 
 
 def verse_lines(x: Column) -> Column:

@@ -203,11 +203,58 @@ def rhyme_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", (prosody.rhyme_key(a) == prosody.rhyme_key(b)).alias("rhymes"), prosody.rhyme_key(a).alias("key"))
 
 
+#: Words that stand for a table's words by their length, and their syllables.
+_THAI_WORDS = [("ปลา", 1), ("เดือน", 1), ("โรงเรียน", 2), ("น้ำ", 1), ("พระ", 1), ("ดอกไม้", 2), ("เกาะ", 1), ("วิทยา", 3), ("กล้วย", 1), ("สวัสดี", 3), ("จันทร์", 1), ("ใหญ่", 1), ("หนังสือ", 2), ("ครับ", 1), ("ตลาดน้ำ", 3), ("รัฐบาล", 3)]
+_LINES = r"filter(string_split_regex(coalesce(text, ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]'), lambda l: regexp_matches(l, '[^ ]'))"
+_AS_THAI = f"list_transform(filter(string_split(l, ' '), lambda w: w <> ''), lambda w: {[w for w, _ in _THAI_WORDS]}[1 + length(w) % 16])"
+_COUNT = f"list_transform(filter(string_split(l, ' '), lambda w: w <> ''), lambda w: {[n for _, n in _THAI_WORDS]}[1 + length(w) % 16])"
+
+
+def _thai_lines(text: Column, between: str) -> Column:
+    """Lines of a text with a Thai word for each of its words, `between` them."""
+    thai = F.array(*[F.lit(w) for w, _ in _THAI_WORDS])
+    words = lambda line: F.filter(F.split(line, " "), lambda w: w != "")
+    return F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda line: F.array_join(F.transform(words(line), lambda w: F.get(thai, F.length(w) % 16)), between))
+
+
+@query(f"SELECT doc_id, len(c)::BIGINT AS n_lines, coalesce(list_sum(c), 0)::BIGINT AS n_syllables, coalesce(list_max(c), 0)::BIGINT AS longest FROM (SELECT doc_id, list_transform({_LINES}, lambda l: list_sum({_COUNT})) AS c FROM documents)")
+def thai_syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in Thai words without spaces, parsed into syllables: lead vowels, clusters, silent signs, linking syllables."""
+    lines = F.filter(_thai_lines(F.col("text"), ""), lambda x: x != "")
+    d = table(spark, sf_dir, "documents").select("doc_id", prosody.line_syllables()(lines).alias("c"))
+    return d.select("doc_id", F.size("c").cast("long").alias("n_lines"), F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_syllables"), F.coalesce(F.array_max("c"), F.lit(0)).cast("long").alias("longest"))
+
+
+_TASKS = ["klon_composition", "klon_8_composition", "kap_yani_composition", "formal_register", "informal_register"]
+_FORM = "CASE doc_id % 5 WHEN 0 THEN [4, 3, 5] WHEN 1 THEN [4, 7, 9] ELSE [2, 10, 12] END"
+_KEY = "right({}, 2)"
+
+
+def _klon_oracle() -> str:
+    """Lines of Thai words in SQL: syllables from the words' table, rhymes by the last two signs."""
+    rhyme = f"""CASE WHEN doc_id % 5 <> 1 THEN [] ELSE flatten(list_transform(range(0, (len(w) - 1) // 4 + 1), lambda k: list_concat(
+        CASE WHEN k * 4 + 2 <= len(w) AND len(filter(w[k * 4 + 2][2:-2], lambda t: {_KEY.format("t")} = {_KEY.format("w[k * 4 + 1][-1]")})) = 0 THEN ['rhyme ' || (k + 1) || ':1'] ELSE [] END,
+        CASE WHEN k * 4 + 3 <= len(w) AND {_KEY.format("w[k * 4 + 2][-1]")} <> {_KEY.format("w[k * 4 + 3][-1]")} THEN ['rhyme ' || (k + 1) || ':2'] ELSE [] END))) END"""
+    return f"""
+WITH d AS (SELECT doc_id, {_FORM} AS f, list_transform({_LINES}, lambda l: {_AS_THAI}) AS w, list_transform({_LINES}, lambda l: list_sum({_COUNT})) AS c FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 5 = 3 AND len(filter(flatten(w), lambda t: t = 'ครับ')) > 0 THEN 'register formal' WHEN doc_id % 5 = 4 AND len(filter(flatten(w), lambda t: t = 'ครับ')) = 0 THEN 'register informal' WHEN doc_id % 5 > 2 THEN ''
+    WHEN len(w) = 0 THEN 'empty' WHEN len(w) % f[1] <> 0 THEN 'stanza'
+    ELSE array_to_string(list_concat(filter(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN c[i] < f[2] OR c[i] > f[3] THEN 'line ' || i || ': ' || c[i]::BIGINT END), lambda x: x IS NOT NULL), {rhyme}), ',') END AS issues
+FROM d"""
+
+
+@query(_klon_oracle())
+def klon_prosody(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as verse or prose by task, word by word in Thai: syllables of each line, stanzas, rhymes, register."""
+    d = table(spark, sf_dir, "documents").select("doc_id", _one_of(F.col("doc_id") % 5, *_TASKS).alias("task"), F.array_join(_thai_lines(F.col("text"), " "), "\n").alias("verse"))
+    return d.select("doc_id", F.array_join(prosody.prosody_issues(F.col("task"), F.col("verse")), ",").alias("issues"))
+
+
 _VERSE = "CASE doc_id % 8 WHEN 0 THEN '' WHEN 1 THEN 'line 2: 6' WHEN 2 THEN 'stanza' WHEN 3 THEN '' WHEN 4 THEN 'rhyme 1:1,rhyme 1:2' WHEN 5 THEN 'line 1: 8' WHEN 6 THEN 'register formal' ELSE 'empty' END"
 
 
 @query(f"SELECT doc_id, {_VERSE} AS issues FROM documents")
-def klon_prosody(spark: SparkSession, sf_dir: str) -> DataFrame:
+def klon_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Poems in each form, kept and broken: syllables, stanzas, rhymes, register, and a text without lines."""
     four = [_KA * 4, _KA * 4, _KA * 5, _KA * 3]
     first, inner, second, other = _KA * 7 + "มี", f"{_KA * 2} {_KA}มี {_KA * 5}", f"{_KA * 7}ดี", f"{_KA * 7}ปู"
