@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import mathexpr
+
 # The patterns and cue words that responses are read by.
 FINAL_ANSWER = r"(?i)(?:final\s+answer|the\s+answer\s+is|answer\s*[:=]|คำตอบคือ|คำตอบ\s*[:：])\s*([^\n.]{1,200})"
 NUMBER_AT_END = r"([-+]?\d+(?:\.\d+)?(?:/\d+)?)\s*$"
@@ -212,19 +214,27 @@ def strict_norm(x: Column) -> Column:
     return F.regexp_replace(F.replace(F.replace(F.lower(x), F.lit("$"), F.lit("")), F.lit("\\,"), F.lit("")), r"(?U)\s+", "")
 
 
+@F.pandas_udf(T.StringType())
+def _compared(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([mathexpr.compare(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+
+
+def math_verdict(a: Column, b: Column) -> Column:
+    """struct<ok, method> of two answers: `strict` if alike after normalising, `rational` or `symbolic` if both are read as expressions.
+
+    Equal expressions are ok, others not; both null where one can't be read (for a judge), or is null.
+    """
+    same = strict_norm(a) == strict_norm(b)
+    found = _compared(F.when(~same, a), b)  # a null is not read
+    verdict = lambda ok, method: F.struct(ok.alias("ok"), method.alias("method"))
+    how = F.when(found == "different", "symbolic").otherwise(found)
+    return F.when(same, verdict(F.lit(True), F.lit("strict"))).otherwise(verdict(found != "different", how))
+
+
 def same_math(a: Column, b: Column) -> Column:
-    """'strict' if alike after normalising, 'rational' if equal as numbers, else null (for a judge)."""
-    x, y = strict_norm(a), strict_norm(b)
-    ok = lambda s: s.rlike(r"^[-+]?\d{1,9}(\.\d{1,6})?(/\d{1,9})?$")
-    plain = lambda s: F.regexp_replace(s, r"^([-+]?)\\[dt]?frac\{(\d+)\}\{(\d+)\}$", "$1$2/$3")
-    px, py = plain(x), plain(y)
-
-    def part(s: Column, k: int) -> Column:
-        p = F.split(F.when(ok(s), s), "/")
-        return F.coalesce(F.try_element_at(p, F.lit(k)), F.lit("1")).cast("decimal(18,6)")
-
-    equal = ok(px) & ok(py) & (part(px, 2) != 0) & (part(py, 2) != 0) & (part(px, 1) * part(py, 2) == part(py, 1) * part(px, 2))
-    return F.when(x == y, "strict").when(equal, "rational")
+    """'strict' if alike after normalising, 'rational' if equal as numbers, 'symbolic' as expressions, else null."""
+    found = _compared(F.when(strict_norm(a) != strict_norm(b), a), b)
+    return F.when(strict_norm(a) == strict_norm(b), "strict").when(found != "different", found)
 
 
 def is_choice(x: Column) -> Column:

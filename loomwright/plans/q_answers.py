@@ -204,3 +204,24 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import curate
 
     return curate.shuffled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "42", 100)
+
+
+#: Pairs made of a number n and digits d: are they equal, and how is that seen.
+_PAIRS = [(True, "symbolic"), (True, "symbolic"), (True, "rational"), (False, "symbolic"), (True, "symbolic"), (None, None), (True, "rational"), (False, "symbolic"), (True, "symbolic"), (True, "strict"), (True, "symbolic"), (None, None)]
+
+
+@query(f"SELECT o_orderkey AS id, {[{'ok': ok, 'method': how} for ok, how in _PAIRS]}[1 + (o_orderkey % 12)::INT].ok AS ok, {[how for _, how in _PAIRS]}[1 + (o_orderkey % 12)::INT] AS method FROM orders".replace("None", "NULL"))
+def math_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in two forms: products, roots, 30 digits and more, fractions in LaTeX, powers; unequal ones, and words."""
+    n, d = F.col("o_custkey") + 1, F.lpad(F.col("o_orderkey").cast("string"), 15, "7")
+    k = F.col("o_orderkey") % 12
+    a = _one_of(
+        k, _text("2x+", n * 2), _text(r"\sqrt{8}", "*", n), _text(d, d, "/3"), _text(d, d), _text(r"\frac{x^2-", n * n, "}{x-", n, "}"), _text("the value ", n),
+        _text(r"\frac{", n, "}{10000000}"), _text("(x+", n, ")^2"), _text(n, r"\sqrt{3}\cdot\sqrt{6}"), _text("$", n, " y$"), _text(r"\frac{", n, r"}{\sqrt{5}}"), _text("(", n, ", 1)"),
+    )
+    b = _one_of(
+        k, _text("2(x+", n, ")"), _text(n * 2, r"\sqrt{2}"), _text("2*", d, d, "/6"), _text(d, d, "+1"), _text("x+", n), n.cast("string"),
+        F.concat(F.floor(n / 10000000).cast("string"), F.lit("."), F.lpad((n % 10000000).cast("string"), 7, "0")), _text("x^2+", n * n), _text(n * 3, r"\sqrt{2}"), _text(n, "Y"), _text(n, r"\sqrt{5}/5"), _text("(", n, ", 2)"),
+    )
+    verdict = answers.math_verdict(a, b)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), verdict.alias("v")).select("id", "v.ok", "v.method")
