@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lm_quality, quality, urlgraph
+from . import langid, lm_quality, manifest, quality, urlgraph
 
 _SPACE = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -204,5 +204,46 @@ SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(1 - d
 """
 
 
+def _tree(name: str, leaves: str, group: str, order: str, levels: int) -> tuple[list[str], str]:
+    """Steps of trees over (group, h): each level has its nodes, with the siblings on both sides; and the roots."""
+    steps = [f"{name}0 AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {order}) - 1 AS i FROM {leaves})"]
+    for k in range(levels):
+        side = "coalesce(string_agg(h, '') OVER (PARTITION BY {g}, i // {f} ORDER BY i ROWS BETWEEN {a} AND {b}), '')"
+        left = side.format(g=group, f=manifest.FANOUT, a="UNBOUNDED PRECEDING", b="1 PRECEDING")
+        right = side.format(g=group, f=manifest.FANOUT, a="1 FOLLOWING", b="UNBOUNDED FOLLOWING")
+        steps.append(f"{name}{k}s AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY {group}) AS n, {left} AS l, {right} AS r FROM {name}{k})")
+        steps.append(f"{name}{k + 1} AS (SELECT {group}, i // {manifest.FANOUT} AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {name}{k}s GROUP BY {group}, i // {manifest.FANOUT})")
+    return steps, f"{name}{levels}"
+
+
+def _op11(levels: int = 6, top: int = 3) -> str:
+    """Up to 16^6 leaves a source and 16^3 sources."""
+    part = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(part, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+    crc = "xor(list_reduce([4294967295] || list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda z: ord(z)::BIGINT), lambda c, z: xor(c >> 8, tab[1 + (xor(c, z) & 255)])), 4294967295)"
+    steps = [
+        "crc AS (SELECT list_transform(range(0, 256), lambda b: list_reduce([b::BIGINT] || list_transform(range(0, 8), lambda z: z::BIGINT), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)",
+        f"d AS MATERIALIZED (SELECT doc_id, source, {leaf('text')} AS h, CASE WHEN {crc} % 5 = 0 THEN {leaf(_LOWER.format('text'))} ELSE {leaf('text')} END AS held FROM documents, crc)",
+    ]
+    mine, subroots = _tree("s", "d", "source", "doc_id NULLS FIRST, h", levels)
+    above, root = _tree("t", f"(SELECT 1 AS one, source, h FROM {subroots})", "one", "source NULLS FIRST", top)
+    joins, fold, proof = [], "s0.held", []
+    for tree, n, key, first in (("s", levels, "a.source IS NOT DISTINCT FROM s0.source AND", "s0.i"), ("t", top, "", "t0.i")):
+        for k in range(n):
+            a = f"{tree}{k}s"
+            joins.append(f"JOIN {a} ON {key.replace('a.', a + '.')} {a}.i = {first} // {manifest.FANOUT**k}")
+            fold = f"CASE WHEN {a}.n = 1 THEN {fold} ELSE sha256({a}.l || {fold} || {a}.r) END"
+            proof.append(f"{a}.l || {a}.r")
+        if tree == "s":
+            joins.append("JOIN t0 ON t0.source IS NOT DISTINCT FROM s0.source")
+    return f"""WITH {", ".join([*steps, *mine, *above])}
+SELECT *, folded_root = root AS verified FROM (
+SELECT s0.doc_id, s0.h AS leaf, t0.h AS subroot, {root}.h AS root, sha256({" || ".join(proof)}) AS proof_sha256, {fold} AS folded_root
+FROM s0 {" ".join(joins)} CROSS JOIN {root})"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": _op4(), "op6_quality_classifier": _op6(), "op7_language_id": _op7(), "op8_url_filters": _op8(), "op9_line_dedup": OP9, "op10_benchmark_decontamination": OP10}
+    return {
+        "op4_quality_rules": _op4(), "op6_quality_classifier": _op6(), "op7_language_id": _op7(), "op8_url_filters": _op8(), "op9_line_dedup": OP9, "op10_benchmark_decontamination": OP10,
+        "op11_merkle_manifest": _op11(),
+    }
