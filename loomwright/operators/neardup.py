@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.text import char_ngrams, jaccard_of_counts, normalize
+from ..functions.text import jaccard_of_counts, normalize
 from ..session import stored
+from .setjoin import by_index, by_join, grams_of
+from .vectors import nearest
 
 REJECT_JACCARD, SIMHASH_JACCARD, REJECT_COSINE = 0.35, 0.25, 0.92
-#: Rows of the smaller matrix up to which it is sent to the tasks.
-BROADCAST_VECTORS = 200_000
 #: Characters of a benchmark up to which an index of its grams is sent to the tasks (some 100 bytes each).
 INDEX_CHARS = 4_000_000
 
@@ -24,86 +21,9 @@ def exact_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", ben
     return docs.withColumn("_h", F.sha2(normalize(F.col("text")).cast("binary"), 256)).join(hashes, "_h", "left").select(id_col, F.coalesce("_hit", F.lit(False)).alias("exact_match"))
 
 
-def grams_of(df: DataFrame, id_col: str, n: int = 5) -> DataFrame:
-    """(id, n_grams, gram): a row for each distinct gram of the normalised text.
-
-    explode_outer: with explode, the optimizer would make the grams twice.
-    """
-    clean = df.select(F.col(id_col), char_ngrams(normalize(F.col("text")), n).alias("_g"))
-    return clean.select(id_col, F.explode_outer("_g").alias("gram"), F.size("_g").alias("n_grams")).where("gram is not null")
-
-
-def _normal(text: str | None) -> str:
-    return "".join((text or "").lower().split())
-
-
-def _gram_hashes(text: str, n: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct n-grams of a normalised text; of the text itself if it is shorter."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    if not len(points):
-        return np.empty(0, np.uint64)
-    width = min(n, len(points))
-    h = np.full(len(points) - width + 1, width, np.uint64)
-    for k in range(width):
-        h = (h ^ points[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return np.unique(h)
-
-
-def _index(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, from, items, size): places of each distinct gram's items in `items`, and grams of each text."""
-    each = [_gram_hashes(t, n) for t in texts]
-    item = np.repeat(np.arange(len(each)), [len(h) for h in each])
-    grams = np.concatenate(each) if each else np.empty(0, np.uint64)
-    order = np.argsort(grams, kind="stable")
-    keys, first = np.unique(grams[order], return_index=True)
-    return keys, np.append(first, len(grams)), item[order], np.array([len(h) for h in each], np.int64)
-
-
-def _looked_up(docs: DataFrame, bench: DataFrame, id_col: str, item_col: str, n: int, keep: str, least: float) -> DataFrame:
-    """(id, item, _a, _b, _both) by an index of the benchmark's grams in every task; no gram is shuffled.
-
-    Grams are 64-bit hashes: an accidental match is a matter of one in billions of texts.
-    """
-    stored = bench.select(item_col, "text").orderBy(item_col).toArrow()  # the caller has checked the size
-    items = stored.column(0).to_pylist()
-    sent = docs.sparkSession.sparkContext.broadcast((_index([_normal(t) for t in stored.column(1).to_pylist()], n), items))
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, bench.schema[item_col].dataType), *[T.StructField(c, T.LongType()) for c in ("_a", "_b", "_both")]])
-    kinds = [None, pa.array(items[:1]).type, pa.int64(), pa.int64(), pa.int64()]
-
-    def run(batches):
-        (keys, start, item_of, b), items = sent.value
-        for batch in batches:
-            at, rows = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                grams = _gram_hashes(_normal(text), n)
-                at_key = np.searchsorted(keys, grams)
-                at_key = at_key[at_key < len(keys)]  # grams are sorted, so these are the first ones
-                at_key = at_key[keys[at_key] == grams[: len(at_key)]]
-                if not len(at_key):
-                    continue
-                size = start[at_key + 1] - start[at_key]
-                places = np.repeat(start[at_key] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                both = np.bincount(item_of[places], minlength=len(b))
-                a = len(grams)
-                if keep == "containment":
-                    some = np.flatnonzero((both >= least * b) & (both > 0))
-                else:
-                    j = both / (a + b - both)
-                    some = [int(j.argmax())] if keep == "best" else np.flatnonzero((j >= least) & (both > 0))
-                for k in some:
-                    at.append(i)
-                    rows.append((items[k], a, int(b[k]), int(both[k])))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds[1:], strict=True)]], schema=pa.schema([pa.field(id_col, batch.column(0).type), *[pa.field(f.name, k) for f, k in zip(schema.fields[1:], kinds[1:], strict=True)]]))
-
-    return docs.select(id_col, "text").mapInArrow(run, schema)
-
-
-def _joined(docs: DataFrame, bench: DataFrame, id_col: str, item_col: str, n: int) -> DataFrame:
-    """The same by an equi-join on grams, for benchmarks too large to send: pair counts are summed before they are shuffled."""
-    a, b = grams_of(docs, id_col, n).withColumnRenamed("n_grams", "_a"), grams_of(bench, item_col, n).withColumnRenamed("n_grams", "_b")
-    return a.join(b, "gram").groupBy(id_col, item_col, "_a", "_b").agg(F.count("*").alias("_both"))
+def _sums(docs: DataFrame, bench: DataFrame, id_col: str, item_col: str, n: int, keep: str, least: float) -> DataFrame:
+    """(id, item, _a, _b, _both): grams of both and shared ones, of the pairs to keep."""
+    return (by_index if _small(bench) else by_join)(docs, bench, id_col, item_col, n, keep, least)
 
 
 def _small(bench: DataFrame) -> bool:
@@ -112,7 +32,7 @@ def _small(bench: DataFrame) -> bool:
 
 def jaccard_pairs(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", n: int = 5, least: float = 0.0) -> DataFrame:
     """(id, item, jaccard) of pairs that share a gram and have a Jaccard of `least` or more."""
-    sums = _looked_up(docs, bench, id_col, item_col, n, "jaccard", least) if _small(bench) else _joined(docs, bench, id_col, item_col, n)
+    sums = _sums(docs, bench, id_col, item_col, n, "jaccard", least)
     j = jaccard_of_counts(F.col("_both"), F.col("_a"), F.col("_b"))
     return sums.select(id_col, item_col, j.alias("jaccard")).where(F.col("jaccard") >= least)
 
@@ -120,7 +40,7 @@ def jaccard_pairs(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", ite
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", n: int = 5, reject: float = REJECT_JACCARD) -> DataFrame:
     """(id, jaccard_max, item, decision) of every document; of equal items the least. Ids are unique on both sides, of any type."""
     if _small(bench):
-        sums = _looked_up(docs, bench, id_col, item_col, n, "best", 0.0)
+        sums = by_index(docs, bench, id_col, item_col, n, "best", 0.0)
         best = sums.select(id_col, item_col, jaccard_of_counts(F.col("_both"), F.col("_a"), F.col("_b")).alias("jaccard_max"))
     else:
         pairs = jaccard_pairs(docs, bench, id_col, item_col, n)
@@ -131,7 +51,7 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", ite
 
 def containment(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", n: int = 5, least: float = 0.0) -> DataFrame:
     """(id, item, containment): share of the item's grams in the document; finds passages in long texts, which Jaccard can't."""
-    sums = _looked_up(docs, bench, id_col, item_col, n, "containment", least) if _small(bench) else _joined(docs, bench, id_col, item_col, n)
+    sums = _sums(docs, bench, id_col, item_col, n, "containment", least)
     return sums.select(id_col, item_col, (F.col("_both") / F.col("_b")).alias("containment")).where(F.col("containment") >= least)
 
 
@@ -168,42 +88,12 @@ def corpus_maxima(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", ite
 def nearest_vectors(queries: DataFrame, base: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", reject: float = REJECT_COSINE, others: bool = False) -> DataFrame:
     """(id, match_id, cosine, decision): the most similar base vector of every query, the least id of equal ones.
 
-    others: a query's own id in the base is left out.
-
-    The base is a stated set: it is counted first, cut into blocks of
-    BROADCAST_VECTORS by hash, and each block goes to the tasks as one matrix.
+    others: a query's own id in the base is left out. Query ids are unique; without a
+    vector or a match, match and cosine are null. The base stays where it is (see vectors.py).
     """
-    n = base.count()
-    blocks = max(1, -(-n // BROADCAST_VECTORS))
-    best = None
-    for k in range(blocks):
-        rows = base.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == k).select(id_col, vec_col).orderBy(id_col).toArrow()
-        ids = rows.column(0).to_numpy()
-        m = np.array(rows.column(1).to_pylist(), np.float64)
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if len(ids) else m
-        sent = queries.sparkSession.sparkContext.broadcast((ids, m))
-
-        def search(batches, sent=sent):
-            ids, m = sent.value
-            for b in batches:
-                q = np.array(b.column(1).to_pylist(), np.float64)
-                if not len(q) or not len(ids):
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.nulls(len(q), pa.int64()), pa.nulls(len(q), pa.float64())], names=["id", "match_id", "cosine"])
-                    continue
-                q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-                at, top = np.empty(len(q), np.int64), np.empty(len(q))
-                for i in range(0, len(q), 512):
-                    s = np.round(q[i : i + 512] @ m.T, 9)
-                    if others:
-                        s[b.column(0).to_numpy()[i : i + 512, None] == ids] = -np.inf
-                    at[i : i + 512] = s.argmax(axis=1)
-                    top[i : i + 512] = s.max(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids[at]), pa.array(top)], names=["id", "match_id", "cosine"])
-
-        found = queries.select(F.col(id_col).cast("long").alias("id"), vec_col).mapInArrow(search, "id long, match_id long, cosine double")
-        best = found if best is None else best.union(found)
-    out = best.groupBy("id").agg(F.max_by("match_id", F.struct("cosine", -F.col("match_id"))).alias("match_id"), F.max("cosine").alias("cosine"))
-    return out.select(F.col("id").alias(id_col), "match_id", F.round("cosine", 6).alias("cosine"), F.when(F.round("cosine", 6) >= reject, "quarantine").otherwise("accept").alias("decision"))
+    best = nearest(queries, base, id_col, vec_col, others).select(F.col("id").alias("_id"), "match_id", F.round("cosine", 6).alias("cosine"))
+    out = queries.select(id_col).join(best, F.col(id_col).cast("long") == F.col("_id"), "left")
+    return out.select(id_col, "match_id", "cosine", F.when(F.col("cosine") >= reject, "quarantine").otherwise("accept").alias("decision"))
 
 
 def hash_manifest(bench: DataFrame, text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwright.functions import answers, prosody
-from loomwright.operators import curate, neardup, verify
+from loomwright.operators import curate, neardup, vectors, verify
 from loomwright.streaming import loops
 
 
@@ -34,7 +34,7 @@ def test_vectors_in_blocks(spark, monkeypatch):
     base = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
     queries = base.where("vec_id < 10")
     whole = [rows(neardup.nearest_vectors(queries, base, others=o)) for o in (False, True)]
-    monkeypatch.setattr(neardup, "BROADCAST_VECTORS", 7)
+    monkeypatch.setattr(vectors, "BROADCAST_VECTORS", 7)
     assert whole == [rows(neardup.nearest_vectors(queries, base, others=o)) for o in (False, True)]
     assert {r[0]: r[1] for r in whole[0]}[7] == 3 and {r[0]: r[1] for r in whole[1]}[7] == 3 and all(r[0] != r[1] for r in whole[1])
 
