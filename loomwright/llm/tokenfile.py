@@ -18,13 +18,13 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +35,7 @@ _LINES = re.compile("\n+")
 
 END_ID = 0
 #: Bytes of texts (and ids) that are worked on together, and at least one text.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 6_000_000
 #: Chunks that a Python worker remembers, twice over: when so many are known, the older half goes.
 KEPT_CHUNKS = 250_000
 #: Longer chunks are not remembered.
@@ -83,27 +83,30 @@ class ByteTokenizer:
             at, raw = (np.flatnonzero(self.begins[first][ids]) * 4).tolist(), ids.tobytes()
             yield from (raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True))
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of chunks."""
         now, before = self.heads
-        heads, others = {}, []
+        tails, whole, others, new = self.tails, [], [], set()
         for c in chunks:
             head = c.rstrip(SIGNS)
             word = head[1:] if head[:1] == "\n" else head
             if word.isascii() and word.isalnum():
-                heads[c] = head
+                whole.append((c, head))
+                if head not in now:
+                    if known := before.get(head):
+                        now[head] = known
+                    else:
+                        new.add(head)
             else:
                 others.append(c)
-        new = set(heads.values()).difference(now)
-        now.update((h, before[h]) for h in new.intersection(before))
-        new.difference_update(before)
         words, lines = [h for h in new if h[0] != "\n"], [h for h in new if h[0] == "\n"]
         now.update(zip(words, self._joined([f" {h}" for h in words], " "), strict=True))
         now.update(zip(lines, self._joined(lines, "\n"), strict=True))
-        tails = list({c[len(h) :] for c, h in heads.items()}.difference(self.tails))
-        self.tails.update(zip(tails, self._direct(tails), strict=True))
-        out = {c: now[h] + self.tails[c[len(h) :]] for c, h in heads.items()}
-        return out | dict(zip(others, self._direct([c if c[0] == "\n" else f" {c}" for c in others]), strict=True))
+        ends = list({c[len(h) :] for c, h in whole}.difference(tails))
+        tails.update(zip(ends, self._direct(ends), strict=True))
+        out = {c: now[h] + tails[c[len(h) :]] for c, h in whole}
+        out.update(zip(others, self._direct([c if c[0] == "\n" else f" {c}" for c in others]), strict=True))
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -117,7 +120,7 @@ class ByteTokenizer:
         fresh -= odd
         again = fresh.intersection(before)
         now.update((c, before[c]) for c in again)
-        now.update(self._learn(list(fresh - again)))
+        now.update(self._learn(fresh - again))
         first = dict(zip(each := list(set(heads)), self._direct(each), strict=True))
         direct = [i for i, (h, c) in enumerate(zip(heads, split, strict=True)) if h[-1:].isspace() or odd and not odd.isdisjoint(c)]
         for i in direct:
@@ -151,21 +154,37 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 
 def token_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, ids) of every document; ids: little-endian unsigned 32-bit integers with the end id; row: any distinct number."""
+    """(id, row, ids, counts) of every document, and a row with the task's counts of all ids.
+
+    ids: little-endian unsigned 32-bit integers with the end id; row: any distinct number.
+    The last row of a task has neither, but `counts`: 64-bit numbers, one for each id up to the greatest.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("_text"))
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("row", T.LongType()), T.StructField("ids", T.BinaryType())])
+    fields = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("row", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("counts", T.BinaryType())]
+    names = [f.name for f in fields]
 
     def run(batches):
+        import gc
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer, end = _tokenizer(tokenizer_path), np.array([END_ID], "<u4").tobytes()
-        for b in batches:
-            for lo, texts in _slices(b.column("_text")):
-                ids = pa.array([x + end for x in tokenizer.ids(texts)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, len(texts)), b.column("row").slice(lo, len(texts)), ids], names=["id", "row", "ids"])
+        tokenizer, end, n, kind = _tokenizer(tokenizer_path), np.array([END_ID], "<u4").tobytes(), np.zeros(0, np.int64), None
+        gc.disable()  # millions of strings in lists and dicts, and no cycles
+        try:
+            for b in batches:
+                kind = b.schema.field("id").type
+                for lo, texts in _slices(b.column("_text")):
+                    each = [x + end for x in tokenizer.ids(texts)]
+                    more = np.bincount(np.frombuffer(b"".join(each), "<u4"), minlength=len(n))
+                    more[: len(n)] += n
+                    n = more
+                    yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, len(texts)), b.column("row").slice(lo, len(texts)), pa.array(each, pa.binary()), pa.nulls(len(texts), pa.binary())], names=names)
+        finally:
+            gc.enable()
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([n.tobytes()], pa.binary())], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, T.StructType(fields))
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -191,10 +210,18 @@ def encode(ranks: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     size = 1 + (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
     two_bits = np.zeros(int((-(-n // 4)).sum()) * 4, np.uint8)
     two_bits[_places(n)] = size - 1
-    control = (two_bits.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
-    data = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
-    ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-    return control, -(-n // 4), data, np.diff(ends[np.concatenate([[0], np.cumsum(n)])])
+    control = (two_bits.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
+    ends = np.cumsum(size, dtype=np.int64)
+    at = ends - size
+    data = np.empty(ends[-1] if len(ends) else 0, np.uint8)
+    data[at] = ranks & 255
+    for k in (1, 2, 3):
+        longer = np.flatnonzero(size > k)
+        if not len(longer):
+            break
+        data[at[longer] + k] = ranks[longer] >> np.uint32(8 * k) & 255
+    bounds = np.concatenate([[0], ends])
+    return control, -(-n // 4), data, np.diff(bounds[np.concatenate([[0], np.cumsum(n)])])
 
 
 def decode(control: np.ndarray, data: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -204,6 +231,8 @@ def decode(control: np.ndarray, data: np.ndarray, n: np.ndarray) -> np.ndarray:
     ranks = data[at].astype(np.uint32)
     for k in (1, 2, 3):
         longer = np.flatnonzero(size > k)
+        if not len(longer):
+            break
         ranks[longer] |= data[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return ranks
 
@@ -220,22 +249,26 @@ def _parts(columns: list[pa.Array], weight: pa.Array) -> Iterator[list[pa.Array]
 def rank_ids(tokens: DataFrame) -> DataFrame:
     """(rank, token_id, n): the ids found, the most frequent first, of equal ones the least. No more rows than the vocabulary has ids."""
 
-    def count(batches):
-        n = np.zeros(0, np.int64)
+    def explode(batches):
         for b in batches:
-            for (ids,) in _parts([b.column(0)], pc.binary_length(b.column(0))):
-                more = np.bincount(_bytes_of(ids)[0].view("<u4"), minlength=len(n))
-                more[: len(n)] += n
-                n = more
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["token_id", "n"])
-
-    counts = tokens.select("ids").mapInArrow(count, "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
+            for counts in b.column(0).to_pylist():
+                n = np.frombuffer(counts, np.int64)
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["token_id", "n"])
+
+    counts = tokens.select("counts").where("counts is not null").mapInArrow(explode, "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
     ordered = counts.orderBy(F.desc("n"), "token_id").collect()  # bounded by the vocabulary
     rows = [(k, r["token_id"], r["n"]) for k, r in enumerate(ordered)]
     return tokens.sparkSession.createDataFrame(rows, "rank long, token_id long, n long")
 
 
+def cuts(tokens: DataFrame, parts: int) -> list:
+    """Ids that part the documents into `parts` ranges of about one size, from a bounded sample; they decide on the files' sizes only."""
+    some = tokens.select("id", "row").where("row is not null and id is not null").orderBy(F.xxhash64("row")).limit(50 * parts).collect()
+    ids = sorted(r["id"] for r in some)
+    return [ids[k * len(ids) // parts] for k in range(1, parts)] if ids else []
+
+
 def _table(ranks: DataFrame) -> np.ndarray:
     """token_id by rank."""
     found = ranks.select("rank", "token_id").orderBy("rank").toArrow()
@@ -254,7 +287,8 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_
     spark, packed = docs.sparkSession, {"compression": "zstd"}
     token_ids(docs, tokenizer_path, id_col, text_col).write.mode("overwrite").options(**packed).parquet(f"{folder}/_tokens")
     tokens = spark.read.parquet(f"{folder}/_tokens")
-    ranks = rank_ids(tokens)
+    ranks, n_parts = rank_ids(tokens), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = cuts(tokens, n_parts)
     ranks.coalesce(1).write.mode("overwrite").parquet(f"{folder}/ranks")
     ids = _table(ranks)
     rank_of = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
@@ -262,28 +296,37 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_
     sent = spark.sparkContext.broadcast(rank_of)  # 4 bytes for each id of the vocabulary
     kind = tokens.schema["id"]
 
+    def part_of(id_, row: int) -> int:
+        """By the bounds; an id that is several of them (or null) is spread over all its parts."""
+        first = bisect_left(bounds, id_) if id_ is not None else 0
+        last = bisect_right(bounds, id_) if id_ is not None else 0
+        return first + (row * 2654435761 >> 16) % (last - first + 1) if last > first else first
+
     def pack(batches):
         for b in batches:
             for id_, row, raw in _parts(b.columns, pc.binary_length(b.column(2))):
                 flat, size = _bytes_of(raw)
                 n = size.astype(np.int64) // 4
                 control, n_control, data, n_data = encode(sent.value[flat.view("<u4")], n)
-                yield pa.RecordBatch.from_arrays([id_, row, pa.array(n), _column(control, n_control), _column(data, n_data)], names=["id", "row", "n_tokens", "control", "data"])
+                parts = pa.array(map(part_of, id_.to_pylist(), row.to_pylist()), pa.int32())
+                yield pa.RecordBatch.from_arrays([id_, row, pa.array(n), _column(control, n_control), _column(data, n_data), parts], names=names)
 
     def place(batches):
-        part, before = TaskContext.get().partitionId(), 0
+        before = 0
         for b in batches:
             n = b.column(2).to_numpy()
             starts = before + np.cumsum(n) - n
             before += int(n.sum())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part)), pa.array(starts)], names=[*b.schema.names, "part", "before"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts)], names=[*names, "before"])
 
-    fields = [kind, *(T.StructField(c, t) for c, t in (("row", T.LongType()), ("n_tokens", T.LongType()), ("control", T.BinaryType()), ("data", T.BinaryType())))]
-    codes = tokens.mapInArrow(pack, T.StructType(fields)).repartitionByRange("id", "row").sortWithinPartitions("id", "row")
-    codes.mapInArrow(place, T.StructType([*fields, T.StructField("part", T.LongType()), T.StructField("before", T.LongType())])).write.mode("overwrite").options(**packed).parquet(f"{folder}/codes")
+    fields = [tokens.schema["id"], *(T.StructField(c, t) for c, t in (("row", T.LongType()), ("n_tokens", T.LongType()), ("control", T.BinaryType()), ("data", T.BinaryType()), ("part", T.IntegerType())))]
+    names = [f.name for f in fields]
+    packed_rows = tokens.where("row is not null").select("id", "row", "ids").mapInArrow(pack, T.StructType(fields))
+    codes = packed_rows.repartitionById(n_parts, F.col("part")).sortWithinPartitions("part", "id", "row")
+    codes.mapInArrow(place, T.StructType([*fields, T.StructField("before", T.LongType())])).write.mode("overwrite").options(**packed).parquet(f"{folder}/codes")
     sums = spark.read.parquet(f"{folder}/codes").groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row for each part-file
     first = np.concatenate([[0], np.cumsum([r["n"] for r in sums])]).tolist()
-    spark.createDataFrame([(r["part"], f) for r, f in zip(sums, first)], "part long, first long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/parts")
+    spark.createDataFrame([(r["part"], f) for r, f in zip(sums, first)], "part int, first long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/parts")
     remove(spark, f"{folder}/_tokens")
 
 
