@@ -242,15 +242,10 @@ def is_choice(x: Column) -> Column:
 
 
 def first_letter(x: Column) -> Column:
-    """The first a to e anywhere (so `answer: c` gives a; see first_standalone_letter)."""
+    """The first a to e anywhere (so `answer: c` gives a)."""
     return F.regexp_extract(F.lower(strip(x)), r"\(?([a-e])\)?", 1)
 
 
-def first_standalone_letter(x: Column) -> Column:
-    """Strict: a letter a to e that is a word of its own."""
-    return F.regexp_extract(F.lower(strip(x)), r"(?<![a-z])([a-e])(?![a-z])", 1)
-
-
 def visible(x: Column, least: int = 100) -> Column:
     """After the reasoning block, unless what follows is shorter than `least`."""
     at = F.instr(x, "</think>")

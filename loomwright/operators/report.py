@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens, tokens
 
+#: Rows of a table of starts up to which it is sent to the tasks.
+SENT_STARTS = 100_000
+
 
 def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
     """(dimension, value, n): independent counts of each column, in one pass over the data."""
@@ -66,14 +69,35 @@ def shard_progress(df: DataFrame, by: str, shard: str, id_col: str, order: list[
 
 
 def remaining(counts: DataFrame, targets: DataFrame, key: str, n: str = "n", target: str = "target") -> DataFrame:
-    return targets.join(counts, key, "left").select(key, target, F.coalesce(n, F.lit(0)).alias(n), F.greatest(F.lit(0), F.col(target) - F.coalesce(n, F.lit(0))).alias("remaining"))
+    """(key, target, n, remaining) of every target; a group without rows has none yet, and a target that is passed leaves 0."""
+    return targets.join(counts, key, "left").select(key, target, F.coalesce(n, F.lit(0)).alias(n), F.greatest(F.lit(0).cast("long"), F.col(target) - F.coalesce(n, F.lit(0))).alias("remaining"))
+
+
+def checkpoint_summary(df: DataFrame, targets: DataFrame, decisions: DataFrame, by: str, shard: str, id_col: str, order: list[str]) -> DataFrame:
+    """A row for each target: rows so far and remaining, last and next shard, last id, and decisions by name.
+
+    targets: (by, target); decisions: (id, decision) of some rows. A group without rows begins at shard 000.
+    """
+    named = df.join(decisions, id_col, "left").groupBy(by, "decision").agg(F.count("*").alias("_n")).where("decision is not null")
+    counts = named.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("decision", "_n")))).alias("decisions"))  # a few names
+    progress = shard_progress(df, by, shard, id_col, order)
+    out = remaining(progress, targets, by).join(progress.drop("n"), by, "left").join(counts, by, "left")
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    return out.withColumn("next_shard", F.coalesce("next_shard", F.lit("000"))).withColumn("decisions", F.coalesce("decisions", empty))
 
 
 def gate_progress(df: DataFrame, starts: DataFrame, by: str, id_col: str, split: str = "split") -> DataFrame:
-    """(by, n): training rows whose id's last number is at or after the group's start; starts (by, start) is a short list."""
+    """(by, n): training rows whose id's last number is at or after the group's start; starts has (by, start), a row for each group.
+
+    Rows are counted where they lie if the starts can be sent (SENT_STARTS), else by a join of counts by number.
+    """
     seq = F.regexp_extract(id_col, r"-(\d+)$", 1)
-    rows = df.where(F.col(split) == "train").withColumn("_seq", F.when(seq != "", seq.cast("int")))
-    return starts.join(rows, by, "left").groupBy(by).agg(F.count_if(F.col("_seq") >= F.col("start")).alias("n"))
+    rows = df.where(F.col(split) == "train").select(by, F.when(seq != "", seq.cast("long")).alias("_seq")).where("_seq is not null")
+    if starts.count() <= SENT_STARTS:
+        counts = rows.join(F.broadcast(starts), by).where("_seq >= start").groupBy(by).agg(F.count("*").alias("n"))
+    else:
+        counts = rows.groupBy(by, "_seq").agg(F.count("*").alias("_n")).join(starts, by).where("_seq >= start").groupBy(by).agg(F.sum("_n").alias("n"))
+    return starts.select(by).join(counts, by, "left").select(by, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def markdown(rows: DataFrame, most: int = 1000) -> str:

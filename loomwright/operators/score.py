@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def mean_or_zero(x: Column, when: Column | None = None) -> Column:
     v = F.when(when, x.cast("double")) if when is not None else x.cast("double")
@@ -98,10 +100,26 @@ def weakest(df: DataFrame, by: str, ok: Column, least: int = 3, k: int = 5) -> D
     return out.orderBy("accuracy", by).limit(k)
 
 
+def running_sum(df: DataFrame, by: str, order: list[str], value: Column, out: str) -> DataFrame:
+    """Adds `out`: the sum of `value` over a group's rows so far, in an order that tells all of them apart.
+
+    Rows lie in ranges by group and order, so a group of any size is spread over tasks:
+    each sums up its own part, and gets what the parts before it (a row for each) come to.
+    """
+    ranges = stored(df.withColumn("_value", value).repartitionByRange(F.col(by), *order))
+    rows = ranges.withColumn("_part", F.spark_partition_id())
+    sums = rows.groupBy(F.col(by).alias("_by"), F.col("_part").alias("_of")).agg(F.sum("_value").alias("_sum"))
+    earlier = Window.partitionBy("_by").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_by", "_of", F.sum("_sum").over(earlier).alias("_before"))
+    here = F.sum("_value").over(Window.partitionBy(by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.withColumn("_here", here).join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_of")))
+    total = F.when(F.col("_before").isNull(), F.col("_here")).when(F.col("_here").isNull(), F.col("_before")).otherwise(F.col("_here") + F.col("_before"))
+    return found.withColumn(out, total).drop("_value", "_part", "_by", "_of", "_before", "_here")
+
+
 def running_spend(calls: DataFrame, by: str, order: list[str], cost: Column, cap: float) -> DataFrame:
     """Adds spent (so far, in order) and over_cap."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return calls.withColumn("spent", F.round(F.sum(cost).over(w), 6)).withColumn("over_cap", F.col("spent") > cap)
+    return running_sum(calls, by, order, cost, "spent").withColumn("spent", F.round("spent", 6)).withColumn("over_cap", F.col("spent") > cap)
 
 
 def rescored(df: DataFrame, old: str, new: str) -> DataFrame:

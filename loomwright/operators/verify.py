@@ -142,6 +142,7 @@ def verify(df: DataFrame) -> DataFrame:
 
 def audit(df: DataFrame, id_col: str, order: list[str], load_error: Column, verified: Column, cap_issues: Column, prosody: Column) -> DataFrame:
     """Adds reason: a load error, else a later copy of an id, else the verifier's, else the verse check's; caps only warn."""
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(*order))
+    # Null ids are no copies of each other; the second key keeps them out of one task.
+    rank = F.row_number().over(Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.xxhash64(*order))).orderBy(*order))
     out = df.withColumn("_copy", F.when((rank > 1) & F.col(id_col).isNotNull(), "duplicate id"))
     return out.withColumn("reason", F.coalesce(load_error, F.col("_copy"), verified, prosody)).withColumn("warnings", cap_issues).drop("_copy")

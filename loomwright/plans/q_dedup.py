@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize
 from ..operators import curate, neardup
+from . import pipelines
 from .registry import ORACLES, query, table
 
 #: The white space that Spark's (?U)\s removes, for RE2.
@@ -147,3 +148,19 @@ def cap_after_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def side_by_side_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.replace(F.substring("text", 1, 160), F.lit("\n"), F.lit(" ")).alias("sample"))
     return curate.first_of(docs, [F.col("source")], [F.col("doc_id")], k=2)
+
+
+@query(f"""
+WITH {_GRAMS},
+best AS (SELECT doc_id, max(jac) AS jac FROM j GROUP BY 1),
+e AS (SELECT doc_id, coalesce({_NORM.replace("text", "d.text")} IN (SELECT {_NORM} FROM benchmark WHERE text IS NOT NULL), false) AS exact FROM documents d)
+SELECT d.doc_id, exact AS exact_match, round(coalesce(jac, 0.0), 6) AS jaccard_max,
+       array_to_string(list_concat(CASE WHEN coalesce(length(text) < 400, false) THEN ['short'] ELSE [] END, CASE WHEN coalesce(source = 'src3', false) THEN ['source'] ELSE [] END), ',') AS reasons,
+       CASE WHEN exact OR coalesce(jac, 0.0) >= 0.35 THEN 'reject' WHEN coalesce(length(text) < 400, false) OR coalesce(source = 'src3', false) THEN 'quarantine' ELSE 'accept' END AS decision
+FROM documents d JOIN e USING (doc_id) LEFT JOIN best USING (doc_id)
+""")
+def package_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A packaging run: contamination and exact matches reject, broken rules quarantine, all with reasons."""
+    checks = {"short": F.length("text") < 400, "source": F.col("source") == "src3"}
+    out = pipelines.package(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), checks, "doc_id")
+    return out.select("doc_id", "exact_match", "jaccard_max", F.array_join("reasons", ",").alias("reasons"), "decision")

@@ -15,15 +15,15 @@ _ROW = "doc_id long, lang string, n_chars long"
 
 
 def _shards(spark: SparkSession, sf_dir: str) -> str:
-    """Documents as shards train_<lang>_00<k>.jsonl and val_..., with a blank and a broken line in each."""
-    path = scratch(spark, "shards")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").cast("long").alias("n_chars"))
-    for lang in ("de", "en", "es", "fr"):
-        for split, k in (("train", 0), ("train", 1), ("val", 0)):
-            part = docs.where((F.col("lang") == lang) & (F.col("doc_id") % 3 == (2 if split == "val" else k)))
-            lines = part.select("doc_id", F.to_json(F.struct("doc_id", "lang", "n_chars")).alias("value"))
-            extra = spark.createDataFrame([(-2, ""), (-1, '{"doc_id": broken')], "doc_id long, value string")
-            sinks.write_shard(lines.unionByName(extra), path, f"{split}_{lang}_{k:03d}.jsonl", ["doc_id"])
+    """Documents as shards train_<lang>_00<k>.jsonl and val_..., with a blank and a broken line in each, before the others."""
+    path, langs = scratch(spark, "shards"), ("de", "en", "es", "fr")
+    docs = table(spark, sf_dir, "documents").where(F.col("lang").isin(*langs)).select("doc_id", "lang", F.length("text").cast("long").alias("n_chars"))
+    k = F.col("doc_id") % 3
+    name = F.concat(F.when(k == 2, "val").otherwise("train"), F.lit("_"), "lang", F.lit("_00"), F.when(k == 2, 0).otherwise(k).cast("string"), F.lit(".jsonl"))
+    lines = docs.select(name.alias("name"), "doc_id", F.to_json(F.struct("doc_id", "lang", "n_chars")).alias("value"))
+    names = [f"{split}_{lang}_{n}.jsonl" for lang in langs for split, n in (("train", "000"), ("train", "001"), ("val", "000"))]
+    extra = spark.createDataFrame([(n, i, v) for n in names for i, v in ((-2, ""), (-1, '{"doc_id": broken'))], "name string, doc_id long, value string")
+    sinks.write_shards(lines.unionByName(extra), path, "name", ["doc_id"])
     return path
 
 
@@ -123,10 +123,24 @@ def prediction_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mappers.all_mapped(tables).select("family", "id", "prompt", "gold", "subject")
 
 
-@query("SELECT * FROM (VALUES (0, 'aime24'), (1, 'aime25'), (2, 'onet'), (3, 'ic'), (4, 'tgat'), (5, 'tpat1'), (6, 'a_level'), (7, 'math500')) t(place, name)")
+_ALIASES = ", ".join(f"('{k}', {v})" for k, v in readers.ALIASES.items())
+_ASKED = "CASE c_custkey % 5 WHEN 0 THEN 'aime' WHEN 1 THEN 'thai_exam' WHEN 2 THEN 'aime24' WHEN 3 THEN 'all' ELSE c_name END"
+
+
+@query(f"""
+WITH w AS (SELECT c_custkey AS a, {_ASKED} AS n FROM customer), al(k, v) AS (VALUES {_ALIASES}),
+p AS (SELECT a, unnest(range(len(coalesce(v, [n])))) AS b, unnest(coalesce(v, [n])) AS n FROM w LEFT JOIN al ON k = n WHERE n <> 'all'
+      UNION ALL SELECT (SELECT min(a) FROM w WHERE n = 'all'), n_nationkey, n_name FROM nation WHERE EXISTS (SELECT 1 FROM w WHERE n = 'all'))
+SELECT a AS place, b::BIGINT AS part, n AS name FROM p QUALIFY row_number() OVER (PARTITION BY n ORDER BY a, b) = 1
+""")
 def family_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = readers.expand_aliases(["aime", "thai_exam", "aime24", "all"], ["math500", "onet"])
-    return readers.fixture(spark, list(enumerate(names)), "place int, name string")
+    """Names that customers ask for, with aliases and `all` written out, each where it comes first."""
+    k = F.col("c_custkey") % 5
+    asked = F.when(k == 0, "aime").when(k == 1, "thai_exam").when(k == 2, "aime24").when(k == 3, "all").otherwise(F.col("c_name"))
+    wanted = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("place"), asked.alias("name"))
+    known = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("place"), F.col("n_name").alias("name"))
+    out = readers.names_expanded(wanted, known)
+    return out.select(F.col("place").cast("long").alias("place"), F.col("part").cast("long").alias("part"), "name")
 
 
 @query("SELECT max(p_partkey) AS newest, count(*) AS n FROM part")

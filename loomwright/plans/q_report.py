@@ -155,6 +155,28 @@ def progress_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("remaining", F.greatest(F.lit(0).cast("long"), 400 - F.col("n")))
 
 
+_DECISION = "CASE WHEN toxic = 1 THEN 'reject' WHEN quality = 1 THEN 'accept' ELSE 'hold' END"
+
+
+@query(f"""
+WITH s AS (SELECT source, doc_id, lpad((doc_id % 7)::VARCHAR, 3, '0') AS shard FROM documents WHERE doc_id % 20 <> 3),
+d AS (SELECT source, {_DECISION} AS decision, count(*) AS n FROM s JOIN labels USING (doc_id) GROUP BY 1, 2),
+t AS (SELECT source, count(*) * 2 - max(length(lang)) * 20 AS target FROM documents GROUP BY 1),
+c AS (SELECT source, count(*) AS n, max(shard) AS last_shard, arg_max(doc_id, (shard, doc_id)) AS last_id FROM s GROUP BY 1)
+SELECT source, target, coalesce(n, 0) AS n, greatest(0, target - coalesce(n, 0)) AS remaining, last_shard, coalesce(lpad((last_shard::INT + 1)::VARCHAR, 3, '0'), '000') AS next_shard, last_id, coalesce(decisions, '') AS decisions
+FROM t LEFT JOIN c USING (source) LEFT JOIN (SELECT source, string_agg(decision || ':' || n, ',' ORDER BY decision) AS decisions FROM d GROUP BY 1) USING (source)
+""")
+def checkpoint_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress against targets by source (one source has no rows yet), with the labels' decisions."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    s = docs.where("doc_id % 20 <> 3").select("source", "doc_id", F.lpad((F.col("doc_id") % 7).cast("string"), 3, "0").alias("shard"))
+    targets = docs.groupBy("source").agg((F.count("*") * 2 - F.max(F.length("lang")) * 20).cast("long").alias("target"))
+    decisions = labels.select("doc_id", F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 1, "accept").otherwise("hold").alias("decision"))
+    out = report.checkpoint_summary(s, targets, decisions, "source", "shard", "doc_id", ["shard", "doc_id"])
+    pairs = F.transform(F.map_entries("decisions"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return out.withColumn("decisions", F.array_join(pairs, ","))
+
+
 @query("SELECT source, count(*) FILTER (doc_id >= 100) AS n FROM documents GROUP BY 1")
 def gate_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("source", F.concat(F.lit("x-"), F.col("doc_id").cast("string")).alias("id"), F.lit("train").alias("split"))

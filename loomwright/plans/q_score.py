@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import answers
 from ..operators import score
 from ..session import scratch
+from . import pipelines
 from .registry import query, table
 
 _MATH = """SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'So \\boxed{1} and then $\\boxed{' || o_custkey || '}$.' WHEN 1 THEN 'The final answer is ' || o_custkey || '/4.'
@@ -182,3 +183,14 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = first_seen(stream.select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", late="3650 days").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{out}/rows").agg(F.count("*").alias("n"))
+
+
+_RULES = "CASE lang WHEN 'en' THEN quality::DOUBLE WHEN 'de' THEN 1 - toxic::DOUBLE WHEN 'fr' THEN least(length(text) / 1000, 1) END"
+
+
+@query(f"SELECT lang AS family, 'score' AS metric, round(coalesce(avg({_RULES}), 0.0), 6) AS value, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1")
+def family_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each family by its own rule; a family without one scores 0."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").withColumnRenamed("lang", "family")
+    rules = {"en": F.col("quality"), "de": 1 - F.col("toxic"), "fr": F.least(F.length("text") / 1000, F.lit(1.0))}
+    return pipelines.score_families(rows, rules)

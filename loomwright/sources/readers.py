@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,9 @@ RECORD = (
     "quality_scores map<string,string>, training_tags array<string>, "
     "loop_metadata struct<n_corrections:int,skill_taught:string,convergence_reached:boolean,base_family:string>"
 )
-FILE_NAME = r"(train|val)_(.+)_(\d{3})\.jsonl"
+FILE_NAME = r"(train|val)_([^/]+)_(\d{3})\.jsonl"
+#: What stands before a shard's name in a path, and after it where the shard is a folder.
+SHARD, PART_FILE = r"(?:^|[/=])", r"(?:/part-[^/]*)?$"
 #: Names that stand for several benchmarks.
 ALIASES = {"aime": ["aime24", "aime25"], "thai_exam": ["onet", "ic", "tgat", "tpat1", "a_level"]}
 
@@ -29,20 +31,35 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, malforme
     """
     mode = {"keep": "PERMISSIVE", "drop": "DROPMALFORMED", "fail": "FAILFAST"}[malformed]
     full = f"{schema}, _corrupt_record string" if malformed == "keep" else schema
-    df = spark.read.schema(full).option("mode", mode).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    df = spark.read.schema(full).option("recursiveFileLookup", "true").option("mode", mode).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     return with_provenance(df)
 
 
 def with_provenance(df: DataFrame) -> DataFrame:
-    name = F.col("_metadata.file_name")
-    part = lambda k: F.nullif(F.regexp_extract(name, FILE_NAME, k), F.lit(""))
-    return df.select("*", F.col("_metadata.file_path").alias("_path"), part(1).alias("_split"), part(2).alias("_family"), part(3).alias("_shard"))
+    """A shard is a file, or a folder of part-files, of that name."""
+    path = F.col("_metadata.file_path")
+    part = lambda k: F.nullif(F.regexp_extract(path, SHARD + FILE_NAME + PART_FILE, k), F.lit(""))
+    return df.select("*", path.alias("_path"), part(1).alias("_split"), part(2).alias("_family"), part(3).alias("_shard"))
 
 
 def read_numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line) of text files read whole each (line numbers need the file's order); for error reports."""
-    df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("path"), "value")
-    return df.select("path", F.posexplode_outer(F.split("value", r"\r?\n")).alias("_n", "line")).where("trim(line) <> ''").select("path", (F.col("_n") + 1).alias("line_no"), "line")
+    """(path, line_no, line) of text files: the shard's name, and the line's number in it, from 1. Blank lines count and are left out.
+
+    Files are read in splits, by many tasks each. A split's lines are counted, and what
+    comes before a split (part-files of a shard in their order, splits by where they
+    begin) is added to a line's place in it. The lines themselves aren't shuffled
+    while the counts (a row for each split) are small enough to be sent.
+    """
+    file = F.col("_metadata.file_path")
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        file.alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"),
+        F.coalesce(F.nullif(F.regexp_extract(file, r"/(?:[^/=]+=)?([^/]+)/part-[^/]*$", 1), F.lit("")), F.regexp_extract(file, r"([^/]+)$", 1)).alias("path"),
+    )
+    splits = lines.groupBy("path", "_file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("path").orderBy(F.length("_file"), "_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    out = lines.join(splits, ["_file", "_block"]).where(F.trim("line") != "")
+    return out.select("path", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line_no"), "line")
 
 
 def load_errors(numbered: DataFrame) -> DataFrame:
@@ -101,6 +118,21 @@ def cached_or(spark: SparkSession, cache: str, load) -> DataFrame:
     return spark.read.parquet(cache) if there else load()
 
 
+def names_expanded(wanted: DataFrame, known: DataFrame, name: str = "name", order: str = "place") -> DataFrame:
+    """(place, name): the names of a table with aliases written out and `all` as every known one, each once, where it comes first.
+
+    Both tables have a name and a place. Places of what stands for several names are those of the one it comes from.
+    """
+    aliases = F.create_map(*[x for k, v in ALIASES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    rows = wanted.select(F.col(order).alias("_a"), F.col(name).alias("_n"))
+    parts = rows.where("_n <> 'all'").select("_a", F.posexplode(F.coalesce(aliases[F.col("_n")], F.array("_n"))).alias("_b", "_n"))
+    # Of `all` only the first one counts, so a known name meets one row, whatever the number of names.
+    first_all = rows.where("_n = 'all'").groupBy("_n").agg(F.min("_a").alias("_a")).withColumnRenamed("_n", "_all")
+    every = known.select(F.col(order).alias("_b"), F.col(name).alias("_n"), F.lit("all").alias("_all")).join(first_all, "_all")
+    first = parts.unionByName(every.select("_a", F.col("_b").cast("int").alias("_b"), "_n")).groupBy("_n").agg(F.min(F.struct("_a", "_b")).alias("_p"))
+    return first.select(F.col("_p._a").alias("place"), F.col("_p._b").alias("part"), F.col("_n").alias("name"))
+
+
 def unified(parts: dict[str, DataFrame], tag: str = "family") -> DataFrame:
     """Union by name of differently shaped inputs, with the name of each in `tag`."""
     out = None
@@ -119,7 +151,7 @@ def expand_aliases(names: list[str], known: list[str]) -> list[str]:
 
 
 def count_lines(spark: SparkSession, path: str, blank: bool = False) -> int:
-    lines = spark.read.text(path)
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
     return (lines if blank else lines.where(F.trim("value") != "")).count()
 
 

@@ -32,6 +32,15 @@ def write_shard(df: DataFrame, path: str, name: str, order: list[str]) -> None:
     fs.delete(hadoop(folder), True)
 
 
+def write_shards(df: DataFrame, path: str, name: str, order: list[str]) -> None:
+    """JSONL shards, a folder of part-files for each value of `name`; column `value` has the lines. One job over many tasks.
+
+    Part-files of a shard follow each other in `order`, so a large shard is written by several tasks.
+    """
+    rows = df.repartitionByRange(name, *order).sortWithinPartitions(name, *order)
+    rows.select(name, "value").write.mode("overwrite").partitionBy(name).text(path)
+
+
 def write_if_changed(df: DataFrame, path: str, order: list[str]) -> bool:
     """Writes JSON unless the same rows are there already (an order-free hash is kept beside them)."""
     spark = df.sparkSession
