@@ -4,9 +4,10 @@ Lines are exploded, normalised and hashed; the distinct documents of each hash
 are counted; lines whose hash is found in many documents are dropped from all
 of them but one, and the rest is put together again in line order.
 
-Shuffles: (hash, doc) pairs once, the pairs against the frequent hashes once
-(AQE splits a hot hash), the documents once. A hot line is counted by partial
-aggregates, and no group of rows is ever gathered.
+Shuffles: (hash, doc) pairs once, the pairs against the frequent hashes once, the
+documents once. A hot line is counted by partial aggregates, and no group of rows is
+ever gathered. Pairs and frequent hashes are stored before they are joined: then
+both sides of the join are plain shuffles, and AQE splits a hot hash among tasks.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower, fresh
+from .common import ASCII_SPACE, ascii_lower, checkpoint, fresh
 
 
 def line_key(line: Column) -> Column:
@@ -32,8 +33,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = docs.select(F.col(id_col).alias("_id"), F.explode_outer(F.split(F.col(text_col), "\n")).alias("_line"))
     # explode_outer: for explode, the optimizer would split each text twice.
     keys = lines.select("_id", line_key(F.col("_line")).alias("_key")).where((F.length("_key") >= min_chars) & F.col("_id").isNotNull())
-    pairs = keys.select("_id", *_hash(F.col("_key"))).distinct()
-    often = pairs.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"), F.max("_id").alias("_last")).where(F.col("_n") >= min_docs)
+    pairs = checkpoint(keys.select("_id", *_hash(F.col("_key"))).distinct())
+    often = checkpoint(pairs.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"), F.max("_id").alias("_last")).where(F.col("_n") >= min_docs))
     hits = pairs.join(often, ["_h1", "_h2"]).where(F.col("_id") < F.col("_last"))
     return hits.groupBy("_id").agg(F.collect_list(F.struct("_h1", "_h2")).alias("_hits"))
 
@@ -64,7 +65,7 @@ def drop_repeated_lines(
     n = F.size(lines).cast("long")
     result = F.struct(
         n.alias("n_lines"),
-        F.coalesce(n - F.size(kept), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col(kept).isNotNull(), n - F.size(kept)).otherwise(0).cast("long").alias("n_dropped"),  # size(null) is -1 without ANSI
         F.when(F.col(kept).isNotNull(), F.array_join(kept, "\n")).otherwise(text).alias("text"),
     )
     return joined.withColumn(out, result).drop(doc, hits, kept)
