@@ -1,7 +1,9 @@
 """Connected components by alternating large and small stars (Kiveris et al., 2014).
 
 Edges stay in the cluster. Each round is checkpointed in the shared folder, so
-that neither the lineage nor a lost executor makes earlier rounds run again.
+that neither the lineage nor a lost executor makes earlier rounds run again. The
+least neighbours are stored too before they are joined: both sides of a join are
+then plain shuffles, and AQE splits the edges of a hot root among tasks.
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not was[0]:
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = checkpoint(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpoint(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         now = _signature(e)
