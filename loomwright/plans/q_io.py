@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import extras, report
 from ..session import scratch
 from ..sources import mappers, readers, sinks
-from ..streaming import loops
+from ..streaming import loops, topics
 from .registry import query, table
 
 _ROW = "doc_id long, lang string, n_chars long"
@@ -268,3 +268,48 @@ def skip_if_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, nation = scratch(spark, "once"), table(spark, sf_dir, "nation")
     first, again = loops.skip_existing(nation, path), loops.skip_existing(nation.limit(1), path)
     return spark.read.parquet(path).agg(F.lit(first).alias("first"), F.lit(again).alias("again"), F.count("*").alias("n"))
+
+
+_TOPICS = ["view", "click", "purchase", "error", "signup"]
+
+
+@query(f"""
+WITH e AS (SELECT event_type AS topic, event_id % 3 + 1 AS c, (value > 50)::INT AS ok, (value > 99)::INT AS failed FROM events),
+t(topic, pos) AS (VALUES {", ".join(f"('{t}', {k})" for k, t in enumerate(sorted(_TOPICS)))}),
+s AS (SELECT x.c AS cycle, topic, sum(ok)::BIGINT AS correct, count(*) AS total, sum(failed)::BIGINT AS failed FROM e JOIN (VALUES (1), (2), (3)) x(c) ON e.c <= x.c GROUP BY ALL),
+w AS (SELECT *, row_number() OVER (PARTITION BY cycle ORDER BY correct / total, topic) - 1 AS place FROM s WHERE total >= 3 QUALIFY place < 2),
+r AS (SELECT x.c AS cycle, t.topic, row_number() OVER (PARTITION BY x.c ORDER BY (t.pos - x.c + 1 + 50) % {len(_TOPICS)}) + 1 AS place FROM t, (VALUES (1), (2), (3)) x(c) WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.cycle = x.c AND w.topic = t.topic) QUALIFY place < 4)
+SELECT cycle, place, topic, 'weak' AS reason, round(correct / total, 6) AS accuracy, total, failed FROM w
+UNION ALL SELECT r.cycle, place, r.topic, 'turn', round(correct / total, 6), coalesce(total, 0), coalesce(failed, 0) FROM r LEFT JOIN s ON s.cycle = r.cycle AND s.topic = r.topic
+""")
+def stream_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A loop over three batches of events, stopped and started again after each: what it takes next depends on all before."""
+    folder, out = scratch(spark, "results"), scratch(spark, "plans")
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.lit("loop").alias("loop"), F.col("event_type").alias("topic"), (F.col("value") > 50).cast("long").alias("correct"), F.lit(1).cast("long").alias("total"), (F.col("value") > 99).cast("long").alias("failed"), (F.col("event_id") % 3).alias("k"))
+    for k in range(3):
+        rows.where(F.col("k") == k).drop("k").write.mode("append").parquet(folder)
+        stream = loops.watch_files(spark, folder, "loop string, topic string, correct long, total long, failed long", "parquet", 10_000)
+        found = topics.plans(stream, sorted(_TOPICS), weakest=2, chosen=4)
+        found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("cycle", "place", "topic", "reason", F.round("accuracy", 6).alias("accuracy"), "total", "failed")
+
+
+@query("""
+WITH e AS (SELECT *, event_type IN ('view', 'click') AS capped FROM events WHERE event_type IN ('view', 'click', 'error')),
+r AS (SELECT *, CASE WHEN value <= 10 THEN 'rejected' WHEN capped AND sum((value > 10)::INT) OVER (PARTITION BY event_type ORDER BY event_id) > 40 THEN 'over_cap' END AS reason FROM e)
+SELECT event_type AS source, coalesce(reason, 'taken') AS reason, count(*) AS n, sum(event_id)::BIGINT AS ids FROM r GROUP BY ALL
+""")
+def stream_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three streams over two batches each, two of them with a cap of 40 rows that the second batch passes."""
+    folder, out = scratch(spark, "sources"), scratch(spark, "capped")
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    middle = e.where("event_type = 'view' and value > 10").orderBy("event_id").limit(30).agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0]
+    for late in (False, True):
+        for kind in ("view", "click", "error"):
+            e.where((F.col("event_type") == kind) & ((F.col("event_id") > middle) == late)).select("event_id", "value").write.mode("append").parquet(f"{folder}/{kind}")
+        streams = {kind: loops.watch_files(spark, f"{folder}/{kind}", "event_id long, value double", "parquet", 10_000) for kind in ("view", "click", "error")}
+        loops.append_capped(streams, f"{out}/rows", f"{out}/rest", F.col("value") > 10, {"view": 40, "click": 40}, f"{out}/log", ["event_id"]).awaitTermination()
+    taken = spark.read.parquet(f"{out}/rows").withColumn("reason", F.lit("taken"))
+    rest = spark.read.parquet(f"{out}/rest")
+    return taken.unionByName(rest).groupBy("source", "reason").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))

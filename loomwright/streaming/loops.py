@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.score import running_sum
+
 
 def cycles(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Calls step(batch, cycle number) for every batch; a restart goes on from the checkpoint. every=None: until what is there is done."""
@@ -27,6 +29,15 @@ def first_seen(stream: DataFrame, key: str, time: str | None = None, late: str =
     return stream.dropDuplicates([key])
 
 
+def _written(spark: SparkSession, out: str, number: int) -> DataFrame | None:
+    """What other batches than this one have written; None before the first."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p) or not any(s.isDirectory() for s in fs.listStatus(p)):
+        return None
+    return spark.read.parquet(out).where(F.col("batch") != number)
+
+
 def append_until(stream: DataFrame, out: str, rejects: str, accept, target: int, checkpoint: str, order: list[str] | None = None) -> StreamingQuery:
     """Appends accepted rows until the output has `target` of them, and logs all others with a reason.
 
@@ -39,12 +50,8 @@ def append_until(stream: DataFrame, out: str, rejects: str, accept, target: int,
 
     def step(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        have = 0
-        try:
-            have = spark.read.parquet(out).where(F.col("batch") != number).count()
-        except Exception as e:  # no folder yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        before = _written(spark, out, number)
+        have = before.count() if before is not None else 0
         ok = F.coalesce(accept, F.lit(False))
         good, left = batch.where(ok), max(0, target - have)
         over = good.limit(0)
@@ -60,6 +67,36 @@ def append_until(stream: DataFrame, out: str, rejects: str, accept, target: int,
     return cycles(stream, step, checkpoint)
 
 
+def append_capped(streams: dict[str, DataFrame], out: str, rejects: str, accept, caps: dict[str, int], checkpoint: str, order: list[str], source: str = "source") -> StreamingQuery:
+    """Several streams of one shape as one: each source's accepted rows are appended until it has as many as its cap.
+
+    A source without a cap is taken whole. The rest is logged with a reason (`rejected`,
+    `over_cap`). Of a batch that passes a cap, the first rows in `order` are taken: places within a
+    source are counted over ranges, so a batch of one source is spread over tasks. A
+    repeated batch overwrites its own folder with the same rows.
+    """
+    parts = [df.withColumn(source, F.lit(name)) for name, df in streams.items()]
+    stream, spark = parts[0], parts[0].sparkSession
+    for p in parts[1:]:
+        stream = stream.unionByName(p)
+    limits = spark.createDataFrame(list(caps.items()) or [("", 0)], f"{source} string, _cap long")
+
+    def step(batch: DataFrame, number: int) -> None:
+        before = _written(spark, out, number)
+        have = limits.select(source, F.lit(0).cast("long").alias("_have")) if before is None else before.groupBy(source).agg(F.count("*").alias("_have"))
+        ok = F.coalesce(accept, F.lit(False))
+        placed = running_sum(batch.withColumn("_ok", ok), source, ["_ok", *order], F.col("_ok").cast("long"), "_place")
+        known = placed.join(limits, source, "left").join(have, source, "left")  # a row for each source
+        free = F.col("_cap").isNull() | (F.col("_place") + F.coalesce("_have", F.lit(0)) <= F.col("_cap"))
+        judged = known.withColumn("reason", F.when(~F.col("_ok"), "rejected").when(~free, "over_cap")).drop("_ok", "_place", "_cap", "_have")
+        judged = judged.persist()
+        judged.where("reason is null").drop("reason").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        judged.where("reason is not null").write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+        judged.unpersist()
+
+    return cycles(stream, step, checkpoint)
+
+
 def skip_existing(df: DataFrame, path: str) -> bool:
     """Writes unless the output is there; tells whether it wrote."""
     try:
