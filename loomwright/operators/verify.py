@@ -1,4 +1,4 @@
-"""Verifiers by type. Code of records runs in its own limited process, never in the worker; see run_code for what that does not stop."""
+"""Verifiers by type. Code of records runs in its own limited process, never in the worker; apart from all else where the system allows it (see run_code)."""
 
 from __future__ import annotations
 
@@ -14,7 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import isolation
+
 SECONDS, MEMORY_MB, OUTPUT_BYTES = 5, 512, 1_000_000
+#: Code runs apart or not at all.
+REQUIRE_ISOLATION = False
 
 _GUARD = """import sys, os as _o, socket as _s, subprocess as _p, _socket as _t
 def _no(*a, **k): raise PermissionError("not allowed here")
@@ -35,16 +39,27 @@ def _limits() -> None:
 def run_code(source: str, stdin: str = "", seconds: float = SECONDS) -> tuple[bool, str, str]:
     """(ended well, standard output, error) of a Python program in a process of its own, under time, memory, CPU and file limits.
 
-    The guard stops sockets, processes and deletions by their usual names. It is
-    no sandbox: code that means harm gets round it and can read the executor's
-    files. For code that isn't trusted, run executors in containers without a network.
+    Where the system allows it (isolation.available()), the process has no network, no
+    files but the interpreter's and its own folder, and can't begin others; that
+    isn't left to the code's good will. Elsewhere only the guard stops sockets, processes
+    and deletions, by their usual names, which is no sandbox: there, run executors
+    in containers without a network. REQUIRE_ISOLATION makes that an error.
     """
+    apart = isolation.available()
+    if REQUIRE_ISOLATION and not apart:
+        raise RuntimeError("this system doesn't let code run apart")
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, "main.py")
         with open(path, "w", encoding="utf-8") as f:
             f.write(_GUARD + "\n" + source)
+
+        def before() -> None:
+            if apart:
+                isolation.enter(folder)
+            _limits()
+
         try:
-            p = subprocess.run([sys.executable, "-I", "-S", path], input=stdin, capture_output=True, text=True, timeout=seconds, cwd=folder, env={"PATH": "/usr/bin:/bin", "PYTHONIOENCODING": "utf-8"}, preexec_fn=_limits)
+            p = subprocess.run([os.path.realpath(sys.executable), "-I", "-S", path], input=stdin, capture_output=True, text=True, timeout=seconds, cwd=folder, env={"PATH": "/usr/bin:/bin", "PYTHONIOENCODING": "utf-8"}, preexec_fn=before)
         except subprocess.TimeoutExpired:
             return False, "", "timeout"
         return p.returncode == 0, p.stdout[:OUTPUT_BYTES], p.stderr[-400:].strip().splitlines()[-1] if p.stderr.strip() else ""
