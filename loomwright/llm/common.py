@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import sha1
 from itertools import count, islice
 
 import pyarrow as pa
@@ -38,6 +39,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def lasting_folder(spark: SparkSession, *key: str) -> str:
+    """A folder that later sessions find again by its key: beside the sessions' own in spark.checkpoint.dir."""
+    name = sha1("\n".join(key).encode()).hexdigest()
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or shared_folder(spark)}/{name}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, html_extract, langid, linededup, lm_quality, manifest, packing, periods, quality, sharding, simhash, tokenfile, urlgraph
-from .common import ascii_lower, crc32_of_id, shared_folder, table
+from .common import ascii_lower, crc32_of_id, lasting_folder, shared_folder, table
 
 
 def tokenizer_path() -> str:
@@ -24,7 +24,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    maps = f"{shared_folder(spark)}/slot-maps/{uuid.uuid4().hex}"
+    maps = lasting_folder(spark, "slot-maps", sf_dir, "bytes", "8")  # a later run starts from the last version
     placed, used = sharding.shard_by_slots(table(spark, sf_dir, "documents"), 8, map_path=maps)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.lit(used.version).alias("map_version"))
 

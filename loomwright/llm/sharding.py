@@ -146,7 +146,8 @@ def shard_by_slots(
     size: UTF-8 bytes of the text plus 1. slot: the place in the shard, gapless
     from 0. `slot_map` is used as it is. Otherwise the last version stored under
     `map_path`, or else the even map, is rebalanced to the bytes found, stored
-    there as the next version, and used as read back. Defined cases: a null text
+    there as the next version, and used as read back; a stored map of more shards, or of
+    another number of slots, is an error. Defined cases: a null text
     has size 1 and the checksum of no bytes (0); null and repeated ids and
     repeated rows are rows like any other; an empty table gives no rows. Other
     columns of `docs` are ignored.
@@ -171,6 +172,8 @@ def shard_by_slots(
     used = slot_map
     if used is None:
         before = (SlotMap.read(spark, map_path) if map_path else None) or SlotMap.even(n_shards, n_slots + spill)
+        if before.n_shards > n_shards or len(before.owner) != n_slots + spill:
+            raise ValueError(f"the stored map has {before.n_shards} shards and {len(before.owner)} slots, not {n_shards} and {n_slots + spill}")
         if before.n_shards < n_shards:
             before = before.grown(n_shards, size)
         used = before.rebalanced(size)

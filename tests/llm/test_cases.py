@@ -116,3 +116,16 @@ def test_long_texts(spark):
     assert {r["doc_id"]: r["n"] for r in decontam.find_items(docs, bench).select("doc_id", decontam.n_hit().alias("n")).collect()} == {1: 13, 2: 13, 3: 0}
     assert simhash.keep_one(docs).count() == 2
     assert {r["doc_id"]: r["language"]["lang"] for r in langid.predict(docs, langid.train(docs)).collect()} == {1: "en", 2: "en", 3: "fr"}
+
+
+def test_slot_map_is_found_again(spark, sf):
+    """A second run of the query starts from the first one's map; a map that doesn't fit is an error."""
+    rows = [sorted(map(tuple, queries.op2_sharding(spark, sf).collect())) for _ in range(2)]
+    versions = [{r[-1] for r in x} for x in rows]
+    assert versions[1] == {v + 1 for v in versions[0]} and len(versions[0]) == 1
+    assert [r[4] for r in rows[0]] == [r[4] for r in rows[1]]  # balanced already: no row moves
+    folder = queries.lasting_folder(spark, "slot-maps", sf, "bytes", "8")
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for shards, slots in ((4, sharding.N_SLOTS), (8, 100)):
+        with pytest.raises(ValueError):
+            sharding.shard_by_slots(docs, shards, n_slots=slots, map_path=folder)
