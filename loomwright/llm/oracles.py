@@ -118,11 +118,12 @@ def _op8(rounds: int = 80) -> str:
     case = lambda k: "CASE " + " ".join(f"WHEN {w[0]} THEN '{w[k]}'" for w in when) + " END"
     d = urlgraph.DAMPING
     steps = [
-        f"""g{i} AS MATERIALIZED (SELECT h.host, {1 - d} * trusted + {d} * coalesce(a.x, 0) AS good, {1 - d} * blocked + {d} * coalesce(b.x, 0) AS bad FROM hosts h
- LEFT JOIN (SELECT dst, sum(n * good) / sum(n) AS x FROM edges JOIN g{i - 1} ON src = host GROUP BY dst) a ON a.dst = h.host
- LEFT JOIN (SELECT src, sum(n * bad) / sum(n) AS x FROM edges JOIN g{i - 1} ON dst = host GROUP BY src) b ON b.src = h.host)"""
+        f"""g{i} AS MATERIALIZED (SELECT h.host, {1 - d} * trusted + {d} * coalesce(a.t, 0) AS t, {1 - d} + {d} * coalesce(a.f, 0) AS f, {1 - d} * blocked + {d} * coalesce(b.d, 0) AS d, {1 - d} + {d} * coalesce(b.b, 0) AS b FROM hosts h
+ LEFT JOIN (SELECT dst, sum(t * along) AS t, sum(f * along) AS f FROM ways JOIN g{i - 1} ON src = host GROUP BY dst) a ON a.dst = h.host
+ LEFT JOIN (SELECT src, sum(d * back) AS d, sum(b * back) AS b FROM ways JOIN g{i - 1} ON dst = host GROUP BY src) b ON b.src = h.host)"""
         for i in range(1, rounds + 1)
     ]
+    of = lambda score, rank: f"coalesce({score} / nullif(greatest({rank} - (CASE WHEN trusted > 0 OR blocked > 0 THEN 0 ELSE {1 - d} END), 0), 0), 0)"
     return f"""
 WITH p AS (SELECT row_number() OVER () AS r, page_id, coalesce({host("url")}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
 j AS (SELECT *, {case(1)} AS rule, {case(2)} AS by_rule FROM p),
@@ -130,9 +131,10 @@ seeds AS (SELECT host, avg((coalesce(by_rule, '') = 'allow')::INT) AS trusted, a
 refs AS (SELECT host AS src, unnest(list_distinct(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?(?:https?:)?(//[^"''\\s>]+)', 1))) AS ref FROM p),
 edges AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM (SELECT src, {host("':' || ref")} AS dst FROM refs) WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
 hosts AS MATERIALIZED (SELECT host, coalesce(trusted, 0) AS trusted, coalesce(blocked, 0) AS blocked FROM (SELECT host FROM seeds UNION SELECT src FROM edges UNION SELECT dst FROM edges) LEFT JOIN seeds USING (host)),
-g0 AS MATERIALIZED (SELECT host, {1 - d} * trusted AS good, {1 - d} * blocked AS bad FROM hosts),
+ways AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS along, n / sum(n) OVER (PARTITION BY dst) AS back FROM edges),
+g0 AS MATERIALIZED (SELECT host, {1 - d} * trusted AS t, {1 - d} AS f, {1 - d} * blocked AS d, {1 - d} AS b FROM hosts),
 {", ".join(steps)}
-SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN bad - good > (CASE WHEN trusted > 0 OR blocked > 0 THEN {urlgraph.MARGIN} ELSE {min(urlgraph.MARGIN, urlgraph.LINK_MARGIN)} END) * {1 - d} THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN {of("d", "b")} - {of("t", "f")} > CASE WHEN trusted > 0 OR blocked > 0 THEN {urlgraph.MARGIN} ELSE {min(urlgraph.MARGIN, urlgraph.LINK_MARGIN)} END THEN 'block' ELSE 'allow' END) AS verdict
 FROM j LEFT JOIN g{rounds} USING (host) LEFT JOIN seeds USING (host)
 """
 

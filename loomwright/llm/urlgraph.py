@@ -4,10 +4,10 @@ Rules are longest-match on host suffix and path. A url without a rule is judged
 by its host: personalised PageRank from trusted seeds along host links, and
 distrust from blocked seeds along reversed links, both computed over
 aggregated host edges in Spark; each round is checkpointed in the shared folder.
-These scores shrink with the number of links that a seed deals to, so a verdict
-comes from the same walks with each host taking the average of its neighbours:
-trust of the hosts that link to it, distrust of the hosts that it links to. All
-four scores go through one loop of one join and one sum by host.
+These scores shrink with the number of links that a seed deals to. So each is
+divided by the host's plain PageRank in the same direction, which shrinks alike:
+that is the threshold of each host, and the share of its rank that comes from
+the seeds. All four scores go through one loop of one join and one sum by host.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from .common import UPPER, LOWER, checkpoint
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: Scores move by DAMPING ** round at most, so far fewer rounds than this reach TOLERANCE.
+#: A score's move shrinks by DAMPING with every round, so fewer rounds than this bring all below TOLERANCE of the score.
 DAMPING, ROUNDS, TOLERANCE = 0.85, 200, 1e-6
-#: A host is blocked if its average distrust is above its average trust by this share of a seed's own score.
+#: A host is blocked if the share of distrust in its reversed rank is above the share of trust in its rank by so much.
 MARGIN = 0.75
-#: The same where only links count, not pages of its own: two links from a blocked host (DAMPING ** 2).
-LINK_MARGIN = 0.7
+#: The same where only links count, not pages of its own: most of the rank that links bring is distrust.
+LINK_MARGIN = 0.5
 
 
 def host_of(url: Column) -> Column:
@@ -55,40 +55,36 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-SCORES = ("trust", "distrust", "good", "bad")
+SCORES = ("trust", "distrust", "rank", "back_rank")
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """(host, trust, distrust, good, bad) of all hosts of the edges (src, dst, n) and the seeds (host, trusted, blocked).
-
-    A score is (1 - damping) * seed + damping * what comes in. trust is
-    personalised PageRank from the trusted along links, a host's score being
-    dealt out by n; distrust the same from the blocked against the links. good
-    is, along links, the mean of the hosts that link here, weighted by n; bad
-    the mean of the hosts that are linked from here, however many others link to
-    these. A host without links keeps what it has. Runs until no score moves by
-    more than `tolerance`; raises if that takes more than `rounds`.
+    """(host, trust, distrust, rank, back_rank) of all hosts of the edges (src, dst, n) and the seeds (host, trusted, blocked).
+
+    Personalised PageRank: a score is (1 - damping) * seed + damping * what comes in, and
+    a host deals its score out by n. trust goes from the trusted along links, distrust
+    from the blocked against them; rank and back_rank are the same with every host as
+    a seed of 1. A host without links deals nothing out. Runs until no score
+    moves by more than `tolerance` of itself; raises if that takes more than `rounds`.
     """
     ends = [F.struct(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("along")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(False).alias("along"))]
     both = edges.select(F.explode(F.array(*ends)).alias("_e"), "n").select("_e.*", "n")
-    dealt = both.groupBy("a", "along").agg(F.sum("n").alias("_out"))
-    taken = both.groupBy("b", "along").agg(F.sum("n").alias("_in"))
-    ways = both.join(dealt, ["a", "along"]).join(taken, ["b", "along"])
-    ways = checkpoint(ways.select("a", "b", "along", (F.col("n") / F.col("_out")).alias("share"), (F.col("n") / F.col("_in")).alias("part")))
+    dealt = checkpoint(both.groupBy("a", "along").agg(F.sum("n").alias("_out")))  # stored, so that a host with many links is split
+    ways = checkpoint(both.join(dealt, ["a", "along"]).select("a", "b", "along", (F.col("n") / F.col("_out")).alias("share")))
     seeded = seeds.groupBy("host").agg(F.max("trusted").alias("trusted"), F.max("blocked").alias("blocked"))
     hosts = ways.select(F.col("a").alias("host")).union(seeded.select("host")).distinct()
-    own = {"trust": "trusted", "distrust": "blocked", "good": "trusted", "bad": "blocked"}
+    own = {"trust": F.col("trusted"), "distrust": F.col("blocked"), "rank": F.lit(1.0), "back_rank": F.lit(1.0)}
     start = hosts.join(seeded, "host", "left").na.fill(0.0, ["trusted", "blocked"])
-    start = start.select("host", *(((1 - damping) * F.col(c)).alias(f"own_{k}") for k, c in own.items()))
+    start = start.select("host", *(((1 - damping) * c).alias(f"own_{k}") for k, c in own.items()))
     score = checkpoint(start.select("*", *(F.col(f"own_{k}").alias(k) for k in SCORES)))
     if not ways.limit(1).count():
         return score.select("host", *SCORES)
-    weight = {"trust": ("share", True), "distrust": ("share", False), "good": ("part", True), "bad": ("part", False)}
+    along = {"trust": True, "distrust": False, "rank": True, "back_rank": False}
     for _ in range(rounds):
-        sent = score.where(" or ".join(f"{k} > 0" for k in SCORES)).join(ways, F.col("host") == F.col("a"))
-        come = sent.groupBy("b").agg(*(F.sum(F.when(F.col("along") == along, F.col(k) * F.col(w))).alias(f"come_{k}") for k, (w, along) in weight.items()))
+        sent = score.join(ways, F.col("host") == F.col("a"))
+        come = sent.groupBy("b").agg(*(F.sum(F.when(F.col("along") == w, F.col(k) * F.col("share"))).alias(f"come_{k}") for k, w in along.items()))
         new = {k: F.col(f"own_{k}") + damping * F.coalesce(F.col(f"come_{k}"), F.lit(0.0)) for k in SCORES}
-        moved = F.greatest(*(F.abs(new[k] - F.col(k)) for k in SCORES))
+        moved = F.greatest(*(F.when(new[k] > 0, F.abs(new[k] - F.col(k)) / new[k]).otherwise(0.0) for k in SCORES))
         joined = score.drop("moved").join(come, F.col("host") == F.col("b"), "left")
         score = checkpoint(joined.select("host", *(f"own_{k}" for k in SCORES), *(new[k].alias(k) for k in SCORES), moved.alias("moved")))
         if score.agg(F.max("moved")).first()[0] <= tolerance:
@@ -101,9 +97,9 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     seeds: (host, trusted, blocked), shares from 0 to 1; by default the share of
     a host's pages that a rule allows or blocks. Without a rule, a url is
-    blocked if its host's average distrust exceeds its average trust by `margin`
-    of a full seed's score, or by LINK_MARGIN for a host of no seed's share.
-    trust and distrust are the PageRank scores. Defined cases: a null url, or one without `://`, has empty
+    blocked if the share of distrust in its host's reversed rank exceeds the share
+    of trust in its rank by `margin`; for a host of no seed's share, of the ranks that links
+    bring, by LINK_MARGIN. trust and distrust are the PageRank scores. Defined cases: a null url, or one without `://`, has empty
     host and path, fits no rule and is allowed; null html has no links; repeated
     rows count and are judged each; other columns of `pages` are ignored; an
     empty table gives no rows.
@@ -122,6 +118,8 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     # Stored, so that the join has plain shuffles on both sides and a host of many pages is split among tasks.
     by_host = checkpoint(scores.join(own, "host", "left"))
     joined = judged.join(by_host, "host", "left").na.fill(0.0, SCORES)
+    own_rank = F.when(F.col("_own"), 0.0).otherwise(1 - DAMPING)  # what a host without a seed has of itself is no one's trust
+    share = lambda score, rank: F.coalesce(F.col(score) / F.nullif(F.greatest(F.col(rank) - own_rank, F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
     enough = F.when(F.col("_own"), margin).otherwise(min(margin, LINK_MARGIN))
-    by_graph = F.when(F.col("bad") - F.col("good") > enough * (1 - DAMPING), "block").otherwise("allow")
+    by_graph = F.when(share("distrust", "back_rank") - share("trust", "rank") > enough, "block").otherwise("allow")
     return joined.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("_by_rule", by_graph).alias("verdict"), "trust", "distrust")
