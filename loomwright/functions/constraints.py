@@ -5,8 +5,12 @@ A constraint is struct<type, word, n, relation, words> (unused fields null).
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .answers import strip
 from .text import THAI, occurrences, split_lines
@@ -19,6 +23,21 @@ def is_json(x: Column) -> Column:
     return F.try_parse_json(x).isNotNull()
 
 
+@F.pandas_udf(T.BooleanType())
+def has_match(text: pd.Series, pattern: pd.Series) -> pd.Series:
+    """Whether a record's own pattern is found in its text; a pattern that isn't valid is found nowhere. Null for nulls."""
+
+    def one(x: str | None, p: str | None) -> bool | None:
+        if x is None or p is None:
+            return None
+        try:
+            return re.search(p, x) is not None
+        except re.error:
+            return False
+
+    return pd.Series([one(x, p) for x, p in zip(text, pattern, strict=True)], dtype=object)
+
+
 def check_exact(response: Column, c: Column, soft_score: Column | None = None) -> Column:
     """Set A: nine exact rules; soft ones pass from a judged score of 7; an unknown type fails."""
     lines = split_lines(response)
@@ -33,7 +52,7 @@ def check_exact(response: Column, c: Column, soft_score: Column | None = None) -
         .when(kind == "ends_with", F.regexp_replace(response, r"(?U)\s+$", "").endswith(word))
         .when(kind == "forbid_substring", ~F.contains(response, word))
         .when(kind == "no_arabic_digits", ~response.rlike("[0-9]"))
-        .when(kind == "regex", F.regexp_like(response, word))
+        .when(kind == "regex", has_match(F.when(kind == "regex", response), word))
         .when(kind == "json_schema", is_json(response))
         .when((kind == "language") & (word == "thai"), thai)
         .when((kind == "language") & (word == "english"), response.rlike("[A-Za-z]") & ~thai)

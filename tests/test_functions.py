@@ -185,3 +185,11 @@ def test_code_is_contained():
     ok, _, err = verify.run_code("import subprocess\nsubprocess.run(['ls'])")
     assert not ok and "not allowed" in err
     assert verify.run_code("x = 'a' * (1 << 31)")[0] is False
+
+
+def test_invalid_patterns(spark):
+    """A record's own pattern that isn't valid fails that record, not the job."""
+    rows = [("abc 12", r"\d+"), ("abc", r"\d+"), ("abc", "(["), (None, "x"), ("abc", None)]
+    df = spark.createDataFrame(rows, "x string, p string")
+    c = F.struct(F.lit("regex").alias("type"), F.col("p").alias("word"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("string").alias("relation"), F.lit(None).cast("array<string>").alias("words"))
+    assert [r[0] for r in df.select(constraints.check_exact(F.col("x"), c)).collect()] == [True, False, False, False, False]
