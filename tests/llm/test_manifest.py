@@ -62,8 +62,7 @@ def five(i):
     return zlib.crc32(str("" if i is None else i).encode()) % 5 == 0
 
 
-@pytest.mark.parametrize("sizes", [[1], [16], [17], [2, 1, 300], [1] * 40, [4100, 1, 33, 256], [15, 16, 17, 257, 272, 3]])
-@pytest.mark.parametrize("parts", [1, 3, 40])
+@pytest.mark.parametrize("sizes,parts", [([1], 1), ([16], 3), ([17], 3), ([2, 1, 300], 7), ([1] * 40, 3), ([4100, 1, 33, 256], 1), ([4100, 1, 33, 256], 7), ([300], 24), ([15, 16, 17, 257, 272, 3], 7)])
 def test_trees(spark, sizes, parts):
     rng = random.Random(len(sizes) + parts)
     names = [None, *(f"s{k}" for k in range(len(sizes)))] if len(sizes) % 2 else [f"é{k}" for k in range(len(sizes))]
