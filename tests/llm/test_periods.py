@@ -81,9 +81,13 @@ def test_few_moves():
 
 def test_detect(spark):
     rng = random.Random(4)
-    word = lambda k: rng.choice(["a", "É", "\x1cb", "c d", "e."])
+
+    def spelt(numbers):
+        names = [f"{rng.choice(['a', 'É', chr(0x1C) + 'b', 'c d', 'e.'])}{x}" for x in range(10)]
+        return rng.choice([" ", "\n", "\t "]).join(names[x] for x in numbers)
+
     texts = [None, "", " \n\t", "x " * 100, "x\x0by\x0c" * 30 + "z", "one two"]
-    texts += [rng.choice([" ", "\n", "\t "]).join(f"{word(k)}{x}" for k, x in enumerate(sample(rng))) for _ in range(150)]
+    texts += [spelt(sample(rng)) for _ in range(150)]
     texts += [" ".join(f"w{rng.randrange(900)}" for _ in range(700)) for _ in range(40)] + [texts[3]] * 2
     docs = spark.createDataFrame([(i, t, 5, "c") for i, t in enumerate(texts)] + [(None, "n", 5, "c")], "doc_id long, text string, periods int, `a.b` string")
     seed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
