@@ -44,6 +44,9 @@ LONGEST_KEPT = 100
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 #: ASCII punctuation.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Latin letters, which are letters to every version of Unicode that may be at work.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_WHOLE = re.compile(f"\n?(?:[{LETTERS}]+|[A-Za-z0-9]+)")
 
 
 class ByteTokenizer:
@@ -52,14 +55,16 @@ class ByteTokenizer:
     Its pre-tokenizer parts a text before each space that a character other than
     white space follows, and before and after line breaks between such characters.
     So the ids of a text are those of its chunks, one after another: a chunk begins
-    with its space (left out in this class) or its line breaks. A chunk of ASCII
-    letters and digits and then ASCII signs falls apart between both. Each distinct
-    part is encoded once for many texts, side by side with others. A text with other
-    white space at the ends of a chunk is encoded directly.
+    with its space (left out in this class) or its line breaks. A chunk of Latin
+    letters (or ASCII letters and digits) and then ASCII signs falls apart between
+    both. Each distinct part is encoded once for many texts: letters alone by the
+    tokenizer's model, as the pre-tokenizer would give them to it whole, others by the
+    tokenizer. A text with other white space at the ends of a chunk is encoded directly.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -69,9 +74,12 @@ class ByteTokenizer:
         for first, sign in ((" ", "\u0120"), ("\n", "\u010a")):  # how byte-level tokens show both
             self.begins[first] = np.zeros(max(vocabulary.values()) + 1, bool)
             self.begins[first][[i for t, i in vocabulary.items() if t.startswith(sign)]] = True
-        self.chunks: tuple[dict, dict] = ({}, {})  # chunk to ids: the newer half and the older one
-        self.heads: tuple[dict, dict] = ({}, {})
-        self.tails = {"": b""}
+        self.words: tuple[dict, dict] = ({}, {})  # to ids: the newer half and the older one
+        self.chunks: tuple[dict, dict] = ({}, {})  # those whose words may not fall apart from their signs
+        self.tails: dict[str, bytes] = {}
+        self.model, (self.line_break,) = self.tokenizer.model, self._direct(["\n"])
+        shown = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {ord(c): shown(c)[0][0] for c in map(chr, range(128, 0x250)) if c.isalpha()}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -83,54 +91,102 @@ class ByteTokenizer:
             at, raw = (np.flatnonzero(self.begins[first][ids]) * 4).tolist(), ids.tobytes()
             yield from (raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True))
 
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks."""
-        now, before = self.heads
-        tails, whole, others, new = self.tails, [], [], set()
-        for c in chunks:
-            head = c.rstrip(SIGNS)
-            word = head[1:] if head[:1] == "\n" else head
-            if word.isascii() and word.isalnum():
-                whole.append((c, head))
-                if head not in now:
-                    if known := before.get(head):
-                        now[head] = known
-                    else:
-                        new.add(head)
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of Latin letters alone behind a space or line break: the pre-tokenizer leaves them whole, so the model reads them at once."""
+        tokenize, letters, ids, n = self.model.tokenize, self.letters, [], []
+        for w in words:
+            shown = w if w.isascii() else w.translate(letters)
+            found = tokenize(shown[1:] if shown[0] == "\n" else f"\u0120{shown}")
+            ids += [t.id for t in found]
+            n.append(len(found) * 4)
+        raw, ends = np.array(ids, "<u4").tobytes(), np.cumsum([0, *n]).tolist()
+        return [self.line_break + raw[a:z] if w[0] == "\n" else raw[a:z] for w, a, z in zip(words, ends, ends[1:])]
+
+    def _known(self, kept: str, parts: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """What is remembered of parts, and which are new."""
+        now, before = getattr(self, kept)
+        out = list(map(now.get, parts))
+        fresh = []
+        for i in (i for i, x in enumerate(out) if x is None):
+            if (x := before.get(parts[i])) is not None:
+                out[i] = now[parts[i]] = x
             else:
-                others.append(c)
-        words, lines = [h for h in new if h[0] != "\n"], [h for h in new if h[0] == "\n"]
-        now.update(zip(words, self._joined([f" {h}" for h in words], " "), strict=True))
-        now.update(zip(lines, self._joined(lines, "\n"), strict=True))
-        ends = list({c[len(h) :] for c, h in whole}.difference(tails))
-        tails.update(zip(ends, self._direct(ends), strict=True))
-        out = {c: now[h] + tails[c[len(h) :]] for c, h in whole}
-        out.update(zip(others, self._direct([c if c[0] == "\n" else f" {c}" for c in others]), strict=True))
+                fresh.append(i)
+        return out, fresh
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words before their signs; none for what may not fall apart from them."""
+        out, fresh = self._known("words", words)
+        latin, spaced, lines = [], [], []  # letters alone; with digits: behind a space, and in a line of their own
+        for i in fresh:
+            w = words[i]
+            if len(w) > LONGEST_KEPT or not _WHOLE.fullmatch(w):
+                out[i] = b""
+            else:
+                (latin if w[w[0] == "\n" :].isalpha() else lines if w[0] == "\n" else spaced).append(i)
+        for at, ids in ((latin, self._letters([words[i] for i in latin])), (spaced, self._joined([f" {words[i]}" for i in spaced], " ")), (lines, self._joined([words[i] for i in lines], "\n"))):
+            for i, x in zip(at, ids, strict=True):
+                out[i] = x
+        self.words[0].update((words[i], out[i]) for i in fresh if len(words[i]) <= LONGEST_KEPT)
+        return out
+
+    def _others(self, chunks: list[str]) -> list[bytes | None]:
+        """Ids of chunks, each as a text of its own; None where there is white space at the ends."""
+        out, fresh = self._known("chunks", chunks)
+        fresh = [i for i in fresh if (c := chunks[i]) and not ((x := c.lstrip("\n")) and (x[0].isspace() or x[-1].isspace()))]
+        for i, x in zip(fresh, self._direct([c if c[0] == "\n" else f" {c}" for c in map(chunks.__getitem__, fresh)]), strict=True):
+            out[i] = x
+        self.chunks[0].update((chunks[i], out[i]) for i in fresh if len(chunks[i]) <= LONGEST_KEPT)
+        return out
+
+    def _tails(self, tails: list[str]) -> list[bytes]:
+        new = list(set(tails).difference(self.tails))
+        self.tails.update(zip(new, self._direct(new), strict=True))
+        return [self.tails[t] for t in tails]
+
+    def _chunks(self, chunks: pa.Array) -> list[bytes | None]:
+        """Ids of distinct chunks; None where there is white space at the ends."""
+        bare, texts = pc.ascii_rtrim(chunks, SIGNS), chunks.to_numpy(zero_copy_only=False)
+        words = bare.dictionary_encode()
+        word = words.indices.to_numpy()
+        found = self._words(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        out = list(map(found.__getitem__, word.tolist()))
+        whole = np.fromiter(map(bool, found), bool, len(found))[word]
+        signed = np.flatnonzero(whole & (pc.binary_length(bare).to_numpy() < pc.binary_length(chunks).to_numpy()))
+        for i, x in zip(signed.tolist(), self._tails([c[k:] for c, k in zip(texts[signed], pc.utf8_length(bare).to_numpy()[signed].tolist(), strict=True)]), strict=True):
+            out[i] += x
+        rest = np.flatnonzero(~whole)
+        for i, x in zip(rest.tolist(), self._others(texts[rest].tolist()), strict=True):
+            out[i] = x
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        self.chunks, self.heads = (({}, x[0]) if len(x[0]) > KEPT_CHUNKS else x for x in (self.chunks, self.heads))
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        Arrow parts and numbers the chunks of all texts and their words, so that only
+        distinct ones are looked up; their ids are put side by side by these numbers.
+        """
+        self.words, self.chunks = (({}, x[0]) if len(x[0]) > KEPT_CHUNKS else x for x in (self.words, self.chunks))
         if len(self.tails) > KEPT_CHUNKS:
-            self.tails = {"": b""}
-        (now, before), split = self.chunks, [_LINES.sub(r" \g<0>", t).split(" ") if "\n\n" in t else t.replace("\n", " \n").split(" ") for t in texts]
-        heads = [c.pop(0) for c in split]  # what comes before the first chunk
-        fresh = set().union(*split).difference(now)
-        odd = {c for c in fresh if not c or (x := c.lstrip("\n")) and (x[0].isspace() or x[-1].isspace())}
-        fresh -= odd
-        again = fresh.intersection(before)
-        now.update((c, before[c]) for c in again)
-        now.update(self._learn(fresh - again))
-        first = dict(zip(each := list(set(heads)), self._direct(each), strict=True))
-        direct = [i for i, (h, c) in enumerate(zip(heads, split, strict=True)) if h[-1:].isspace() or odd and not odd.isdisjoint(c)]
-        for i in direct:
-            split[i] = []
-        out = [first[h] + b"".join(map(now.__getitem__, c)) for h, c in zip(heads, split, strict=True)]
+            self.tails = {}
+        heads = [(_LINES.sub(r" \g<0>", t) if "\n\n" in t else t.replace("\n", " \n")).partition(" ") for t in texts]  # what comes before the first chunk
+        split = pc.split_pattern(pa.array([rest if space else None for _, space, rest in heads], pa.large_string()), " ")
+        numbered = split.flatten().dictionary_encode()
+        number, found = numbered.indices.to_numpy(), self._chunks(numbered.dictionary)
+        bounds = np.concatenate([[0], np.cumsum(split.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        odd = np.fromiter((x is None for x in found), np.int64, len(found))
+        found = [x or b"" for x in found]
+        first = dict(zip(each := list({h for h, _, _ in heads}), self._direct(each), strict=True))
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        sizes, ids = n[number], np.frombuffer(b"".join(found), "<u4")
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        raw = memoryview(ids[np.repeat((np.cumsum(n) - n)[number] - ends[:-1], sizes) + np.arange(ends[-1])]).cast("B")
+        at = (ends[bounds] * 4).tolist()
+        out = [first[h] + raw[a:z] for (h, _, _), a, z in zip(heads, at, at[1:])]
+        with_odd = np.diff(np.concatenate([[0], np.cumsum(odd[number])])[bounds]).tolist()
+        direct = [i for i, ((h, _, _), k) in enumerate(zip(heads, with_odd, strict=True)) if k or h[-1:].isspace()]
         for i, x in zip(direct, self._direct([texts[i] for i in direct]), strict=True):
             out[i] = x
-        for c in fresh:
-            if len(c) > LONGEST_KEPT:
-                del now[c]
         return out
 
 
@@ -153,10 +209,15 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield start, part
 
 
+def id_type(n: int) -> str:
+    """The least type that holds n ids."""
+    return "<u2" if n <= 1 << 16 else "<u4"
+
+
 def token_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row, ids, counts) of every document, and a row with the task's counts of all ids.
 
-    ids: little-endian unsigned 32-bit integers with the end id; row: any distinct number.
+    ids: little-endian unsigned integers (of id_type()) with the end id; row: any distinct number.
     The last row of a task has neither, but `counts`: 64-bit numbers, one for each id up to the greatest.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("_text"))
@@ -169,16 +230,19 @@ def token_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer, end, n, kind = _tokenizer(tokenizer_path), np.array([END_ID], "<u4").tobytes(), np.zeros(0, np.int64), None
+        stored = id_type(len(tokenizer.begins[" "]))
         gc.disable()  # millions of strings in lists and dicts, and no cycles
         try:
             for b in batches:
                 kind = b.schema.field("id").type
                 for lo, texts in _slices(b.column("_text")):
                     each = [x + end for x in tokenizer.ids(texts)]
-                    more = np.bincount(np.frombuffer(b"".join(each), "<u4"), minlength=len(n))
+                    flat = np.frombuffer(b"".join(each), "<u4").astype(stored)
+                    more = np.bincount(flat, minlength=len(n))
                     more[: len(n)] += n
                     n = more
-                    yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, len(texts)), b.column("row").slice(lo, len(texts)), pa.array(each, pa.binary()), pa.nulls(len(texts), pa.binary())], names=names)
+                    ids = _column(flat.view(np.uint8), np.fromiter(map(len, each), np.int64, len(each)) // 4 * flat.itemsize)
+                    yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, len(texts)), b.column("row").slice(lo, len(texts)), ids, pa.nulls(len(texts), pa.binary())], names=names)
         finally:
             gc.enable()
         if kind is not None:
@@ -190,7 +254,9 @@ def token_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all values, one after another, and the size of each; no value is null."""
     column = column.cast(pa.large_binary())
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8), pc.binary_length(column).to_numpy()
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
+    return np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]], np.diff(ends)
 
 
 def _column(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -207,7 +273,10 @@ def _places(n: np.ndarray) -> np.ndarray:
 
 def encode(ranks: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(control bytes, their number for each document, data bytes, their number) of the ranks of documents of n ranks."""
-    size = 1 + (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
+    size, greatest = np.ones(len(ranks), np.uint8), int(ranks.max(initial=0))
+    for k in (8, 16, 24):
+        if greatest >= 1 << k:
+            size += ranks >= 1 << k
     two_bits = np.zeros(int((-(-n // 4)).sum()) * 4, np.uint8)
     two_bits[_places(n)] = size - 1
     control = (two_bits.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
@@ -285,6 +354,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_
     its ids are in a worker's memory at once.
     """
     spark, packed = docs.sparkSession, {"compression": "zstd"}
+    stored = id_type(len(_tokenizer(tokenizer_path).begins[" "]))
     token_ids(docs, tokenizer_path, id_col, text_col).write.mode("overwrite").options(**packed).parquet(f"{folder}/_tokens")
     tokens = spark.read.parquet(f"{folder}/_tokens")
     ranks, n_parts = rank_ids(tokens), int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -306,8 +376,8 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_
         for b in batches:
             for id_, row, raw in _parts(b.columns, pc.binary_length(b.column(2))):
                 flat, size = _bytes_of(raw)
-                n = size.astype(np.int64) // 4
-                control, n_control, data, n_data = encode(sent.value[flat.view("<u4")], n)
+                n = size // np.dtype(stored).itemsize
+                control, n_control, data, n_data = encode(sent.value[flat.view(stored)], n)
                 parts = pa.array(map(part_of, id_.to_pylist(), row.to_pylist()), pa.int32())
                 yield pa.RecordBatch.from_arrays([id_, row, pa.array(n), _column(control, n_control), _column(data, n_data), parts], names=names)
 

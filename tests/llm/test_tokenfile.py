@@ -72,3 +72,24 @@ def test_column_bytes():
     flat, size = tokenfile._bytes_of(pa.array([b"ab", b"", b"cde"], pa.binary()))
     assert bytes(flat) == b"abcde" and size.tolist() == [2, 0, 3]
     assert tokenfile._column(flat, size).to_pylist() == [b"ab", b"", b"cde"]
+
+
+def test_column_bytes_of_slices():
+    flat, size = tokenfile._bytes_of(pa.array([b"ab", b"", b"cde", b"f"], pa.binary()).slice(1, 2))
+    assert bytes(flat) == b"cde" and size.tolist() == [0, 3]
+    flat, size = tokenfile._bytes_of(pa.array([], pa.binary()))
+    assert not len(flat) and not len(size)
+
+
+def test_distinct_words_are_read_once():
+    """A word behind a space is read once, whatever signs follow it; no chunk of letters goes to the whole tokenizer."""
+    tokenizer, direct = tokenfile.ByteTokenizer(PATH), Tokenizer.from_file(PATH)
+    texts = ["x größe größe, größe. (größe) größe!? GRÖSSE\nñandú ñandú. a1 a1; ªº º' don't größe's ÆØ×÷ß"] * 3
+    read, whole = [], []
+    tokenizer._letters = lambda words, of=tokenizer._letters: read.extend(words) or of(words)
+    tokenizer._direct = lambda some, of=tokenizer._direct: whole.extend(some) or of(some)
+    for t, got in zip(texts, tokenizer.ids(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == direct.encode(t, add_special_tokens=False).ids
+    assert sorted(read) == sorted(["größe", "GRÖSSE", "\nñandú", "ñandú", "ªº", "º"])
+    assert sorted(whole) == sorted(["x", ",", ".", "!?", ";", "'", " (größe)", " don't", " größe's", " ÆØ×÷ß"])
+    assert tokenizer.ids(texts) and len(read) == 6
