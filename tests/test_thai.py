@@ -1,5 +1,6 @@
 """Syllables against a hand count."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -46,3 +47,18 @@ def test_columns(spark):
     got = df.select(prosody.syllable_counter()(F.col("x")), prosody.syllable_parts(F.col("x")), prosody.syllable_counter(len)(F.col("x"))).collect()
     assert [r[0] for r in got] == [3, 0, 0] and [r[2] for r in got] == [12, 0, 0]
     assert got[1][1] is None and [(p["part"], p["n"]) for p in got[0][1]] == [("โรง", 1), ("เรียน", 1), ("ปลา", 1)]
+
+
+def test_counts_are_those_of_the_parse_and_nothing_of_a_text_is_kept(monkeypatch):
+    rng, words = random.Random(3), " ".join(thai.IRREGULAR.values()).split()
+    signs = thai.CONSONANTS + thai.TONES + "ะาิีึืุูเแโไใ็์ำัฤๅ"
+    for most in (thai.MOST_PLACES, 20):
+        monkeypatch.setattr(thai, "MOST_PLACES", most)
+        for _ in range(500):
+            x = "".join(rng.choice([rng.choice(signs), rng.choice(words), rng.choice(thai.CLUSTERS), rng.choice(thai.FINALS)]) for _ in range(rng.randint(1, 25)))
+            assert thai.count_syllables(x) == sum(n for _, n in thai.parts(x)), x
+            assert len(thai._PLACES) <= most
+    thai._parsed.cache_clear()
+    lines = ["".join(rng.choices(words, k=100)) for _ in range(50)]
+    assert [thai.count_syllables(x) for x in lines] == [sum(n for _, n in thai.parts(x)) for x in lines]
+    assert thai._parsed.cache_info().currsize == 0
