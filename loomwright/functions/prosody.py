@@ -47,8 +47,14 @@ def syllable_parts(x: Column) -> Column:
     return F.pandas_udf(of_each, "array<struct<part: string, n: int>>")(x)
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), for which x is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def verse_lines(x: Column) -> Column:
-    return F.filter(F.transform(split_lines(x), strip), lambda y: y != "")
+    at_ends = lambda y: F.concat(F.left(y, F.lit(1)), F.right(y, F.lit(1))).rlike(r"(?U)\s")
+    return F.filter(F.transform(split_lines(x), lambda y: F.when(at_ends(y), strip(y)).otherwise(y)), lambda y: y != "")
 
 
 def tone_marks(x: Column) -> Column:
@@ -68,17 +74,22 @@ def words_of(line: Column) -> Column:
 
 def rhyme_failures(lines: Column) -> Column:
     """Numbers of stanza rules broken in the first four lines of each stanza: 1 (line 1 with inside line 2), 2 (line 2 with line 3)."""
-    stanza = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 4).cast("int"))
 
-    def check(k: Column) -> Column:
-        w = [words_of(F.get(lines, k * 4 + j)) for j in range(3)]
+    def broken(words: Column) -> Column:
+        w = [F.get(words, F.lit(j)) for j in range(3)]
         last = [F.try_element_at(x, F.lit(-1)) for x in w]
         inner = F.when(F.size(w[1]) > 2, F.slice(w[1], F.lit(2), F.size(w[1]) - 2)).otherwise(F.array().cast("array<string>"))
         one = last[0].isNotNull() & last[1].isNotNull() & ~F.exists(inner, lambda t: rhyme_key(t) == rhyme_key(last[0]))
         two = last[1].isNotNull() & last[2].isNotNull() & (rhyme_key(last[1]) != rhyme_key(last[2]))
         return F.filter(F.array(F.when(one, 1), F.when(two, 2)), lambda x: x.isNotNull())
 
-    return F.when(F.size(lines) > 0, F.flatten(F.transform(stanza, check))).otherwise(F.array().cast("array<int>"))
+    def of_stanzas(lines: Column) -> Column:
+        stanza = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 4).cast("int"))
+        words = lambda k: F.array(*[words_of(F.get(lines, k * 4 + j)) for j in range(3)])
+        every = F.flatten(F.transform(stanza, lambda k: _once(words(k), broken)))
+        return F.when(F.size(lines) > 0, every).otherwise(F.array().cast("array<int>"))
+
+    return _once(lines, of_stanzas)
 
 
 def check_verse(lines: Column, syllables: Column, form: str) -> Column:
@@ -87,14 +98,19 @@ def check_verse(lines: Column, syllables: Column, form: str) -> Column:
     lines: of verse_lines(); syllables: of line_syllables() on them.
     """
     size, least, most, rhymed = FORMS[form]
-    each = F.transform(syllables, lambda s, i: F.when((s < least) | (s > most), F.format_string("line %d: %d", i + 1, s)))
-    found = F.filter(each, lambda x: x.isNotNull())
-    if rhymed:
-        stanzas = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / size).cast("int"))
-        of = lambda k: F.transform(rhyme_failures(F.slice(lines, k * size + 1, F.lit(size))), lambda r: F.format_string("rhyme %d:%d", k + 1, r))
-        found = F.concat(found, F.flatten(F.transform(stanzas, of)))
     words = F.array().cast("array<string>")
-    return F.when(F.size(lines) == 0, F.array(F.lit("empty"))).when(F.size(lines) % size != 0, F.array(F.lit("stanza"))).otherwise(F.coalesce(found, words))
+
+    def broken(verse: Column) -> Column:
+        lines = verse["lines"]
+        each = F.transform(verse["syllables"], lambda s, i: F.when((s < least) | (s > most), F.format_string("line %d: %d", i + 1, s)))
+        found = F.filter(each, lambda x: x.isNotNull())
+        if rhymed:
+            stanzas = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / size).cast("int"))
+            of = lambda k: F.transform(rhyme_failures(F.slice(lines, k * size + 1, F.lit(size))), lambda r: F.format_string("rhyme %d:%d", k + 1, r))
+            found = F.concat(found, F.flatten(F.transform(stanzas, of)))
+        return F.when(F.size(lines) == 0, F.array(F.lit("empty"))).when(F.size(lines) % size != 0, F.array(F.lit("stanza"))).otherwise(F.coalesce(found, words))
+
+    return _once(F.struct(lines.alias("lines"), syllables.alias("syllables")), broken)
 
 
 #: Task types with a verse form or a register (fixed values); other types are not checked.
@@ -104,7 +120,7 @@ REGISTER_TASKS = {"formal_register": "formal", "informal_register": "informal"}
 
 def prosody_issues(task_type: Column, text: Column, count=None) -> Column:
     """What a record's text breaks, by its task type; none for other types. count: of line_syllables()."""
-    lines = verse_lines(text)
+    lines = F.when(task_type.isin(*VERSE_TASKS), verse_lines(text))
     syllables = (count or line_syllables())(lines)
     out = F.array().cast("array<string>")
     for task, form in VERSE_TASKS.items():

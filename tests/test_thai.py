@@ -62,3 +62,25 @@ def test_counts_are_those_of_the_parse_and_nothing_of_a_text_is_kept(monkeypatch
     lines = ["".join(rng.choices(words, k=100)) for _ in range(50)]
     assert [thai.count_syllables(x) for x in lines] == [sum(n for _, n in thai.parts(x)) for x in lines]
     assert thai._parsed.cache_info().currsize == 0
+
+
+def test_lines_of_a_verse_are_computed_once(spark, monkeypatch):
+    """However many lines and words: each text is split and each line read once a use, not once a word."""
+    import itertools
+
+    rng = random.Random(4)
+    text = "\n".join([" " + " ".join(rng.choices(["ปลา", "เดือน", "นา", "ตา"], k=300)) + "\u3000" for _ in range(400)])
+    df = spark.createDataFrame([("klon_8_composition", text), ("klon_8_composition", " a \n\t\n\u2003ข")], "t string, x string")
+    started = time.time()
+    got = [r[0] for r in df.select(prosody.prosody_issues(F.col("t"), F.col("x"))).collect()]
+    assert time.time() - started < 20
+    w = [line.split() for line in text.split("\n")]
+    rhymes = []
+    for k in itertools.count():
+        if 4 * k >= len(w):
+            break
+        a, b, c = w[4 * k : 4 * k + 3]
+        rhymes += [f"rhyme {k + 1}:1"] * all(x[-2:] != a[-1][-2:] for x in b[1:-1]) + [f"rhyme {k + 1}:2"] * (b[-1][-2:] != c[-1][-2:])
+    assert [x for x in got[0] if x.startswith("rhyme")] == rhymes and len(got[0]) == len(rhymes) + 400
+    assert got[1] == ["stanza"]
+    assert [list(r[0]) for r in df.select(prosody.verse_lines(F.col("x"))).collect()][1] == ["a", "ข"]
