@@ -45,10 +45,11 @@ def majority_vote(samples: DataFrame, item: str, answer: str, order: str) -> Dat
 
 def confidence_vote(samples: DataFrame, item: str, answer: str, logprob: str, order: str, drop: float = 0.25) -> DataFrame:
     """(item, vote, weight): the least sure share is dropped, the rest vote with exp(log-probability)."""
-    w = Window.partitionBy(item)
+    w = Window.partitionBy(item).orderBy(F.desc(logprob), order)  # for the count too, so that a task sorts its rows once
     some = samples.where(F.col(answer).isNotNull())
-    n = F.count("*").over(w)
-    kept = some.withColumn("_k", F.greatest(F.floor(n * F.lit(1 - drop)), F.lit(1))).withColumn("_r", F.row_number().over(w.orderBy(F.desc(logprob), order))).where("_r <= _k")
+    n = F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ranked = some.select("*", n.alias("_n"), F.row_number().over(w).alias("_r"))
+    kept = ranked.where(F.col("_r") <= F.greatest(F.floor(F.col("_n") * F.lit(1 - drop)), F.lit(1)))
     sums = kept.groupBy(item, answer).agg(F.round(F.sum(F.exp(logprob)), 6).alias("_w"), F.min(order).alias("_first"))
     return sums.groupBy(item).agg(F.max_by(answer, F.struct("_w", -F.col("_first"))).alias("vote"), F.max("_w").alias("weight"))
 

@@ -1,5 +1,7 @@
 """Both sides of every size switch, recovery of repeated batches, ranks of hot groups."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +89,15 @@ def test_verse_forms(spark):
 def test_guarded_code(code):
     ok, _, error = verify.run_code(code)
     assert not ok and "PermissionError" in error
+
+
+def test_a_vote_sorts_its_samples_once(spark):
+    from loomwright.operators import score
+
+    rows = [(1, "a", -0.1, 1), (1, "b", -0.1, 2), (1, "b", -0.3, 3), (1, "a", -0.2, 4), (2, None, -0.1, 5), (3, "c", -9.0, 6)] + [(4, "xy"[i % 2], -i / 100, i) for i in range(41)]
+    df = spark.createDataFrame(rows, "item long, answer string, lp double, no long")
+    got = score.confidence_vote(df, "item", "answer", "lp", "no")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") <= 2 and plan.count("Sort [item#") == 2, plan  # one for both windows, one for the groups
+    x = sum(math.exp(-i / 100) for i in range(0, 30, 2))
+    assert {r["item"]: (r["vote"], r["weight"]) for r in got.collect()} == {1: ("a", round(math.exp(-0.1) + math.exp(-0.2), 6)), 3: ("c", round(math.exp(-9), 6)), 4: ("x", round(x, 6))}
