@@ -6,7 +6,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from loomwright.functions import answers
+from loomwright.functions import answers, mathexpr
 from loomwright.functions.mathexpr import compare, read
 
 PAIRS = [
@@ -62,3 +62,16 @@ def test_columns(spark):
     got = df.select(answers.math_verdict(F.col("a"), F.col("b")).alias("v"), answers.same_math(F.col("a"), F.col("b")).alias("m")).collect()
     assert [tuple(r["v"]) for r in got] == [(True, "strict"), (True, "rational"), (True, "symbolic"), (False, "symbolic"), (None, None), (None, None), (None, None)]
     assert [r["m"] for r in got] == ["strict", "rational", "symbolic", None, None, None, None]
+
+
+def test_products_with_one_and_roots_met_before_cost_nothing(monkeypatch):
+    made = []
+    monkeypatch.setattr(mathexpr, "_times", lambda a, b, of=mathexpr._times: made.append((a, b)) or of(a, b))
+    mathexpr._root_of.cache_clear()
+    for n in range(100, 130):
+        assert mathexpr.compare(f"2x+{2 * n}", f"2(x+{n})") == "symbolic" and mathexpr.compare(rf"\frac{{{n}}}{{{2 * n}}}", "0.5") == "rational"
+        assert mathexpr.compare(rf"\sqrt{{8}}*{n}", rf"{2 * n}\sqrt{{2}}") == "symbolic"
+    assert len(made) < 10
+    assert all(type(c) is int for c in mathexpr.read(r"3x^2+\sqrt{8}-7").num.values())
+    for a, b, want in [("i^{5/2}", "-i^{1/2}", "symbolic"), ("0", r"\sqrt{0}", "rational"), ("1/3+1/6", "0.5", "rational"), ("sin(x/2)", "sin(0.5x)", "symbolic"), ("7/2", "3", "different")]:
+        assert mathexpr.compare(a, b) == want, (a, b)
