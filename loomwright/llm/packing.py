@@ -32,15 +32,44 @@ from .common import checkpoint
 
 CAPACITY, END_ID = 2048, 0
 #: Bytes of texts whose ids are in memory at once (and at least one text).
-SLICE_BYTES = 4_000_000
-#: Bytes of chunks and ids that a Python worker remembers, twice over: when full, the older half goes.
-CACHE_BYTES = 48_000_000
+SLICE_BYTES = 2_000_000
+#: Bytes of parts and ids that a Python worker remembers (some 40 a part), twice over: when full, the older half goes.
+CACHE_BYTES = 10_000_000
 #: Longer chunks (lines of a script without spaces) are not remembered.
 LONGEST_KEPT = 200
 #: At the end of a token that ends a word.
 WORD_END = "</w>"
 
 
+class _Known:
+    """Distinct parts and their ids in arrays: the runs of ids, of `size` each, follow one another."""
+
+    def __init__(self, names: pa.Array | None = None, ids: np.ndarray | None = None, size: np.ndarray | None = None) -> None:
+        self.names = pa.array([], pa.large_string()) if names is None else names
+        self.ids = np.empty(0, "<u4") if ids is None else ids
+        self.size = np.empty(0, np.int64) if size is None else size
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    @property
+    def n_bytes(self) -> int:
+        return self.names.nbytes + self.ids.nbytes + self.size.nbytes
+
+    def find(self, parts: pa.Array) -> np.ndarray:
+        """Each part's place, or -1."""
+        return pc.index_in(parts, value_set=self.names).fill_null(-1).to_numpy().astype(np.int64)
+
+    def only(self, use: np.ndarray) -> _Known:
+        return self if use.all() else _Known(self.names.filter(pa.array(use)), self.ids[np.repeat(use, self.size)], self.size[use])
+
+    def at(self, places: np.ndarray) -> _Known:
+        return _Known(self.names.take(pa.array(places)), _gather(self.ids, self.size, places)[0], self.size[places])
+
+    def __add__(self, other: _Known) -> _Known:
+        return _Known(pa.concat_arrays([self.names, other.names]), np.concatenate([self.ids, other.ids]), np.concatenate([self.size, other.size]))
+
+
 class ChunkTokenizer:
     """Ids of texts by a tokenizer for which ids never span a space or line break.
 
@@ -49,8 +78,9 @@ class ChunkTokenizer:
     contractions, and its tokens must mark the end of a word. The ids of a text
     are then those of its space-separated chunks, and the ids of an ASCII chunk
     those of what comes before its last signs, lower-cased, and of the signs.
-    Each distinct part of many texts is looked up or encoded once, and the ids
-    are put together as arrays.
+    Each distinct part of many texts is looked up or encoded once. Parts and ids
+    are kept and put together as arrays: as Python objects, a part would take
+    some five times the memory.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,47 +90,45 @@ class ChunkTokenizer:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
-        self.now: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.held = 0
+        self.now, self.before = _Known(), _Known()
 
-    def _words(self, words: list[str]) -> Iterator[bytes]:
+    def _words(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Encodes words of a-z side by side in one text, and parts the ids at the word ends."""
         for part in _runs(words):
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            stop = np.flatnonzero(self.ends_word[ids]) * 4 + 4
-            raw = ids.tobytes()
-            yield from (raw[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True))
+            yield ids, np.diff(np.flatnonzero(self.ends_word[ids]) + 1, prepend=0)
 
-    def _chunks(self, chunks: list[str]) -> Iterator[bytes]:
+    def _chunks(self, chunks: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Encodes any chunks side by side in one text, and parts the ids by where they begin."""
         for part in _runs(chunks):
             e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            raw = np.array(e.ids, "<u4").tobytes()
             ends = np.cumsum([len(c) + 1 for c in part])
-            n = np.bincount(np.searchsorted(ends, [a for a, _ in e.offsets], side="right"), minlength=len(part))
-            stop = np.cumsum(n) * 4
-            yield from (raw[a:b] for a, b in zip((stop - 4 * n).tolist(), stop.tolist(), strict=True))
-
-    def _table(self, parts: pa.Array) -> list[bytes]:
-        """The ids of distinct parts."""
-        if self.held > CACHE_BYTES:
-            self.now, self.before, self.held = {}, self.now, 0
-        names = parts.to_pylist()
-        found = list(map(self.now.get, names))
-        missing = [i for i, x in enumerate(found) if x is None]
-        for i in missing:
-            found[i] = self.before.get(names[i])
-        is_word = pc.match_substring_regex(parts, "^[a-z]+$").to_numpy(zero_copy_only=False)
-        for word, encoded in ((True, self._words), (False, self._chunks)):
-            fresh = [i for i in missing if found[i] is None and is_word[i] == word]
-            for i, x in zip(fresh, encoded([names[i] for i in fresh]), strict=True):
-                found[i] = x
-        for i in missing:
-            if len(names[i]) <= LONGEST_KEPT:
-                self.now[names[i]] = found[i]
-                self.held += len(names[i]) + len(found[i]) + 150
-        return found
+            yield np.array(e.ids, "<u4"), np.bincount(np.searchsorted(ends, [a for a, _ in e.offsets], side="right"), minlength=len(part))
+
+    def _encoded(self, parts: pa.Array) -> _Known:
+        """New parts, words first."""
+        is_word = pc.match_substring_regex(parts, "^[a-z]+$")
+        out = _Known()
+        for names, encode in ((parts.filter(is_word), self._words), (parts.filter(pc.invert(is_word)), self._chunks)):
+            ids, size = zip((np.empty(0, "<u4"), np.empty(0, np.int64)), *encode(names.to_pylist()), strict=True)
+            found = _Known(names, np.concatenate(ids), np.concatenate(size))
+            if len(found) != len(names) or found.size.sum() != len(found.ids):
+                raise ValueError("the tokenizer's ids span a space, or don't mark a word's end")
+            out += found
+        return out
+
+    def _table(self, parts: pa.Array) -> tuple[_Known, np.ndarray]:
+        """Distinct parts with their ids, and the place of each of `parts` among them."""
+        if self.now.n_bytes > CACHE_BYTES:
+            self.now, self.before = _Known(), self.now
+        places = self.now.find(parts)
+        missing = parts.filter(pa.array(places < 0))
+        old = self.before.find(missing)
+        more = self.before.at(old[old >= 0]) + self._encoded(missing.filter(pa.array(old < 0)))
+        places[places < 0] = len(self.now) + more.find(missing)
+        table = self.now + more
+        self.now += more.only(pc.less_equal(pc.utf8_length(more.names), LONGEST_KEPT).to_numpy(zero_copy_only=False))
+        return table, places
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of all texts, one after another, and where each text's end. No text is null."""
@@ -113,10 +141,9 @@ class ChunkTokenizer:
         heads = pc.if_else(signs.is_valid(), signs.field("head"), low)
         tails = pc.if_else(signs.is_valid(), signs.field("tail"), "")
         parts = pa.concat_arrays([heads, tails.cast(heads.type)]).dictionary_encode()
-        found = self._table(parts.dictionary)
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        which = parts.indices.to_numpy().reshape(2, -1).T.ravel()  # head and tail of each chunk
-        ids, ends = _gather(np.frombuffer(b"".join(found), "<u4"), size, which)
+        found, places = self._table(parts.dictionary)
+        which = places[parts.indices.to_numpy()].reshape(2, -1).T.ravel()  # head and tail of each chunk
+        ids, ends = _gather(found.ids, found.size, which)
         ids, ends = _gather(ids, np.diff(ends[1::2], prepend=0), chunks.indices.to_numpy())
         last = split.offsets.to_numpy()[1:] - split.offsets[0].as_py() - 1
         return ids, ends[last]
@@ -198,6 +225,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                 arrays = [b.column("_id").take(pa.array(at, pa.int64()))]
                 arrays += [pa.array(c, t) for c, t in zip(cols[: 4 + with_ids], (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, T.StructType(fields))
 

@@ -1,6 +1,7 @@
 """Token ids of the chunk tokenizer against direct encoding."""
 
 import random
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -36,3 +37,28 @@ def test_slices_hold_all_rows(monkeypatch):
     runs = list(packing._slices(texts))
     assert runs[0][0] == 0 and runs[-1][1] == len(texts) and all(a[1] == b[0] for a, b in zip(runs, runs[1:]))
     assert list(packing._slices(pa.array([], pa.string()))) == []
+
+
+def test_remembered_parts_take_little_memory():
+    rng, n = random.Random(5), 60_000
+    words = list({"".join(rng.choices("abcdefghij", k=10)) for _ in range(n)})
+    tokenizer = packing.ChunkTokenizer(queries.tokenizer_path())
+    tokenizer.ids(pa.array(["a warm start"]))
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    for i in range(0, len(words), 10_000):
+        tokenizer.ids(pa.array([" ".join(words[i : i + 10_000])]))
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert len(tokenizer.now) > 0.9 * n and held < 100 * n
+
+
+def test_memory_limit_forgets_the_older_half(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 2000)
+    path = queries.tokenizer_path()
+    tokenizer, direct = packing.ChunkTokenizer(path), Tokenizer.from_file(path)
+    rng = random.Random(6)
+    for k in range(40):
+        same([" ".join(f"w{rng.randrange(10 * k + 20)}x" for _ in range(30)) + " " + "long" * 100], tokenizer, direct)
+        assert tokenizer.now.n_bytes < 2000 + 5000 and max(map(len, tokenizer.now.names.to_pylist())) <= packing.LONGEST_KEPT
+    assert len(tokenizer.before)
